@@ -85,7 +85,9 @@ def _powers(base: int, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
     if kept is None or len(kept) < n:
         size = max(1 << 16, 1 << int(n - 1).bit_length())
         with np.errstate(over="ignore"):
-            kept = np.cumprod(np.concatenate([[1], np.full(size - 1, base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            kept = np.full(size, base, np.uint64)
+            kept[0] = 1
+            kept = np.cumprod(kept, dtype=np.uint64)
         if size <= 1 << 22:
             _kept[base] = kept
     return kept[:n]

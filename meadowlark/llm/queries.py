@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meadowlark.llm import packing, rules, sharding
+from meadowlark.llm import chat, packing, rules, sharding, tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,10 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(_table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -25,8 +31,19 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+#: The contract's extra conversation: control strings and escapes inside both texts.
+PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = json.dumps({"prompt": PROBE_TEXT, "completion": PROBE_TEXT})
+    extra = spark.range(1).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.lit(probe).alias("record"))
+    return chat.digests(chat.format_records(chat.conversation_records(rows).unionByName(extra)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op7_quality_rules, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op4_benchmark_tiling, op7_quality_rules, op8_best_fit_packing, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
