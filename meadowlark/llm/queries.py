@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowlark.llm import chat, packing, rules, secret_scan, sharding, tiling
+from meadowlark.llm import chat, packing, quality, rules, secret_scan, sharding, tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op4_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -47,7 +52,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_secret_scan, op4_benchmark_tiling, op7_quality_rules, op8_best_fit_packing, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_secret_scan, op4_benchmark_tiling, op5_quality_classifier, op7_quality_rules, op8_best_fit_packing, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -237,7 +237,7 @@ def train(rows: list[tuple[str, int, int, int]], recall: float = 0.98, filters:
     return net._replace(slope=slope, shift=shift, threshold=threshold)
 
 
-FINDINGS, RECALL = 3000, 0.98
+FINDINGS, RECALL = 6000, 0.98
 
 
 @lru_cache(maxsize=1)
