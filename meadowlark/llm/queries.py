@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowlark.llm import chat, packing, quality, rules, secret_scan, sharding, tiling
+from meadowlark.llm import chat, licences, packing, quality, rules, secret_scan, sharding, tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.find_licences(_table(spark, sf_dir, "documents"))
+
+
 #: The contract's extra conversation: control strings and escapes inside both texts.
 PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -52,7 +56,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_secret_scan, op4_benchmark_tiling, op5_quality_classifier, op7_quality_rules, op8_best_fit_packing, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_secret_scan, op4_benchmark_tiling, op5_quality_classifier, op7_quality_rules, op8_best_fit_packing, op9_licence_scan, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
