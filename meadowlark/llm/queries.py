@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowlark.llm import chat, licences, packing, quality, rules, secret_scan, sharding, tiling
+from meadowlark.llm import chat, jaccard, licences, packing, quality, rules, secret_scan, sharding, tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op4_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_secret_scan, op4_benchmark_tiling, op5_quality_classifier, op7_quality_rules, op8_best_fit_packing, op9_licence_scan, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_secret_scan, op3_ngram_jaccard, op4_benchmark_tiling, op5_quality_classifier, op7_quality_rules, op8_best_fit_packing, op9_licence_scan, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
