@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowlark.llm import chat, jaccard, licences, packing, quality, rules, secret_scan, sharding, tiling
+from meadowlark.llm import chat, html_template, jaccard, licences, packing, quality, rules, secret_scan, sharding, tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -60,7 +64,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_secret_scan, op3_ngram_jaccard, op4_benchmark_tiling, op5_quality_classifier, op7_quality_rules, op8_best_fit_packing, op9_licence_scan, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_secret_scan, op3_ngram_jaccard, op4_benchmark_tiling, op5_quality_classifier, op6_html_templates, op7_quality_rules, op8_best_fit_packing, op9_licence_scan, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
