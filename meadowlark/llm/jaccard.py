@@ -388,3 +388,17 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return sized.join(of_class, "cid", "left").select(
         "doc_id", "n_shingles", F.col("cid").alias("class_id"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id; all columns stay.
+
+    A row goes if its group is named by another id. Rows repeated with id and text are one document. Rows without an id
+    can't be told apart and stay.
+    """
+    groups = durable(similar_groups(docs, k, percent).select("doc_id", "component_id"))
+    own = F.max((F.col("doc_id") == F.col("component_id")).cast("int"))
+    ids = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(own.alias("own"), F.count(F.lit(1)).alias("n"))
+    kept = docs.join(ids.where("own = 0").select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = ids.where("own = 1 and n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -318,3 +318,19 @@ def redacted(text: Column, network: Network | None = None) -> Column:
         return pd.Series(out, dtype=object)
 
     return mask(text)
+
+
+def without_secrets(docs: DataFrame, network: Network | None = None) -> DataFrame:
+    """``docs`` with secrets masked in their texts, and n_chars, if there is such a column, set anew for changed texts."""
+    masked = docs.withColumn("__masked", redacted(F.col("text").cast("string"), network))
+    columns = []
+    for c in docs.columns:
+        if c == "text":
+            columns.append(F.col("__masked").alias("text"))
+        elif c == "n_chars":
+            changed = F.col("__masked") != F.col("text").cast("string")
+            size = F.length("__masked").cast(docs.schema["n_chars"].dataType)
+            columns.append(F.when(changed, size).otherwise(F.col("n_chars")).alias("n_chars"))
+        else:
+            columns.append(F.col(f"`{c}`"))
+    return masked.select(*columns)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,24 +107,30 @@ def leaks_of(text: str | None, seeds: Seeds, coverage: float) -> Iterator[tuple[
             yield k, sum(tiles) / size, len(tiles), max(tiles)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """One row per document and benchmark item that it leaks: doc_id, item_id, coverage, n_tiles, longest_tile.
-
-    Every document is scanned whole, in one pass per benchmark block of BLOCK_BYTES, without a shuffle. Items of fewer
-    than SEED words, null and empty texts match nothing; repeated rows are reported each.
-    """
+def _blocks(benchmark: DataFrame) -> Iterator[Seeds]:
+    """The benchmark's seeds, in blocks of about BLOCK_BYTES of text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + int(total // BLOCK_BYTES)
-    out = None
     for block in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        seeds = index_items(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in mine.toLocalIterator()))
+        yield index_items(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in mine.toLocalIterator()))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """One row per document and benchmark item that it leaks: doc_id, item_id, coverage, n_tiles, longest_tile.
+
+    Every document is scanned whole, in one pass per benchmark block of BLOCK_BYTES, without a shuffle. Items of fewer
+    than SEED words, null and empty texts match nothing; repeated rows are reported each; an item without an id is -1.
+    """
+    names = ["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = None
+    for seeds in _blocks(benchmark):
 
         def scan(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            names = ["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"]
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
             for batch in batches:
                 rows = [
                     (doc, seeds.ids[k], share, n, longest)
@@ -133,11 +140,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
                 columns = list(zip(*rows)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, LEAKS)
+        part = slim.mapInArrow(scan, LEAKS)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the documents that leak an item; rows without an id are judged by nothing and stay."""
-    return docs.join(find_leaks(docs, benchmark, coverage).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows whose text leaks an item, judged row by row in place, without a join."""
+    for seeds in _blocks(benchmark):
+
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series, seeds: Seeds = seeds) -> pd.Series:
+            return pd.Series([next(leaks_of(text, seeds, coverage), None) is None for text in texts], dtype=bool)
+
+        docs = docs.where(clean(F.col("text").cast("string")))
+    return docs
