@@ -145,13 +145,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     return out
 
 
+def _clean(seeds: Seeds, coverage: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([next(leaks_of(text, seeds, coverage), None) is None for text in texts], dtype=bool)
+
+    return clean
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the rows whose text leaks an item, judged row by row in place, without a join."""
     for seeds in _blocks(benchmark):
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, seeds: Seeds = seeds) -> pd.Series:
-            return pd.Series([next(leaks_of(text, seeds, coverage), None) is None for text in texts], dtype=bool)
-
-        docs = docs.where(clean(F.col("text").cast("string")))
+        docs = docs.where(_clean(seeds, coverage)(F.col("text").cast("string")))
     return docs
