@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,12 +70,14 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of unsigned 64-bit values."""
-    x = x.astype(np.uint64, copy=True)
     with np.errstate(over="ignore"):
-        x += np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return x
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -93,24 +98,58 @@ def _powers(base: int, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
     return kept[:n]
 
 
-def word_hashes(data: bytes, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of ``data`` (runs of bytes that ``is_word`` marks): their 64-bit hashes, starts and ends.
-
-    A word's hash is a difference of prefix sums of byte values times powers of an odd base, modulo 2**64, so a whole
-    text is hashed by a few numpy passes.
-    """
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    word = is_word[raw]
-    edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def _hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges: differences of prefix sums of byte values times powers of an odd base, modulo 2**64."""
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_BYTE_VALUE[raw] * _powers(_BASE, len(raw)), out=sums[1:])
         hashed = (sums[end] - sums[start]) * _powers(_BASE_INVERSE, len(raw))[start]
         hashed ^= (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return splitmix(hashed), start, end
+    return splitmix(hashed)
+
+
+def word_hashes(data: bytes, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of ``data`` (runs of bytes that ``is_word`` marks): their 64-bit hashes, starts and ends."""
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    edge = np.diff(is_word[raw].view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return _hashed(raw, start, end), start, end
+
+
+def words_of_all(texts: pa.Array, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of many texts one after another, ASCII letters lower-cased, and where each text's words begin.
+
+    A few numpy passes over all bytes at once; null texts count as empty. The offsets have one entry more than texts.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer((data.slice(at[0], at[-1] - at[0]).to_pybytes() if data is not None else b"").lower(), np.uint8)
+    at = at - at[0]
+    if not len(raw):
+        return np.empty(0, np.uint64), np.zeros(len(at), np.int64)
+    bound = np.zeros(len(raw) + 1, bool)
+    bound[at] = bound[-1] = True
+    word = is_word[raw]
+    gap = np.ones(len(raw) + 1, bool)
+    np.logical_not(word, out=gap[1:])
+    start = np.flatnonzero(word & (gap[:-1] | bound[:-1]))
+    gap[:-1], gap[-1] = ~word, True
+    end = np.flatnonzero(word & (gap[1:] | bound[1:])) + 1
+    return _hashed(raw, start, end), np.searchsorted(start, at)
+
+
+def in_chunks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of ``texts`` of about ``size`` bytes each (one text at least), with their first positions."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    k = 0
+    while k < len(texts):
+        before = ends[k - 1] if k else 0
+        n = max(1, int(np.searchsorted(ends, before + size, "right")) - k)
+        yield k, texts.slice(k, n)
+        k += n
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -119,10 +158,10 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        out = np.zeros(n, np.uint64)
-        for i in range(k):
-            out = splitmix(out ^ words[i : i + n]) if i == 0 else splitmix(out * np.uint64(_BASE) + words[i : i + n])
-    return out
+        out = words[:n] * np.uint64(_BASE)
+        for i in range(1, k):
+            out += words[i : i + n] * np.uint64(pow(_BASE, 2 * i + 1, 1 << 64))
+    return splitmix(out)
 
 
 #: True for the bytes outside [\x20\x09-\x0D].

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meadowlark.llm.common import PLAIN_WORD, durable, shingle_hashes, splitmix, word_hashes
+from meadowlark.llm.common import PLAIN_WORD, durable, in_chunks, shingle_hashes, splitmix, words_of_all
 from meadowlark.llm.components import connected, follow
 
 #: Ratio of a size band's bounds: wider bands repeat fewer sets in two bands, narrower ones have larger groups.
@@ -32,21 +32,40 @@ COORDINATES, TILE, LEAF = 128, 1024, 16
 FILTER_BITS = 26
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's k-word shingles; of the whole sequence if it has fewer words."""
-    words = word_hashes((text or "").encode("utf-8", "replace").lower(), PLAIN_WORD)[0]
-    if not len(words):
-        return words
-    if len(words) < k:
-        return splitmix(shingle_hashes(words, len(words)) ^ np.uint64(len(words)))
-    return np.unique(shingle_hashes(words, k))
+def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each text's k-word shingles, one text after another, and where each text's begin.
 
-
-def class_id(shingles: np.ndarray) -> int:
-    """A 64-bit fingerprint of a set, signed."""
-    with np.errstate(over="ignore"):
-        total = splitmix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))
-        return int(splitmix(np.array([total]))[0].astype(np.int64))
+    A text of fewer words has its whole sequence as the only one; a text without words has none.
+    """
+    words, at = words_of_all(texts, PLAIN_WORD)
+    n = np.diff(at)
+    whole = shingle_hashes(words, k)
+    inside = np.arange(len(whole)) + k <= np.repeat(at[1:], n)[: len(whole)]
+    values, count = whole[inside], np.maximum(n - k + 1, 0)
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        own = [shingle_hashes(words[at[i] : at[i + 1]], n[i]) ^ np.uint64(n[i]) for i in short]
+        values = np.insert(values, np.concatenate([[0], np.cumsum(count)])[short], splitmix(np.concatenate(own)))
+        count[short] = 1
+    ends = np.cumsum(count)
+    for a, b in zip(ends - count, ends):
+        values[a:b].sort()
+    text = np.repeat(np.arange(len(n)), count)
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+    count = np.bincount(text[fresh], minlength=len(n))
+    return values[fresh], np.concatenate([[0], np.cumsum(count)])
+
+
+def class_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each set; 0 for an empty one."""
+    n = np.diff(at)
+    out = np.zeros(len(n), np.uint64)
+    if len(values):
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(splitmix(values), at[:-1][n > 0])
+            out[n > 0] = splitmix(sums + n[n > 0].astype(np.uint64))
+    return out.view(np.int64)
 
 
 class Rule:
@@ -66,40 +85,52 @@ class Rule:
         """How many shingles linked sets have in common at least, from the sum of their sizes."""
         return -(-total * self.percent // (100 + self.percent))
 
-    def bands(self, n: int) -> list[tuple[int, int, int]]:
-        """(band, groups, signatures) in which a set of ``n`` meets all that it may link with; a pair meets in the
-        band of the larger one."""
-        most = n * 100 // self.percent
-        k = int(np.searchsorted(self.bounds, n, "right")) - 1
-        out = []
-        for band in (k, k + 1):
-            low, high = self.bounds[band], self.bounds[band + 1] - 1
-            if band == k or most >= low:
-                groups = self.differ(high, high) * 53 // 50 + 4
-                out.append((band, groups, self.differ(n, min(most, high)) + 1))
-        return out
+    def band(self, n: np.ndarray, further: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(whether sets of these sizes take part, band, groups, signatures) for their own size band or the next.
 
+        A pair meets in the band of the larger set; a set takes part in the next band if its partners reach into it.
+        """
+        bounds, most = np.array(self.bounds), n * 100 // self.percent
+        band = np.searchsorted(bounds, n, "right") - 1 + further
+        low, high = bounds[band], bounds[band + 1] - 1
+        return (most >= low) | (further == 0), band, self.differ(high, high) * 53 // 50 + 4, self.differ(n, np.minimum(most, high)) + 1
 
-def signatures(shingles: np.ndarray, rule: Rule) -> np.ndarray:
-    """Hashes of a set's first non-empty groups, in each of its bands.
+
+def signatures(values: np.ndarray, at: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, hash) of the first non-empty groups of each set, in each of its bands.
 
     A set with too few of them also sends its band's own signature: a pair without an equal non-empty group consists of
     two such sets.
     """
-    out = []
-    mixed = splitmix(shingles ^ np.uint64(0x5851F42D4C957F2D))
-    for band, groups, wanted in rule.bands(len(shingles)):
-        group = (mixed >> np.uint64(20)) % np.uint64(groups)
-        order = np.argsort(group, kind="stable")
-        first = np.flatnonzero(np.diff(group[order], prepend=np.uint64(groups)))
+    size = np.diff(at)
+    owner = np.repeat(np.arange(len(size)), size)
+    mixed = splitmix(values ^ np.uint64(0x5851F42D4C957F2D))
+    numbers, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for further in (0, 1):
+        takes, band, groups, wanted = rule.band(size, further)
+        takes &= size > 0
+        some = takes[owner]
+        own, mix = owner[some], mixed[some]
+        if not len(own):
+            continue
+        key = (own << 32) + ((mix >> np.uint64(20)) % groups[own].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        head = key[order][first]
+        own, group = head >> 32, head & 0xFFFFFFFF
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        found = np.diff(starts, append=len(own))
+        rank = np.arange(len(own)) - np.repeat(starts, found)
+        keep = rank < wanted[own]
         with np.errstate(over="ignore"):
-            content = np.add.reduceat(mixed[order], first)
-            place = splitmix(group[order][first] + np.uint64(band << 44))
-            found = splitmix(content[:wanted] * np.uint64(0x9E3779B97F4A7C15) + place[:wanted])
-        if len(found) < wanted:
-            found = np.append(found, splitmix(np.array([(band << 44) + (1 << 43)], np.uint64)))
-        out.append(found)
-    return np.concatenate(out)
+            content = np.add.reduceat(mix[order], first)[keep]
+            place = splitmix(((band[own] << 44) + group)[keep].astype(np.uint64))
+            hashes.append(splitmix(content * np.uint64(0x9E3779B97F4A7C15) + place))
+        numbers.append(own[keep])
+        few = own[starts][found < wanted[own[starts]]]
+        numbers.append(few)
+        hashes.append(splitmix(((band[few] << 44) + (1 << 43)).astype(np.uint64)))
+    return np.concatenate(numbers), np.concatenate(hashes)
 
 
 def _by_batch(docs: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
@@ -112,29 +143,44 @@ def _by_batch(docs: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.
 
 def _sized(docs: DataFrame, k: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t.as_py(), k) for t in batch.column(1)]
-        cids = pa.array([class_id(s) if len(s) else None for s in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), cids], ["doc_id", "n_shingles", "cid"])
+        sizes, cids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for _, texts in in_chunks(batch.column(1)):
+            values, at = shingle_sets(texts, k)
+            sizes.append(np.diff(at))
+            cids.append(class_ids(values, at))
+        n, cid = np.concatenate(sizes), np.concatenate(cids)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cid, mask=n == 0)], ["doc_id", "n_shingles", "cid"])
 
     return _by_batch(docs, "doc_id long, n_shingles long, cid long", work)
 
 
+def _fresh_sets(batch: pa.RecordBatch, k: int, seen: set[int], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(cids, values, offsets) of the batch's sets whose classes this task hasn't seen lately; ``wanted`` filters them."""
+    for _, texts in in_chunks(batch.column(1)):
+        values, at = shingle_sets(texts, k)
+        cids = class_ids(values, at)
+        take = np.diff(at) > 0
+        if wanted is not None:
+            low = cids & ((1 << FILTER_BITS) - 1)
+            take &= ((wanted[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1).astype(bool)
+        for i in np.flatnonzero(take):
+            take[i] = cids[i] not in seen
+            seen.add(cids[i])
+        if len(seen) > 200_000:
+            seen.clear()
+        n = np.where(take, np.diff(at), 0)
+        yield cids[take], values[np.repeat(take, np.diff(at))], np.concatenate([[0], np.cumsum(n[take])])
+
+
 def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(sig, cid) of all classes; a task sends the signatures of a class that it sees again and again once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule, seen = Rule(percent), set()
         for batch in batches:
-            sigs, cids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for text in batch.column(1):
-                shingles = shingle_set(text.as_py(), k)
-                if len(shingles) and (cid := class_id(shingles)) not in seen:
-                    seen.add(cid)
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    sigs.append(signatures(shingles, rule))
-                    cids.append(np.full(len(sigs[-1]), cid))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(cids))], ["sig", "cid"])
+            for cids, values, at in _fresh_sets(batch, k, seen):
+                number, sig = signatures(values, at, rule)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cids[number])], ["sig", "cid"])
 
     return docs.mapInArrow(run, "sig long, cid long")
 
@@ -203,21 +249,10 @@ def _sets(docs: DataFrame, k: int, wanted: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(wanted, np.uint8), set()
-        low = (1 << FILTER_BITS) - 1
         for batch in batches:
-            cids, sets = [], []
-            for text in batch.column(1):
-                shingles = shingle_set(text.as_py(), k)
-                if not len(shingles):
-                    continue
-                cid = class_id(shingles)
-                if (bits[(cid & low) >> 3] >> (7 - (cid & 7))) & 1 and cid not in seen:
-                    seen.add(cid)
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    cids.append(cid)
-                    sets.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "shingles"])
+            for cids, values, at in _fresh_sets(batch, k, seen, bits):
+                sets = [values[a:b].tobytes() for a, b in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
