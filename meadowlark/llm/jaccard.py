@@ -5,9 +5,12 @@ first groups (one more than it may differ in) at least one is therefore the same
 together, exactly and without comparing frequent single shingles.
 
 1. Equal sets form classes. Each class sends a hash of each of its first groups (its signatures); blocks are the classes
-   that share one. Every class is paired with the hub that it shares most blocks with; these pairs are verified.
-2. Blocks that now lie within one component are done. In the others, the classes' group counts are points of an R-tree;
-   the sum of coordinate minima bounds the overlap of two sets or of two nodes, and surviving pairs are verified.
+   that share one. Group counts over COORDINATES groups make each class of a block a point; the sum of coordinate minima
+   bounds the overlap of two sets, and of the sets below two nodes of an R-tree.
+2. Every class is paired with the hub that it shares most blocks with. Pairs that the bound allows are verified.
+3. Blocks that now lie within one component are done. In the others, an R-tree finds each component's best pair; these
+   are verified and components merged until nothing changes. Then all pairs across components that the bound allows are
+   verified. So a large group of near copies never shows as all its pairs.
 
 Verification compares whole shingle sets, so no link is missed and none is made up (but for 64-bit hash collisions).
 """
@@ -254,6 +257,12 @@ def _sets(docs: DataFrame, k: int, wanted: bytes) -> DataFrame:
                 sets = [values[a:b].tobytes() for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
+    return _once(docs.mapInArrow(run, "cid long, shingles binary"))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row per cid."""
+
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
@@ -265,8 +274,7 @@ def _sets(docs: DataFrame, k: int, wanted: bytes) -> DataFrame:
                 last = cid[-1]
             yield batch.filter(pa.array(keep))
 
-    shape = "cid long, shingles binary"
-    return docs.mapInArrow(run, shape).repartition("cid").sortWithinPartitions("cid").mapInArrow(once, shape)
+    return rows.repartition("cid").sortWithinPartitions("cid").mapInArrow(once, rows.schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -297,9 +305,9 @@ class CountTree:
             first = np.arange(0, len(tops), LEAF)
             self.levels.append((np.maximum.reduceat(tops, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)))
 
-    def pairs(self, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of points whose summed coordinate minima allow a link, found from the top by pairs of nodes."""
-        a = b = np.zeros(1, np.int64)
+    def pairs(self, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of points whose summed coordinate minima allow a link, and the sums; from the top by pairs of nodes."""
+        a = b = overlap = np.zeros(1, np.int64)
         for tops, low, high in self.levels[-2::-1]:
             parts = []
             for k in range(0, len(a), 64):
@@ -310,29 +318,57 @@ class CountTree:
                 x, y = x[fits], y[fits]
                 near = (low[x] * rule.percent <= high[y] * 100) & (low[y] * rule.percent <= high[x] * 100)
                 x, y = x[near], y[near]
-                fits = np.minimum(tops[x], tops[y]).sum(1, dtype=np.int64) >= rule.overlap(low[x] + low[y])
-                parts.append((x[fits], y[fits]))
-            a, b = (np.concatenate(p) for p in zip(*parts))
+                sums = np.minimum(tops[x], tops[y]).sum(1, dtype=np.int64)
+                fits = sums >= rule.overlap(low[x] + low[y])
+                parts.append((x[fits], y[fits], sums[fits]))
+            a, b, overlap = (np.concatenate(p) for p in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
         differ = a < b
-        return self.order[a[differ]], self.order[b[differ]]
+        return self.order[a[differ]], self.order[b[differ]], overlap[differ]
+
+
+def _points(docs: DataFrame, k: int, wanted: bytes) -> DataFrame:
+    """(cid, size, point) of the classes that the filter may want, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.frombuffer(wanted, np.uint8), set()
+        for batch in batches:
+            for cids, values, at in _fresh_sets(batch, k, seen, bits):
+                size = np.diff(at)
+                cell = np.repeat(np.arange(len(size)), size) * COORDINATES + (splitmix(values) % np.uint64(COORDINATES)).astype(np.int64)
+                counts = np.bincount(cell, minlength=len(size) * COORDINATES).astype(np.uint32).reshape(len(size), COORDINATES)
+                yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(size), pa.array([c.tobytes() for c in counts], pa.binary())], ["cid", "size", "point"])
+
+    return _once(docs.mapInArrow(run, "cid long, size long, point binary"))
 
 
-def _points(sets: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose group counts allow a link."""
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        points, sizes = [], []
-        for value in batch.column(1):
-            shingles = np.frombuffer(value.as_buffer(), np.uint64)
-            counts = np.bincount((splitmix(shingles) % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES)
-            points.append(counts.astype(np.uint32).tobytes())
-            sizes.append(len(shingles))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.binary()), pa.array(sizes, pa.int64())], ["cid", "point", "size"])
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("x", "y"))
+        least = Rule(percent).overlap(batch.column("n").to_numpy())
+        return batch.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(1, dtype=np.int64) >= least))
+
+    left = points.select(F.col("cid").alias("a"), F.col("point").alias("x"), F.col("size").alias("nx"))
+    right = points.select(F.col("cid").alias("b"), F.col("point").alias("y"), F.col("size").alias("ny"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("n"))
+    return _by_batch(both, "a long, b long", work)
+
 
-    return _by_batch(sets, "cid long, point binary, size long", work)
+def _best(a: np.ndarray, b: np.ndarray, score: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Positions of each root's pair of the highest score."""
+    order = np.argsort(-score, kind="stable")
+    roots = np.concatenate([root[a[order]], root[b[order]]])
+    return np.unique(np.tile(order, 2)[np.unique(roots, return_index=True)[1]])
 
 
-def _open_pairs(blocks: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of one block, of different components, whose counts allow a link."""
-    rooted = durable(blocks.select("sig", "cid").join(roots.select(F.col("id").alias("cid"), F.col("parent").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+def _open_pairs(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of classes of one block, of different components, whose counts allow a link.
+
+    With ``best``, only the best pair of each component in each block, and (a, a) for every class that has any pair.
+    Large blocks are compared by tiles of about TILE members, each pair of tiles in a task of its own.
+    """
+    rooted = durable(blocks.select("sig", "cid").join(roots.select(F.col("id").alias("cid"), "root"), "cid"))
     mixed = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
@@ -342,18 +378,23 @@ def _open_pairs(blocks: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumn("low", F.least("mine", "other"))
         .withColumn("high", F.greatest("mine", "other"))
-        .join(_points(sets), "cid")
+        .join(points, "cid")
         .select("sig", "low", "high", "mine", "cid", "root", "point", "size")
     )
 
     def compare(rows: dict[str, np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
         cid, root, mine = rows["cid"], rows["root"], rows["mine"]
         points = np.frombuffer(b"".join(rows["point"]), np.uint32).reshape(len(cid), COORDINATES)
-        x, y = CountTree(points, rows["size"]).pairs(rule)
+        x, y, overlap = CountTree(points, rows["size"]).pairs(rule)
         across = root[x] != root[y]
         if rows["low"][0] != rows["high"][0]:  # within a tile, its own task compares
             across &= mine[x] != mine[y]
-        x, y = cid[x[across]], cid[y[across]]
+        x, y, overlap = x[across], y[across], overlap[across]
+        if best and len(x):
+            some = np.unique(np.concatenate([x, y]))
+            top = _best(x, y, overlap / (rows["size"][x] + rows["size"][y]), root)
+            x, y = np.concatenate([x[top], some]), np.concatenate([y[top], some])
+        x, y = cid[x], cid[y]
         return np.maximum(x, y), np.minimum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +424,17 @@ def _open_pairs(blocks: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
             yield from blocks_of(rest)
 
     keys = ["sig", "low", "high"]
-    return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame | None:
+    """``roots`` (id, root) with the components that ``links`` (a, b) join as one; None if there are no links."""
+    if links.isEmpty():
+        return None
+    a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    across = links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    top = connected(across).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    return durable(roots.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root")))
 
 
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -396,28 +447,37 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sized = durable(_sized(docs, k))
     blocks = durable(_blocks(_signed(docs, k, percent)))
-    sets = durable(_sets(docs, k, _wanted(blocks.select("cid"))))
+    members = durable(blocks.select(F.col("cid").alias("id")).distinct())
+    points = durable(_points(docs, k, _wanted(members)))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return durable(_sets(docs, k, _wanted(ids)))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
 
     shared = blocks.where("cid <> hub").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("n"))
     nearest = shared.groupBy(F.col("cid").alias("a")).agg(F.max_by("hub", F.struct("n", "hub")).alias("b"))
-    stars = durable(_verified(nearest, sets, percent))
-    roots = follow(stars.select(F.col("a").alias("id"), F.col("b").alias("parent")))
-
-    more = durable(_verified(_open_pairs(blocks, roots, sets, percent), sets, percent))
-    root_of = roots.select("id", F.col("parent").alias("root"))
-    a, b = root_of.toDF("a", "ra"), root_of.toDF("b", "rb")
-    joined = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    merged = connected(joined)
-    final = merged.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    stars = durable(_bounded(nearest, points, percent))
+    linked = durable(_verified(stars, sets_of(ends(stars)), percent))
+    found = follow(linked.select(F.col("a").alias("id"), F.col("b").alias("parent")))
+    roots = durable(members.join(found, "id", "left").select("id", F.coalesce("parent", "id").alias("root")))
+
+    best = durable(_open_pairs(blocks, roots, points, percent, best=True).distinct())
+    open_ids = durable(best.where("a = b").select(F.col("a").alias("cid")))
+    sets = sets_of(open_ids)
+    blocks = durable(blocks.join(open_ids, "cid", "left_semi").select("sig", "cid"))
+    while True:  # ends when a round links nothing; each one halves the components that have links left, or better
+        merged = _merged(roots, durable(_verified(best.where("a <> b"), sets, percent)))
+        if merged is None:
+            break
+        roots = merged
+        best = durable(_open_pairs(blocks, roots, points, percent, best=True).distinct())
+    rest = _open_pairs(blocks, roots, points, percent, best=False).distinct()
+    roots = _merged(roots, durable(_verified(rest, sets, percent))) or roots
 
     classes = sized.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
-    topped = (
-        classes.join(root_of.withColumnRenamed("id", "cid"), "cid", "left")
-        .withColumn("root", F.coalesce("root", "cid"))
-        .join(final, "root", "left")
-        .withColumn("top", F.coalesce("top", "root"))
-        .select("cid", "top", "least")
-    )
+    topped = classes.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("top"), "least")
     named = topped.groupBy("top").agg(F.min("least").alias("component_id"))
     of_class = topped.join(named, "top").select("cid", "component_id")
     return sized.join(of_class, "cid", "left").select(
