@@ -35,17 +35,20 @@ def fingerprint(paths: Iterable[str]) -> str:
 
 
 class Mapping(NamedTuple):
-    """Either ``items`` (a list's field, with the keys of role and text) or ``fields``: (field, role) in turn order."""
+    """Either ``items`` (a list's field, with the keys of role and text) or ``fields``: (field, role) in turn order.
+
+    ``other_names``: roles may go by ROLE_NAMES.
+    """
 
     items: str | None = None
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
-    ignored: tuple[str, ...] = ()
+    other_names: bool = False
 
 
 _MESSAGES = Mapping("messages", "role", "content")
-_SHARED = Mapping("conversations", "from", "value")
+_SHARED = Mapping("conversations", "from", "value", other_names=True)
 
 #: Field paths of the known layouts and their mappings; a further layout is a further row.
 LAYOUTS: tuple[tuple[tuple[str, ...], Mapping], ...] = (
@@ -71,7 +74,7 @@ def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     if mapping.items is None:
         return [(role, _string(record.get(field))) for field, role in mapping.fields]
     pairs = [(_string(x.get(mapping.role)), _string(x.get(mapping.text))) for x in record.get(mapping.items) or []]
-    return [(ROLE_NAMES.get(role, role) if mapping is _SHARED else role, text) for role, text in pairs]
+    return [(ROLE_NAMES.get(role, role) if mapping.other_names else role, text) for role, text in pairs]
 
 
 def _string(value) -> str:

@@ -93,7 +93,7 @@ def _powers(base: int, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
             kept = np.full(size, base, np.uint64)
             kept[0] = 1
             kept = np.cumprod(kept, dtype=np.uint64)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _kept[base] = kept
     return kept[:n]
 
@@ -141,7 +141,7 @@ def words_of_all(texts: pa.Array, is_word: np.ndarray) -> tuple[np.ndarray, np.n
     return _hashed(raw, start, end), np.searchsorted(start, at)
 
 
-def in_chunks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+def in_chunks(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, pa.Array]]:
     """Slices of ``texts`` of about ``size`` bytes each (one text at least), with their first positions."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     k = 0

@@ -30,7 +30,7 @@ from meadowlark.llm.components import connected, follow
 #: Ratio of a size band's bounds: wider bands repeat fewer sets in two bands, narrower ones have larger groups.
 BAND_RATIO = 1.6
 #: Coordinates of a point; members of a block that one task compares; points of an R-tree's leaf.
-COORDINATES, TILE, LEAF = 128, 1024, 16
+COORDINATES, TILE, LEAF = 128, 256, 16
 #: Bits of the filter for the texts whose sets are needed (8 MB at most).
 FILTER_BITS = 26
 
@@ -226,10 +226,11 @@ def _wanted(ids: DataFrame) -> bytes:
     per = (1 << FILTER_BITS) // slices
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for batch in batches:
-            bits[batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)] = True
-        packed = np.packbits(bits).reshape(slices, per // 8)
+            low = np.unique(batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1))
+            np.bitwise_or.at(bits, low >> 3, (128 >> (low & 7)).astype(np.uint8))
+        packed = bits.reshape(slices, per // 8)
         some = np.flatnonzero(packed.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["slice", "bits"])
 
