@@ -77,8 +77,9 @@ class Rule:
     def __init__(self, percent: int):
         self.percent = percent
         self.bounds = [1]
+        ratio = max(BAND_RATIO, 100 / percent)  # so that partners are one band further at most
         while self.bounds[-1] < 1 << 40:
-            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * BAND_RATIO)))
+            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * ratio)))
 
     def differ(self, a: int, b: int) -> int:
         """In how many shingles linked sets of these sizes differ at most."""
