@@ -34,17 +34,21 @@ def documents(tables: serving.Combined, generated: str, state: str, source: str)
 
 
 def write_all(harvest_pages: DataFrame, population_pages: DataFrame, folder: str, generated: str, state: str, source: str) -> list[str]:
-    """CSV tables and the three documents of a set of reports."""
-    h, p = harvest.parse_reports(harvest_pages), population.parse_reports(population_pages)
-    tables = serving.combine(h, p)
+    """CSV tables and the three documents of a set of reports; the parsed tables are kept while they are written."""
+    h = harvest.Report(*[df.persist() for df in harvest.parse_reports(harvest_pages)])
+    p = population.Report(*[df.persist() for df in population.parse_reports(population_pages)])
+    tables = serving.Combined(*[df.persist() for df in serving.combine(h, p)])
     docs = documents(tables, generated, state, source)
-    return [
+    written = [
         sinks.harvest_csv(h.records, f"{folder}/harvest_csv"),
         sinks.unit_csv(h.unit_records, f"{folder}/unit_csv"),
         sinks.population_csv(p.records, f"{folder}/population_csv"),
         sinks.mapping_csv(p.records, f"{folder}/mapping_csv"),
         *[sinks.document(getattr(docs, name), f"{folder}/{name}.json") for name in docs._fields],
     ]
+    for df in (*h, *p, *tables):
+        df.unpersist()
+    return written
 
 
 def summary(tables: serving.Combined) -> DataFrame:
