@@ -49,14 +49,8 @@ def year_json(files: DataFrame, path: str) -> str:
 
 def document(pieces: DataFrame, path: str) -> str:
     """Text pieces (part, step, at, piece) as one file; rows stream through one writer in order, commas between items."""
-    after = F.lag("step").over(_piece_window())
-    comma = F.when((F.col("step") == 1) & (after == 1), ",").otherwise("")
-    text = pieces.withColumn("piece", F.concat(comma, "piece")).orderBy("part", "step", "at").coalesce(1)
-    text.select("piece").write.mode("overwrite").text(path, lineSep="\n")
+    first = pieces.where("step = 1").groupBy("part").agg(F.min("at").alias("first"))  # one row per part
+    comma = F.when((F.col("step") == 1) & (F.col("at") != F.col("first")), ",").otherwise("")
+    text = pieces.join(F.broadcast(first), "part", "left").withColumn("piece", F.concat(comma, "piece"))
+    text.orderBy("part", "step", "at").coalesce(1).select("piece").write.mode("overwrite").text(path, lineSep="\n")
     return path
-
-
-def _piece_window():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("part").orderBy("step", "at")
