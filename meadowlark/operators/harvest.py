@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from meadowlark.functions.patterns import BY_SEASON, BY_SEASON_UNIT, HARVEST_ROW, SEASON_ROW, SUCCESS_ROW, UNIT_ROW
 from meadowlark.functions.text import WS, tokens, tried_float, tried_int, unit_id
-from meadowlark.operators.sections import in_sections, report_lines
+from meadowlark.operators.sections import in_sections, report_lines, report_years
 
 HARVEST_COLUMNS = (
     "year", "species", "gmu", "section_method", "section_season", "section_license_type", "bulls", "cows", "calves", "total_harvest", "total_hunters",
@@ -27,8 +27,10 @@ ORDER = ("file", "file_ord", "page_no", "line_no")
 
 
 class Report(NamedTuple):
-    """What a set of harvest reports gives; ``quarantine`` names the files that failed and gave nothing."""
+    """What a set of harvest reports gives: ``files`` (with their years) that could be read, with or without records,
+    and in ``quarantine`` those that failed and gave nothing."""
 
+    files: DataFrame
     records: DataFrame
     unit_records: DataFrame
     sections: DataFrame
@@ -99,11 +101,11 @@ def parse_reports(pages: DataFrame, species: str = "elk") -> Report:
     carried in, so this costs no shuffle. Repeated titles open sections of their
     own, sections without rows are listed with 0 records, null pages are skipped.
     """
-    lines = report_lines(pages)
+    years = report_years(pages)
+    lines = report_lines(pages, years)
     every = with_rows(in_sections(lines)).withColumn("__fails", F.max("is_bad").over(Window.partitionBy("file")))
     rows = every.where(~F.col("__fails"))
-    dated = lines.where(F.col("year").isNotNull()).select("file").distinct()
-    no_year = pages.select("file").distinct().join(dated, "file", "left_anti").withColumn("reason", F.lit("no year"))
+    no_year = years.where(F.col("year").isNull()).select("file", F.lit("no year").alias("reason"))
     bad = every.where("is_bad").select("file").distinct().withColumn("reason", F.lit("bad number"))
     sections = (
         rows.groupBy("file", "file_ord", "year", "section")
@@ -114,7 +116,8 @@ def parse_reports(pages: DataFrame, species: str = "elk") -> Report:
             F.col("meta.table_type").alias("type"), "meta.method", "meta.season", "meta.license_type", "records",
         )
     )
-    return Report(harvest_rows(rows, species), unit_rows(rows, species), sections, no_year.unionByName(bad))
+    files = years.where(F.col("year").isNotNull()).join(bad.select("file"), "file", "left_anti")
+    return Report(files, harvest_rows(rows, species), unit_rows(rows, species), sections, no_year.unionByName(bad))
 
 
 def app_tables(records: DataFrame) -> DataFrame:

@@ -25,26 +25,34 @@ def page_kinds(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("text").isNotNull()).withColumn("skipped", dotted | headed | method)
 
 
-def report_lines(pages: DataFrame) -> DataFrame:
-    """The trimmed lines of the pages that count, without blank ones and bare page numbers, and with the file's ``year``.
+def report_years(pages: DataFrame) -> DataFrame:
+    """(file, file_ord, year): the first year that a skipped page names, else that of the first line that starts with one.
 
-    The year is the first that a skipped page names; without one, that of the first line that starts with a year. Files
-    without a year keep their lines, their year is null.
+    One partial aggregate over pages; the lines are looked at inside their page's row. Null for files that name no year.
     """
     kinds = page_kinds(pages)
     named = F.when(F.col("skipped"), F.nullif(F.regexp_extract("text", _YEAR, 1), F.lit("")))
-    from_pages = kinds.groupBy("file").agg(F.min_by(named, F.when(named.isNotNull(), F.col("page_no"))).alias("page_year"))
-    lines = (
-        kinds.where(~F.col("skipped"))
+    started = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_extract(trimmed(x), r"^(20\d{2})\s+Elk", 1)), lambda y: y != "")
+    opening = F.when(~F.col("skipped"), F.try_element_at(started, F.lit(1)))
+    found = kinds.select("file", "page_no", named.alias("named"), opening.alias("opening")).groupBy("file").agg(
+        F.min_by("named", F.when(F.col("named").isNotNull(), F.col("page_no"))).alias("named"),
+        F.min_by("opening", F.when(F.col("opening").isNotNull(), F.col("page_no"))).alias("opening"),
+    )
+    files = pages.select("file", "file_ord").distinct()
+    return files.join(found, "file", "left").select("file", "file_ord", F.coalesce("named", "opening").cast("bigint").alias("year"))
+
+
+def report_lines(pages: DataFrame, years: DataFrame | None = None) -> DataFrame:
+    """The trimmed lines of the pages that count, without blank ones and bare page numbers, with their file's ``year``."""
+    years = report_years(pages) if years is None else years
+    return (
+        page_kinds(pages)
+        .where(~F.col("skipped"))
         .select("file", "file_ord", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .withColumn("line", trimmed(F.col("line")))
         .where((F.col("line") != "") & ~F.col("line").rlike(r"^\d{1,3}$"))
+        .join(years.select("file", "year"), "file")
     )
-    started = F.nullif(F.regexp_extract("line", r"^(20\d{2})\s+Elk", 1), F.lit(""))
-    at = F.when(started.isNotNull(), F.struct("page_no", "line_no"))
-    from_lines = lines.groupBy("file").agg(F.min_by(started, at).alias("line_year"))
-    years = from_pages.join(from_lines, "file", "left").select("file", F.coalesce("page_year", "line_year").cast("bigint").alias("year"))
-    return lines.join(years, "file")
 
 
 def in_sections(lines: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def combine(harvest_report: harvest.Report, population_report: population.Report
 
     Harvest and population years count with every file that has them, herd unit summaries only with records.
     """
-    harvest_years = harvest_report.sections.select("year").unionByName(harvest_report.records.select("year")).distinct().withColumn("kind", F.lit("harvest"))
+    harvest_years = harvest_report.files.select("year").distinct().withColumn("kind", F.lit("harvest"))
     population_years = population_report.totals.select("year").distinct().withColumn("kind", F.lit("population"))
     summary_years = harvest_report.unit_records.select("year").distinct().withColumn("kind", F.lit("unit_summary"))
     definitions = dimensions.unit_definitions(population_report.records)

@@ -78,7 +78,8 @@ def test_sections_and_quarantine(report):
         ("harvest_rec_days", "all", 2), ("percent_success", "rifle", 1), ("harvest_rec_days", "rifle", 1), ("dau_summary", "all", 2), ("bosque", "bosque", 3),
         ("harvest_rec_days", "damage", 0), ("harvest_rec_days", "late_incl_plo", 1),
     ]
-    assert {tuple(r) for r in report.quarantine.collect()} == {("b.txt", "no year"), ("c.txt", "no year"), ("d.txt", "bad number")}
+    assert {tuple(r) for r in report.quarantine.collect()} == {("b.txt", "no year"), ("d.txt", "bad number")}
+    assert {(r["file"], r["year"]) for r in report.files.collect()} == {("a.txt", 2019), ("c.txt", 2020)}
 
 
 def test_order_of_input_does_not_matter(pages, report):
@@ -164,6 +165,7 @@ def test_unit_definitions_and_lookup(units):
 def test_documents(spark, pages, tmp_path):
     text = "2019 POST HUNT\nHerd Name\nBull/Cow\n1 Cold Spring 1, 2 1,000 30\n3 Empty 0\nTotal Statewide Estimate 1,000"
     tables = reports.combined_tables(pages, spark.createDataFrame([("p.txt", 0, 0, text)], PAGE))
+    tables = serving.Combined(*[df.persist() for df in tables])
     docs = reports.documents(tables, "2024-01-02", "State", "Agency")
     loaded = {}
     for name in docs._fields:
@@ -172,7 +174,7 @@ def test_documents(spark, pages, tmp_path):
         assert path
     full = loaded["full"]
     assert full["metadata"]["record_counts"] == {"harvest": 8, "dau_harvest_summary": 2, "population": 2, "dau_definitions": 2}
-    assert full["metadata"]["years"] == [2019] and full["metadata"]["generated"] == "2024-01-02"
+    assert full["metadata"]["years"] == [2019, 2020] and full["metadata"]["generated"] == "2024-01-02"
     assert full["statewide_trends"]["population"] == {"2019": 1000} and full["statewide_trends"]["harvest"]["2019"]["gmu_count"] == 2
     assert list(full["dau_definitions"]) == ["E-1", "E-3"]
     assert "gmu_history" not in full["dau_definitions"]["E-1"] and full["dau_definitions"]["E-3"]["gmu_history"] == {}
