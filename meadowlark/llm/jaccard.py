@@ -9,7 +9,7 @@ together, exactly and without comparing frequent single shingles.
    bounds the overlap of two sets, and of the sets below two nodes of an R-tree.
 2. Every class is paired with the hub that it shares most blocks with. Pairs that the bound allows are verified.
 3. Blocks that now lie within one component are done. In the others, an R-tree finds each component's best pair; these
-   are verified and components merged until nothing changes. Then all pairs across components that the bound allows are
+   are verified and components merged until hardly any pair links. Then all pairs across components that the bound allows are
    verified. So a large group of near copies never shows as all its pairs.
 
 Verification compares whole shingle sets, so no link is missed and none is made up (but for 64-bit hash collisions).
@@ -31,8 +31,8 @@ from meadowlark.llm.components import connected, follow
 BAND_RATIO = 1.6
 #: Coordinates of a point; members of a block that one task compares; points of an R-tree's leaf.
 COORDINATES, TILE, LEAF = 128, 256, 16
-#: Bits of the filter for the texts whose sets are needed (8 MB at most).
-FILTER_BITS = 26
+#: Bits of the filter for the texts whose sets are needed: 2 MB, whatever the number of texts.
+FILTER_BITS = 24
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +170,7 @@ def _fresh_sets(batch: pa.RecordBatch, k: int, seen: set[int], wanted: np.ndarra
         for i in np.flatnonzero(take):
             take[i] = cids[i] not in seen
             seen.add(cids[i])
-        if len(seen) > 200_000:
+        if len(seen) > 50_000:
             seen.clear()
         n = np.where(take, np.diff(at), 0)
         yield cids[take], values[np.repeat(take, np.diff(at))], np.concatenate([[0], np.cumsum(n[take])])
@@ -429,10 +429,8 @@ def _open_pairs(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent:
     return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame | None:
-    """``roots`` (id, root) with the components that ``links`` (a, b) join as one; None if there are no links."""
-    if links.isEmpty():
-        return None
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (id, root) with the components that ``links`` (a, b) join as one."""
     a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
     across = links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     top = connected(across).select(F.col("id").alias("root"), F.col("root").alias("top"))
@@ -469,14 +467,16 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     open_ids = durable(best.where("a = b").select(F.col("a").alias("cid")))
     sets = sets_of(open_ids)
     blocks = durable(blocks.join(open_ids, "cid", "left_semi").select("sig", "cid"))
-    while True:  # ends when a round links nothing; each one halves the components that have links left, or better
-        merged = _merged(roots, durable(_verified(best.where("a <> b"), sets, percent)))
-        if merged is None:
-            break
-        roots = merged
+    while True:
+        tried = best.where("a <> b")
+        links = durable(_verified(tried, sets, percent))
+        if links.count() * 20 < tried.count() or links.isEmpty():
+            break  # hardly any components are left to merge; the pairs below contain these
+        roots = _merged(roots, links)
         best = durable(_open_pairs(blocks, roots, points, percent, best=True).distinct())
     rest = _open_pairs(blocks, roots, points, percent, best=False).distinct()
-    roots = _merged(roots, durable(_verified(rest, sets, percent))) or roots
+    links = durable(_verified(rest, sets, percent))
+    roots = roots if links.isEmpty() else _merged(roots, links)
 
     classes = sized.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
     topped = classes.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("top"), "least")
