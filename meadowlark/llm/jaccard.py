@@ -29,8 +29,9 @@ from meadowlark.llm.components import connected, follow
 
 #: Ratio of a size band's bounds: wider bands repeat fewer sets in two bands, narrower ones have larger groups.
 BAND_RATIO = 1.6
-#: Coordinates of a point; members of a block that one task compares; points of an R-tree's leaf.
-COORDINATES, TILE, LEAF = 128, 256, 16
+#: Coordinates of a point; members of a block that one task compares; points of an R-tree's leaf. With as many
+#: coordinates as a usual text has shingles, the summed minima come close to the overlap itself.
+COORDINATES, TILE, LEAF = 512, 256, 16
 #: Bits of the filter for the texts whose sets are needed: 2 MB, whatever the number of texts.
 FILTER_BITS = 24
 
@@ -298,19 +299,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 class CountTree:
     """An R-tree over group counts, packed bottom-up; a node holds its points' largest coordinates and size range."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((points[:, 0], points.argmax(1), sizes))
-        self.order, self.points, self.sizes = order, points[order], sizes[order]
-        self.levels = [(self.points, self.sizes, self.sizes)]
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, extra: np.ndarray):
+        self.order = np.lexsort((points[:, 0], points.argmax(1), sizes))
+        sizes = sizes[self.order]
+        self.levels = [(points[self.order], sizes, sizes, extra[self.order])]
         while len(self.levels[-1][0]) > 1:
-            tops, low, high = self.levels[-1]
+            tops, low, high, more = self.levels[-1]
             first = np.arange(0, len(tops), LEAF)
-            self.levels.append((np.maximum.reduceat(tops, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)))
+            largest = [np.maximum.reduceat(v, first) for v in (tops, high, more)]
+            self.levels.append((largest[0], np.minimum.reduceat(low, first), *largest[1:]))
 
     def pairs(self, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pairs of points whose summed coordinate minima allow a link, and the sums; from the top by pairs of nodes."""
         a = b = overlap = np.zeros(1, np.int64)
-        for tops, low, high in self.levels[-2::-1]:
+        for tops, low, high, more in self.levels[-2::-1]:
             parts = []
             for k in range(0, len(a), 64):
                 step = np.arange(LEAF)
@@ -320,7 +322,7 @@ class CountTree:
                 x, y = x[fits], y[fits]
                 near = (low[x] * rule.percent <= high[y] * 100) & (low[y] * rule.percent <= high[x] * 100)
                 x, y = x[near], y[near]
-                sums = np.minimum(tops[x], tops[y]).sum(1, dtype=np.int64)
+                sums = np.minimum(tops[x], tops[y]).sum(1, dtype=np.int64) + np.minimum(more[x], more[y])
                 fits = sums >= rule.overlap(low[x] + low[y])
                 parts.append((x[fits], y[fits], sums[fits]))
             a, b, overlap = (np.concatenate(p) for p in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
@@ -329,7 +331,10 @@ class CountTree:
 
 
 def _points(docs: DataFrame, k: int, wanted: bytes) -> DataFrame:
-    """(cid, size, point) of the classes that the filter may want, one row each."""
+    """(cid, size, extra, point) of the classes that the filter may want, one row each.
+
+    A coordinate is one byte; what counts have beyond 255 is summed up as ``extra``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(wanted, np.uint8), set()
@@ -337,23 +342,27 @@ def _points(docs: DataFrame, k: int, wanted: bytes) -> DataFrame:
             for cids, values, at in _fresh_sets(batch, k, seen, bits):
                 size = np.diff(at)
                 cell = np.repeat(np.arange(len(size)), size) * COORDINATES + (splitmix(values) % np.uint64(COORDINATES)).astype(np.int64)
-                counts = np.bincount(cell, minlength=len(size) * COORDINATES).astype(np.uint32).reshape(len(size), COORDINATES)
-                yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(size), pa.array([c.tobytes() for c in counts], pa.binary())], ["cid", "size", "point"])
+                counts = np.bincount(cell, minlength=len(size) * COORDINATES).reshape(len(size), COORDINATES)
+                extra = np.maximum(counts - 255, 0).sum(1)
+                points = [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8)]
+                columns = [pa.array(cids), pa.array(size), pa.array(extra), pa.array(points, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "size", "extra", "point"])
 
-    return _once(docs.mapInArrow(run, "cid long, size long, point binary"))
+    return _once(docs.mapInArrow(run, "cid long, size long, extra long, point binary"))
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs whose group counts allow a link."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("x", "y"))
-        least = Rule(percent).overlap(batch.column("n").to_numpy())
-        return batch.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(1, dtype=np.int64) >= least))
-
-    left = points.select(F.col("cid").alias("a"), F.col("point").alias("x"), F.col("size").alias("nx"))
-    right = points.select(F.col("cid").alias("b"), F.col("point").alias("y"), F.col("size").alias("ny"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("n"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("x", "y"))
+        most = np.minimum(x, y).sum(1, dtype=np.int64) + batch.column("extra").to_numpy()
+        return batch.select(["a", "b"]).filter(pa.array(most >= Rule(percent).overlap(batch.column("n").to_numpy())))
+
+    left = points.select(F.col("cid").alias("a"), F.col("point").alias("x"), F.col("size").alias("nx"), F.col("extra").alias("ex"))
+    right = points.select(F.col("cid").alias("b"), F.col("point").alias("y"), F.col("size").alias("ny"), F.col("extra").alias("ey"))
+    total, extra = (F.col("nx") + F.col("ny")).alias("n"), F.least("ex", "ey").alias("extra")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", total, extra)
     return _by_batch(both, "a long, b long", work)
 
 
@@ -381,13 +390,13 @@ def _open_pairs(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent:
         .withColumn("low", F.least("mine", "other"))
         .withColumn("high", F.greatest("mine", "other"))
         .join(points, "cid")
-        .select("sig", "low", "high", "mine", "cid", "root", "point", "size")
+        .select("sig", "low", "high", "mine", "cid", "root", "size", "extra", "point")
     )
 
     def compare(rows: dict[str, np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
         cid, root, mine = rows["cid"], rows["root"], rows["mine"]
-        points = np.frombuffer(b"".join(rows["point"]), np.uint32).reshape(len(cid), COORDINATES)
-        x, y, overlap = CountTree(points, rows["size"]).pairs(rule)
+        points = np.frombuffer(b"".join(rows["point"]), np.uint8).reshape(len(cid), COORDINATES)
+        x, y, overlap = CountTree(points, rows["size"], rows["extra"]).pairs(rule)
         across = root[x] != root[y]
         if rows["low"][0] != rows["high"][0]:  # within a tile, its own task compares
             across &= mine[x] != mine[y]
@@ -401,7 +410,7 @@ def _open_pairs(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule, rest = Rule(percent), None
-        names = ["sig", "low", "high", "mine", "cid", "root", "point", "size"]
+        names = ["sig", "low", "high", "mine", "cid", "root", "size", "extra", "point"]
 
         def blocks_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
             cols = {n: (table.column(n).to_numpy() if n != "point" else np.array(table.column(n).to_pylist(), object)) for n in names}
