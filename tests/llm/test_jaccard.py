@@ -73,14 +73,15 @@ def test_large_group_of_near_copies(spark):
 
 def test_tree_finds_every_pair_that_counts_allow():
     rng = np.random.default_rng(4)
-    points = rng.poisson(2, (300, 16)).astype(np.uint32)
-    points[150:] = points[:150] + rng.integers(0, 2, (150, 16)).astype(np.uint32)
-    sizes, rule = points.sum(1).astype(np.int64), jaccard.Rule(85)
-    x, y, overlap = jaccard.CountTree(points, sizes).pairs(rule)
+    points = rng.poisson(2, (300, 16)).astype(np.uint8)
+    points[150:] = points[:150] + rng.integers(0, 2, (150, 16)).astype(np.uint8)
+    extra = np.where(np.arange(300) % 7 == 0, 5, 0)
+    sizes, rule = points.sum(1).astype(np.int64) + extra, jaccard.Rule(85)
+    x, y, overlap = jaccard.CountTree(points, sizes, extra).pairs(rule)
     found = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
     for a in range(300):
         for b in range(a):
-            allowed = np.minimum(points[a], points[b]).sum() >= rule.overlap(sizes[a] + sizes[b])
+            allowed = np.minimum(points[a], points[b]).sum(dtype=int) + min(extra[a], extra[b]) >= rule.overlap(sizes[a] + sizes[b])
             assert ((b, a) in found) == bool(allowed)
 
 
