@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
-from meadowlark.operators import harvest, population, serving, trends
+from meadowlark.operators import harvest, population, serving
 from meadowlark.sources import sinks
 
 SLIM_NOTE = "Slim version: harvest limited to all-manners/all-seasons harvest_rec_days only"
@@ -58,6 +58,3 @@ def summary(tables: serving.Combined) -> DataFrame:
 
 def latest_figures(tables: serving.Combined) -> tuple[DataFrame, DataFrame]:
     return serving.latest_year(tables.population_trend, "statewide_total"), serving.latest_year(tables.harvest_trend, "total_harvest")
-
-
-__all__ = ["Documents", "combined_tables", "documents", "latest_figures", "summary", "trends", "write_all"]

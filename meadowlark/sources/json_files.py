@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowlark.operators.harvest import COUNTS, HARVEST_COLUMNS, SPLIT_COUNTS, UNIT_COLUMNS
+from meadowlark.operators.harvest import COUNTS, HARVEST_COLUMNS, UNIT_COLUMNS
 from meadowlark.sources.pages import with_file_order
 
 _TEXT = {"species", "section_method", "section_season", "section_license_type", "table_type", "section_title", "dau"}
@@ -68,6 +68,3 @@ def unit_records(files: DataFrame) -> DataFrame:
 
 def population_records(files: DataFrame) -> DataFrame:
     return _exploded(files, "records")
-
-
-__all__ = ["HARVEST_FILE", "POPULATION_FILE", "SPLIT_COUNTS", "exists", "harvest_records", "population_records", "read_files", "read_reports", "unit_records"]
