@@ -377,10 +377,13 @@ def _open_pairs(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent:
     """Pairs (a, b) of classes of one block, of different components, whose counts allow a link.
 
     With ``best``, only the best pair of each component in each block, and (a, a) for every class that has any pair.
-    Large blocks are compared by tiles of about TILE members, each pair of tiles in a task of its own.
+    Texts that are alike share many signatures; of the blocks with the same members, one is compared. Large blocks are
+    compared by tiles of about TILE members, each pair of tiles in a task of its own.
     """
     rooted = durable(blocks.select("sig", "cid").join(roots.select(F.col("id").alias("cid"), "root"), "cid"))
-    mixed = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
+    of_block = [F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("members")]
+    mixed = rooted.groupBy("sig").agg(*of_block, F.min("cid").alias("hub")).where("low < high")
+    mixed = mixed.groupBy("members", "hub", "m").agg(F.min("sig").alias("sig"))
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
     tiled = (
