@@ -1,9 +1,10 @@
 """HTML extraction by deducing each host's page template from equivalence classes of tokens.
 
 Tokens are a page's elements (told apart by their path and class) and its text blocks. Tokens that occur equally often
-in every page of a host form an equivalence class; large and frequent classes whose elements lie in elements of valid
-classes are nested into the host's template. What the template doesn't fix are slots; the main text is what stands in
-the slots, without those in menus, notices and the like.
+in every page of a host form an equivalence class; large and frequent classes whose texts lie in frequent elements
+are nested into the host's template. What the template doesn't fix are slots; the main text is what stands in
+the slots, inside articles and outside, without those in menus, notices and the like. Tags and class words are a check:
+text in an article goes only where it is the lesser part of the page's articles.
 
 Occurrence vectors are never gathered: a token's vector is summed up as one number over pages, so a host with a third of
 all pages is just another key of a partial aggregate.
@@ -144,7 +145,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
                 for own, path in elements:
                     count[own, path, False] = count.get((own, path, False), 0) + 1
                 for block in blocks:
-                    if not block.in_article:  # an article's text is never the template's
+                    if not block.aside:  # what stands aside is no main text anyway
                         key = (text_token(block), block.path, True)
                         count[key] = count.get(key, 0) + 1
                 page = _hash(f"{url} {len(html.as_py() or '')}") | 1
@@ -181,13 +182,12 @@ def templates(pages: DataFrame) -> DataFrame:
     vectors = durable(vectors)
     hosts = vectors.groupBy("host").agg(F.max("pages").alias("of"))
     sizes = vectors.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"), F.max("pages").alias("pages"))
-    classes = sizes.join(hosts, "host").where(
-        (F.col("size") >= LARGE) & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= FREQUENT * F.col("of"))
-    )
-    valid = vectors.join(classes.select("host", "vector"), ["host", "vector"], "left_semi")
-    # nesting: a token belongs to the template if the element around it does
-    around = valid.where(~F.col("is_text")).select("host", F.col("token").alias("parent"))
-    nested = valid.where("is_text").join(around, ["host", "parent"], "left_semi")
+    frequent = (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= FREQUENT * F.col("of"))
+    classes = sizes.join(hosts, "host").where((F.col("size") >= LARGE) & frequent)
+    valid = vectors.where("is_text").join(classes.select("host", "vector"), ["host", "vector"], "left_semi")
+    # nesting: a text belongs to the template if the element around it does, which may occur unequally often (paragraphs)
+    around = vectors.where(~F.col("is_text")).join(hosts, "host").where(frequent).select("host", F.col("token").alias("parent"))
+    nested = valid.join(around, ["host", "parent"], "left_semi")
     return nested.groupBy("host").agg(F.collect_set("token").alias("fixed"))
 
 
@@ -196,13 +196,16 @@ BROADCAST_BLOCKS = 500_000
 
 
 def main_text(html: str | None, fixed: set[int]) -> str:
-    """The text blocks in a page's slots: its articles' if it has any, else all that the template doesn't fix."""
-    _, blocks = parse(html or "")
-    if any(b.in_article and not b.aside for b in blocks):
-        kept = [b.text for b in blocks if b.in_article and not b.aside]
-    else:
-        kept = [b.text for b in blocks if not b.aside and text_token(b) not in fixed]
-    return "\n".join(kept)
+    """The text blocks in a page's slots: all that the template doesn't fix and that don't stand aside.
+
+    What the template fixes in articles stays if it is half of their text or more: then the pages are near copies.
+    """
+    blocks = [b for b in parse(html or "")[1] if not b.aside]
+    slot = [text_token(b) not in fixed for b in blocks]
+    articles = sum(len(b.text) for b in blocks if b.in_article)
+    gone = sum(len(b.text) for b, free in zip(blocks, slot) if b.in_article and not free)
+    keep = 2 * gone >= articles
+    return "\n".join(b.text for b, free in zip(blocks, slot) if free or (b.in_article and keep))
 
 
 def extract(pages: DataFrame) -> DataFrame:

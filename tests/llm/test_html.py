@@ -42,6 +42,23 @@ def test_template_of_a_host(spark):
     assert found[92] == "Welcome to the site\nstory 7 with words\nmore 7\nAll our terms"  # one page makes no template
 
 
+def _texts(spark, htmls):
+    pages = spark.createDataFrame([(k, f"http://h.example/{k}", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+
+
+def test_the_template_decides_about_articles(spark):
+    page = "<html><body><div class=top>Welcome</div><article><h2>Teaser {0}</h2><p>teaser of story number {0}</p><p>Share it</p></article><div class=story>long body {0}</div></body></html>"
+    found = _texts(spark, [page.format(k) for k in range(5)])
+    assert all(found[k] == f"Teaser {k}\nteaser of story number {k}\nlong body {k}" for k in range(5))
+
+
+def test_near_copies_keep_their_articles(spark):
+    page = "<html><body><article><p>The same long story on many pages</p><p>another part of that story</p><p>seen {0}</p></article></body></html>"
+    found = _texts(spark, [page.format(k) for k in range(5)])
+    assert all(found[k] == f"The same long story on many pages\nanother part of that story\nseen {k}" for k in range(5))
+
+
 def test_broadcast_and_join_agree(spark, monkeypatch):
     pages = spark.createDataFrame([(k, f"http://h.example/{k}", _page(k)) for k in range(5)] * 2, "page_id long, url string, html string")
     one = sorted(map(tuple, H.extract(pages).collect()))
