@@ -134,11 +134,14 @@ def text_token(block: Block) -> int:
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, parent, is_text, page mark times count): each page's distinct tokens."""
+    """(host, token, parent, is_text, page, page mark times count): each page's distinct tokens.
+
+    A page is named by its text outside menus, notices and the like, so copies under several urls have one name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, tokens, parents, texts, marks = [], [], [], [], []
+            hosts, tokens, parents, texts, names, marks = [], [], [], [], [], []
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1)):
                 elements, blocks = parse(html.as_py() or "")
                 count: dict[tuple[int, int, bool], int] = {}
@@ -148,18 +151,19 @@ def _occurrences(pages: DataFrame) -> DataFrame:
                     if not block.aside:  # what stands aside is no main text anyway
                         key = (text_token(block), block.path, True)
                         count[key] = count.get(key, 0) + 1
-                page = _hash(f"{url} {len(html.as_py() or '')}") | 1
+                name = _hash("\n".join(b.text for b in blocks if not b.aside))
                 host = host_of(url)
                 for (token, parent, is_text), n in count.items():
                     hosts.append(host)
                     tokens.append(token)
                     parents.append(parent)
                     texts.append(is_text)
-                    marks.append((page * n) & _SIGN)
-            columns = [pa.array(hosts, pa.string()), _signed(tokens), _signed(parents), pa.array(texts, pa.bool_()), pa.array(marks, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "token", "parent", "is_text", "mark"])
+                    names.append(name)
+                    marks.append(((name | 1) * n) & _SIGN)
+            columns = [pa.array(hosts, pa.string()), _signed(tokens), _signed(parents), pa.array(texts, pa.bool_()), _signed(names), pa.array(marks, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "token", "parent", "is_text", "page", "mark"])
 
-    return pages.mapInArrow(run, "host string, token long, parent long, is_text boolean, mark long")
+    return pages.mapInArrow(run, "host string, token long, parent long, is_text boolean, page long, mark long")
 
 
 #: A class counts as frequent from this share of a host's pages, and as large from so many tokens.
@@ -169,10 +173,12 @@ FREQUENT, LARGE, LEAST_PAGES = 0.5, 2, 3
 def templates(pages: DataFrame) -> DataFrame:
     """(host, fixed): the hashes of the text blocks that each host's template fixes, as 8-byte values.
 
-    Sums of page marks stand for occurrence vectors; they are taken modulo 2**63 so that they never overflow.
+    Sums of page marks stand for occurrence vectors; they are taken modulo 2**63 so that they never overflow. Copies of
+    a page on its host count once: they are no evidence of a template, and pages that count differ in their other text.
     """
     limit = F.lit(1 << 62).cast("decimal(38,0)")
-    seen = _occurrences(pages)
+    one = ("parent", "is_text", "mark")
+    seen = _occurrences(pages).groupBy("host", "token", "page").agg(*[F.max(c).alias(c) for c in one])
     vectors = seen.groupBy("host", "token").agg(
         F.first("parent").alias("parent"),
         F.first("is_text").alias("is_text"),

@@ -59,6 +59,12 @@ def test_near_copies_keep_their_articles(spark):
     assert all(found[k] == f"The same long story on many pages\nanother part of that story\nseen {k}" for k in range(5))
 
 
+def test_copies_are_no_template(spark):
+    page = "<html><body><div class=content>{0}<br>{0} B</div><footer>{1}</footer></body></html>"
+    found = _texts(spark, [page.format("A", 1), page.format("A", 2), page.format("A", 2), page.format("other", 3)])
+    assert [found[k] for k in range(4)] == ["A\nA B"] * 3 + ["other\nother B"]
+
+
 def test_broadcast_and_join_agree(spark, monkeypatch):
     pages = spark.createDataFrame([(k, f"http://h.example/{k}", _page(k)) for k in range(5)] * 2, "page_id long, url string, html string")
     one = sorted(map(tuple, H.extract(pages).collect()))
