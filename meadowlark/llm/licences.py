@@ -1,5 +1,7 @@
 """Licence scans: each paragraph is classified by its word pairs and confirmed against licence templates.
 
+A paragraph is a line, or a run of lines over whose ends a template's word pairs go on (a wrapped notice).
+
 A softmax regression on word pairs is fitted in the driver on variations of the templates and on paragraphs that merely
 sound alike; an unknown class takes the latter. Applying it is DataFrame work only: paragraphs are exploded into distinct
 word pairs, a broadcast table (its size is fixed by the templates) gives weights, sums give scores.
@@ -16,6 +18,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Notices by which licences are commonly named, as (family, notice).
 TEMPLATES = (
@@ -144,12 +147,14 @@ CONFIRM = 0.6
 
 
 def find_licences(docs: DataFrame, model: Licences | None = None) -> DataFrame:
-    """One row per paragraph (line) that is or resembles a licence notice.
+    """One row per paragraph (line or run of lines) that is or resembles a licence notice.
 
-    doc_id, paragraph (from 0), family (unknown where the probability is under the calibrated threshold or no template
+    doc_id, paragraph (its first line, from 0), family (unknown where the probability is under the calibrated threshold or no template
     of the family confirms it), probability, template (number), containment (share of the template's word pairs that
     the paragraph holds), confirmed. A paragraph is reported if some template is contained by CONFIRM or a family's
-    probability passes the threshold. Null and empty texts give none; repeated rows are reported each.
+    probability passes the threshold. Lines are a run where the word pair across their end is a template's; a confirmed
+    run stands for its lines, save those that are confirmed alone for another family by a template that gains nothing
+    from the run. Of a run that is not confirmed, its lines are reported, or the run if none of them is. Null and empty texts give none; repeated rows are reported each.
     """
     model = model or trained()
     spark = docs.sparkSession
@@ -158,23 +163,59 @@ def find_licences(docs: DataFrame, model: Licences | None = None) -> DataFrame:
         {"pair": p, "w": [round(float(v), 6) for v in model.weights[i]], "m": [int(v) for v in model.members[i]]}
         for i, p in enumerate(model.vocabulary)
     ]
+    # pairs of small words tell nothing, but a notice may be wrapped between them
+    small = sorted(set().union(*(pairs_of(text) for _, text in TEMPLATES)) - set(model.vocabulary))
+    entries += [{"pair": p, "w": [], "m": []} for p in small]
     parsed = F.from_json(F.lit(json.dumps(entries)), "array<struct<pair:string,w:array<double>,m:array<int>>>")
     table = spark.range(1).select(F.explode(parsed).alias("e")).select(F.xxhash64("e.pair").alias("pair"), "e.w", "e.m")
 
-    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n")).alias("paragraph", "line"))
-    words = F.split("line", "[^a-z0-9]+")
-    hashed = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
-    pairs = lines.select("doc_id", "row", "paragraph", F.explode(F.array_distinct(hashed)).alias("pair"))
+    text = F.split(F.lower(F.col("text").cast("string")), "\n")
+    following = F.zip_with(text, F.slice(text, 2, F.greatest(F.size(text), F.lit(1))), lambda a, b: F.struct(a.alias("own"), b.alias("next")))
+    # numbered before lines are exploded, so that a document's lines share their number
+    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    lines = numbered.select("doc_id", "row", F.posexplode(following).alias("paragraph", "line"))
+    # each line with the first word of the next; the last pair of words is the one across the line's end
+    first_next = F.coalesce(F.regexp_extract("line.next", "[a-z0-9]+", 0), F.lit(""))
+    lines = lines.select("doc_id", "row", "paragraph", F.split(F.concat("line.own", F.lit(" "), first_next), "[^a-z0-9]+").alias("words"))
+    hashed = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
+    lines = lines.select("doc_id", "row", "paragraph", hashed.alias("hashed"))
+    across = F.get("hashed", F.size("hashed") - 2)
+    inside = F.array_position("hashed", across) < F.size("hashed") - 1
+    pairs = lines.select("doc_id", "row", "paragraph", across.alias("across"), inside.alias("inside"), F.explode(F.array_distinct("hashed")).alias("pair"))
     # the table is as large as the templates, whatever the corpus
     hits = pairs.join(F.broadcast(table), "pair")
     # at most one entry for each word pair of the vocabulary
-    grouped = hits.groupBy("row", "paragraph").agg(F.min("doc_id").alias("doc_id"), F.collect_list("w").alias("w"), F.collect_list("m").alias("m"))
+    last = F.col("pair") == F.col("across")
+    entry = F.when(F.size("w") > 0, F.struct("pair", "w", "m"))
+    grouped = hits.groupBy("row", "paragraph").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.max(last).alias("goes_on"),
+        F.collect_list(F.when(~last | F.col("inside"), entry)).alias("own"),
+        F.collect_list(entry).alias("entries"),
+    )
+    in_order = Window.partitionBy("row").orderBy("paragraph")
+    joined = (F.lag("paragraph").over(in_order) == F.col("paragraph") - 1) & F.lag("goes_on").over(in_order)
+    starts = F.when(F.coalesce(joined, F.lit(False)), None).otherwise(F.col("paragraph"))
+    grouped = grouped.withColumn("run", F.last(starts, ignorenulls=True).over(in_order))
+    runs = grouped.groupBy("row", "run").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries"),
+        F.collect_list(F.struct("paragraph", F.col("own").alias("entries"))).alias("lines"),
+    )
+    # a line that is a run by itself is judged once, as its run
+    alone = F.when(F.size("lines") > 1, F.col("lines")).otherwise(F.slice("lines", 1, 0))
+    whole = F.struct(F.col("run").alias("paragraph"), "entries")
+    parts = runs.select("doc_id", "row", "run", F.posexplode(F.concat(F.array(whole), alone)).alias("place", "part"))
+    grouped = parts.where(F.size("part.entries") > 0).select("doc_id", "row", "run", "place", "part.paragraph", "part.entries")
 
-    def added(lists: str, start: Column) -> Column:
-        return F.aggregate(lists, start, lambda total, one: F.zip_with(total, one, lambda x, y: x + y))
+    def added(field: str, start: Column) -> Column:
+        return F.aggregate(F.transform("entries", lambda e: e[field]), start, lambda total, one: F.zip_with(total, one, lambda x, y: x + y))
 
     scored = grouped.select(
         "doc_id",
+        "row",
+        "run",
+        "place",
         "paragraph",
         added("w", F.array(*[F.lit(float(b)) for b in model.bias])).alias("z"),
         added("m", F.array(*[F.lit(0)] * t)).alias("n"),
@@ -186,6 +227,9 @@ def find_licences(docs: DataFrame, model: Licences | None = None) -> DataFrame:
     contained = F.transform(shares, lambda share, i: F.struct(share.alias("share"), i.alias("template"), F.get(template_family, i).alias("family")))
     found = scored.select(
         "doc_id",
+        "row",
+        "run",
+        "place",
         "paragraph",
         F.struct(
             (F.exp(F.array_max(named) - F.array_max("z")) / total).alias("p"),
@@ -195,13 +239,22 @@ def find_licences(docs: DataFrame, model: Licences | None = None) -> DataFrame:
     )
     found = found.withColumn("any", F.array_max("all")).withColumn("own", F.array_max(F.filter("all", lambda x: x["family"] == F.col("f.family"))))
     passes = F.col("f.p") >= model.threshold
-    confirmed = passes & (F.col("own.share") >= CONFIRM)
-    return found.where(passes | (F.col("any.share") >= CONFIRM)).select(
+    found = found.where(passes | (F.col("any.share") >= CONFIRM)).withColumn("confirmed", passes & (F.col("own.share") >= CONFIRM))
+    of_run = Window.partitionBy("row", "run")
+    found = found.withColumn("whole", F.max(F.when((F.col("place") == 0) & F.col("confirmed"), F.struct(F.col("f.family").alias("family"), "all"))).over(of_run))
+    found = found.withColumn("of_lines", F.max(F.col("place") > 0).over(of_run))
+    gains = F.get("whole.all", F.col("own.template"))["share"] > F.col("own.share")
+    kept = (
+        F.when(F.col("place") == 0, F.col("confirmed") | ~F.col("of_lines"))
+        .when(F.col("whole").isNull(), True)
+        .otherwise(F.col("confirmed") & (F.col("f.family") != F.col("whole.family")) & ~gains)
+    )
+    return found.where(kept).select(
         "doc_id",
         F.col("paragraph").cast("int").alias("paragraph"),
-        F.when(confirmed, F.col("f.family")).otherwise(UNKNOWN).alias("family"),
+        F.when(F.col("confirmed"), F.col("f.family")).otherwise(UNKNOWN).alias("family"),
         F.round("f.p", 6).alias("probability"),
         F.col("own.template").alias("template"),
         F.round("own.share", 6).alias("containment"),
-        confirmed.alias("confirmed"),
+        "confirmed",
     )

@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,23 @@ def test_every_template_is_found(spark):
     assert sum(right) >= len(right) - 2
 
 
+def test_wrapped_notices_are_found(spark):
+    long = [(k, family, text) for k, (family, text) in enumerate(licences.TEMPLATES) if len(text) > 50]
+    docs = [(k * 1000, text) for k, _, text in long]
+    docs += [(k * 1000 + width, "\n".join(["", *(f"# {line}" for line in textwrap.wrap(text, width)), "#", "some more words"])) for k, _, text in long for width in range(50, 81, 5)]
+    found = {}
+    for r in licences.find_licences(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], []).append((r["family"], r["containment"], r["confirmed"]))
+    assert [key for key, _ in docs if found.get(key) != found.get(key // 1000 * 1000)] == []
+    assert sum(found.get(k * 1000) == [(family, 1.0, True)] for k, family, _ in long) >= len(long) - 2
+
+
+def test_neighbouring_notices_stay_apart(spark):
+    assert _families(spark, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.") == [(0, "cc_by_nc", True), (1, "mit", True)]
+    wrapped = "Licensed under a Creative Commons Attribution\nShareAlike 4.0 International License"
+    assert _families(spark, wrapped) == _families(spark, wrapped.replace("\n", " ")) == [(0, "cc_by_sa", True)]
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = licences.find_licences(docs.withColumn("family", F.lit("x")))
