@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,11 @@ from pyspark.sql.window import Window
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is set (local tests)."""
+    """The shared folder that the session names; a temporary one only on a local master (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="meadowlark-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -26,14 +29,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read again.
 
-    Cuts the lineage so that lost executors cost a read and not a recomputation. The files go when the session ends.
+    Cuts the lineage so that lost executors cost a read and not a recomputation. The files go when the session ends, or
+    by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/meadowlark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(hadoop_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out, lambda _, key=id(out): _WRITTEN.pop(key, None)), lambda: files.delete(hadoop_path, True))
+    return out
+
+
+_WRITTEN: dict[int, tuple] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables from :func:`durable` that no later job reads."""
+    for table in tables:
+        _, delete = _WRITTEN.pop(id(table))
+        delete()
 
 
 def global_rank(df: DataFrame, *order: Column | str) -> DataFrame:

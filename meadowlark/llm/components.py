@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meadowlark.llm.common import durable
+from meadowlark.llm.common import durable, release
 
 
 def follow(parents: DataFrame) -> DataFrame:
     """``(id, parent)``, one row per id and parents smaller than their ids: each id with its root, by pointer jumping."""
+    before = None
     while True:
         above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("__above"))
         jumped = durable(
             parents.join(above, "parent", "left").select("id", F.coalesce("__above", "parent").alias("parent"), F.col("__above").isNotNull().alias("__moved"))
         )
         moved = jumped.where("__moved").limit(1).count()
-        parents = jumped.drop("__moved")
+        if before is not None:
+            release(before)
+        parents, before = jumped.drop("__moved"), jumped
         if not moved:
             return parents
 
@@ -35,12 +38,16 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        edges = durable(
+        after = durable(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         )
+        release(edges)
+        edges = after
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break
         before = state
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")
-    return durable(roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()))
+    out = durable(roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()))
+    release(edges)
+    return out

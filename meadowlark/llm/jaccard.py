@@ -1,18 +1,21 @@
-"""N-gram Jaccard join: texts whose shingle sets are alike, as connected components, by indexed group counts.
+"""N-gram Jaccard join: texts whose shingle sets are alike, as connected components, by an R-tree over group counts.
 
 Shingles are hashed into groups. Two sets that link differ in few shingles, so in at most as many groups; among a set's
 first groups (one more than it may differ in) at least one is therefore the same in both. Equal groups bring candidates
 together, exactly and without comparing frequent single shingles.
 
-1. Equal sets form classes. Each class sends a hash of each of its first groups (its signatures); blocks are the classes
-   that share one. Group counts over COORDINATES groups make each class of a block a point; the sum of coordinate minima
-   bounds the overlap of two sets, and of the sets below two nodes of an R-tree.
-2. Every class is paired with the hub that it shares most blocks with. Pairs that the bound allows are verified.
-3. Blocks that now lie within one component are done. In the others, an R-tree finds each component's best pair; these
-   are verified and components merged until hardly any pair links. Then all pairs across components that the bound allows are
-   verified. So a large group of near copies never shows as all its pairs.
-
-Verification compares whole shingle sets, so no link is missed and none is made up (but for 64-bit hash collisions).
+1. Equal sets form classes. Each class sends a hash of each of its first groups (its signatures). The classes that share
+   one go to the smallest of them, their hub; a hub's classes are its neighbourhood, whichever signatures brought them.
+   Counts over COORDINATES groups make each class a point.
+2. Every class is paired with the hub that it shares most signatures with; where the sum of coordinate minima allows a
+   link, whole sets are compared. These links join most of a large group of near copies, at a cost that grows with it.
+3. In neighbourhoods that still hold several components, R-trees over the points find the classes that have a partner
+   in another component: summed minima bound the overlap of two sets, and of all sets below two nodes.
+4. Of these classes alone, whole sets come to their neighbourhoods, where an R-tree gives the pairs and the best are
+   compared first; pairs whose ends are already joined are left out. Only links leave a task, at most one a class.
+
+Neighbourhoods are cut into tiles of bounded size, each pair of tiles being a task of its own, so none is gathered whole.
+Whole sets are compared, so no link is missed and none is made up (but for 64-bit hash collisions).
 """
 
 from __future__ import annotations
@@ -24,16 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meadowlark.llm.common import PLAIN_WORD, durable, in_chunks, shingle_hashes, splitmix, words_of_all
+from meadowlark.llm.common import PLAIN_WORD, durable, in_chunks, release, shingle_hashes, splitmix, words_of_all
 from meadowlark.llm.components import connected, follow
 
 #: Ratio of a size band's bounds: wider bands repeat fewer sets in two bands, narrower ones have larger groups.
 BAND_RATIO = 1.6
-#: Coordinates of a point; members of a block that one task compares; points of an R-tree's leaf. With as many
-#: coordinates as a usual text has shingles, the summed minima come close to the overlap itself.
-COORDINATES, TILE, LEAF = 512, 256, 16
-#: Bits of the filter for the texts whose sets are needed: 2 MB, whatever the number of texts.
-FILTER_BITS = 24
+#: Coordinates of a point and points of an R-tree's leaf. With as many coordinates as a usual text has shingles, the summed
+#: minima come close to the overlap itself.
+COORDINATES, LEAF = 512, 16
+#: Members and shingles of a tile: two tiles are held in memory at once (8 bytes a shingle).
+TILE, TILE_SHINGLES = 1024, 4 << 20
+#: Bits of the filter for the texts whose sets are needed: 16 for each, between these powers of two. Beyond the upper
+#: bound (128 MB) more sets than needed are sent; the joins drop them.
+FILTER_BITS = (16, 30)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,17 +152,40 @@ def _by_batch(docs: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.
     return docs.mapInArrow(run, schema)
 
 
+def _counts(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(points, extra) of sets: one byte a coordinate, and what the counts have beyond 255, summed up."""
+    size = np.diff(at)
+    cell = np.repeat(np.arange(len(size)), size) * COORDINATES + (splitmix(values) % np.uint64(COORDINATES)).astype(np.int64)
+    counts = np.bincount(cell, minlength=len(size) * COORDINATES).reshape(len(size), COORDINATES)
+    return np.minimum(counts, 255).astype(np.uint8), np.maximum(counts - 255, 0).sum(1)
+
+
+def _forgetful(seen: set[int], cids: np.ndarray, take: np.ndarray) -> None:
+    """Takes the marks off classes that this task has seen lately."""
+    for i in np.flatnonzero(take):
+        take[i] = cids[i] not in seen
+        seen.add(cids[i])
+    if len(seen) > 50_000:
+        seen.clear()
+
+
 def _sized(docs: DataFrame, k: int) -> DataFrame:
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, cids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for _, texts in in_chunks(batch.column(1)):
-            values, at = shingle_sets(texts, k)
-            sizes.append(np.diff(at))
-            cids.append(class_ids(values, at))
-        n, cid = np.concatenate(sizes), np.concatenate(cids)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cid, mask=n == 0)], ["doc_id", "n_shingles", "cid"])
+    """(doc_id, n_shingles, cid, extra, point) per row; the point is null where the task has given the class's already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for first, texts in in_chunks(batch.column(1)):
+                values, at = shingle_sets(texts, k)
+                n, cids = np.diff(at), class_ids(values, at)
+                take = n > 0
+                _forgetful(seen, cids, take)
+                points, extra = _counts(values, at)
+                listed = [p.tobytes() if t else None for p, t in zip(points, take)]
+                columns = [batch.column(0).slice(first, len(texts)), pa.array(n), pa.array(cids, mask=n == 0), pa.array(extra), pa.array(listed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "cid", "extra", "point"])
 
-    return _by_batch(docs, "doc_id long, n_shingles long, cid long", work)
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cid long, extra long, point binary")
 
 
 def _fresh_sets(batch: pa.RecordBatch, k: int, seen: set[int], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,13 +195,9 @@ def _fresh_sets(batch: pa.RecordBatch, k: int, seen: set[int], wanted: np.ndarra
         cids = class_ids(values, at)
         take = np.diff(at) > 0
         if wanted is not None:
-            low = cids & ((1 << FILTER_BITS) - 1)
+            low = cids & (8 * len(wanted) - 1)
             take &= ((wanted[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1).astype(bool)
-        for i in np.flatnonzero(take):
-            take[i] = cids[i] not in seen
-            seen.add(cids[i])
-        if len(seen) > 50_000:
-            seen.clear()
+        _forgetful(seen, cids, take)
         n = np.where(take, np.diff(at), 0)
         yield cids[take], values[np.repeat(take, np.diff(at))], np.concatenate([[0], np.cumsum(n[take])])
 
@@ -190,63 +215,56 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "sig long, cid long")
 
 
-def _blocks(signed: DataFrame) -> DataFrame:
-    """(sig, cid, hub) of the signatures that several classes share; the hub is the smallest of them."""
+def _neighbours(signed: DataFrame) -> DataFrame:
+    """(cid, hub, n): the classes that share signatures with a smaller class, the smallest that has one; n such."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int, bool] | None = None  # the open block: sig, hub, newest member, whether sent
+        last: tuple[int, int, int] | None = None  # the open signature, its hub and newest class
         for batch in batches:
             sig, cid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1])
-            if last is not None and len(sig) and (sig[0], cid[0]) == (last[0], last[2]):
-                new[0] = False
-            sig, cid = sig[new], cid[new]
             if not len(sig):
                 continue
-            if last is not None:
-                sig, cid = np.append(last[0], sig), np.append(last[1], cid)
+            goes_on = last is not None and sig[0] == last[0]
+            if goes_on:
+                sig, cid = np.append(last[0], sig), np.append(last[2], cid)
             first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            size = np.diff(first, append=len(sig))
-            hub = np.repeat(cid[first], size)
-            send = np.repeat(size > 1, size)
-            if last is not None and last[3]:
+            heads = cid[first].copy()
+            if goes_on:
+                heads[0] = last[1]
+            hub = np.repeat(heads, np.diff(first, append=len(sig)))
+            send = cid != hub
+            send[1:] &= (sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1])
+            if goes_on:
                 send[0] = False
-            sent = size[-1] > 1 or bool(len(first) == 1 and last is not None and last[3])
-            last = (sig[-1], hub[-1], cid[-1], sent)
-            yield pa.RecordBatch.from_arrays([pa.array(x[send], pa.int64()) for x in (sig, cid, hub)], ["sig", "cid", "hub"])
+            last = (sig[-1], hub[-1], cid[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[send], pa.int64()) for x in (cid, hub)], ["cid", "hub"])
 
-    return signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(run, "sig long, cid long, hub long")
+    met = signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(run, "cid long, hub long")
+    return met.groupBy("hub", "cid").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _wanted(ids: DataFrame) -> bytes:
-    """A bit for the low bits of each id: at most 2**FILTER_BITS bits, whatever the number of ids.
+    """A bit for the low bits of each id: 16 bits or more for each id, within the bounds of FILTER_BITS.
 
     Set bits are gathered as one byte string per slice of the filter, each built by a Spark aggregate over its bits.
     """
-    slices = 1 << 10
-    per = (1 << FILTER_BITS) // slices
+    bits = min(max(int(16 * ids.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    slices = 1 << max(bits - 17, 3)
+    per = (1 << bits) // slices // 8
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-        for batch in batches:
-            low = np.unique(batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1))
-            np.bitwise_or.at(bits, low >> 3, (128 >> (low & 7)).astype(np.uint8))
-        packed = bits.reshape(slices, per // 8)
-        some = np.flatnonzero(packed.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["slice", "bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[i] = np.bitwise_or(held[i], np.frombuffer(bits, np.uint8)) if i in held else np.frombuffer(bits, np.uint8)
+            low = np.unique(batch.column(0).to_numpy() & ((1 << bits) - 1))
+            for i in np.unique(low // (8 * per)).tolist():
+                mine = low[low // (8 * per) == i] - i * 8 * per
+                np.bitwise_or.at(held.setdefault(i, np.zeros(per, np.uint8)), mine >> 3, (128 >> (mine & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["slice", "bits"])
 
-    shape = "slice int, bits binary"
-    out = np.zeros((slices, per // 8), np.uint8)
-    for row in ids.mapInArrow(fill, shape).repartition("slice").mapInArrow(merge, shape).collect():  # 2 MB at most
-        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    out = np.zeros((slices, per), np.uint8)
+    # ids are sent to the task of their slice, so each slice is one row: 128 MB in all at most
+    for row in ids.repartition(F.expr(f"({ids.columns[0]} & {(1 << bits) - 1}) div {8 * per}")).mapInArrow(fill, "slice int, bits binary").collect():
+        out[row["slice"]] |= np.frombuffer(row["bits"], np.uint8)
     return out.tobytes()
 
 
@@ -297,22 +315,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 class CountTree:
-    """An R-tree over group counts, packed bottom-up; a node holds its points' largest coordinates and size range."""
+    """An R-tree over group counts, packed bottom-up.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, extra: np.ndarray):
-        self.order = np.lexsort((points[:, 0], points.argmax(1), sizes))
-        sizes = sizes[self.order]
-        self.levels = [(points[self.order], sizes, sizes, extra[self.order])]
+    A node holds its points' largest coordinates and their ranges of sizes and of components; pairs of nodes within one
+    component are cut, like those whose sizes or summed minima don't allow a link. Points of one component, of nearly
+    one size and with the same largest coordinate stand together.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, extra: np.ndarray, root: np.ndarray | None = None):
+        _, root, times = np.unique(np.arange(len(points)) if root is None else root, return_inverse=True, return_counts=True)
+        near = np.log(np.maximum(sizes, 1)) // 0.06
+        self.order = np.lexsort((sizes, points.argmax(1), near, np.where(times[root] >= LEAF, root, -1)))
+        sizes, root = sizes[self.order], root[self.order]
+        self.levels = [(points[self.order], sizes, sizes, extra[self.order], root, root)]
+        self.tried = 0  # pairs of nodes and of points whose minima were summed
         while len(self.levels[-1][0]) > 1:
-            tops, low, high, more = self.levels[-1]
+            tops, low, high, more, first_root, last_root = self.levels[-1]
             first = np.arange(0, len(tops), LEAF)
-            largest = [np.maximum.reduceat(v, first) for v in (tops, high, more)]
-            self.levels.append((largest[0], np.minimum.reduceat(low, first), *largest[1:]))
+            tops, high, more, last_root = (np.maximum.reduceat(v, first) for v in (tops, high, more, last_root))
+            self.levels.append((tops, np.minimum.reduceat(low, first), high, more, np.minimum.reduceat(first_root, first), last_root))
 
     def pairs(self, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pairs of points whose summed coordinate minima allow a link, and the sums; from the top by pairs of nodes."""
+        """All pairs of points of different components whose summed coordinate minima allow a link, and the sums."""
         a = b = overlap = np.zeros(1, np.int64)
-        for tops, low, high, more in self.levels[-2::-1]:
+        for tops, low, high, more, first, last in self.levels[-2::-1]:
             parts = []
             for k in range(0, len(a), 64):
                 step = np.arange(LEAF)
@@ -321,7 +347,9 @@ class CountTree:
                 fits = (x <= y) & (x < len(tops)) & (y < len(tops))
                 x, y = x[fits], y[fits]
                 near = (low[x] * rule.percent <= high[y] * 100) & (low[y] * rule.percent <= high[x] * 100)
+                near &= (first[x] != last[y]) | (first[y] != last[x])
                 x, y = x[near], y[near]
+                self.tried += len(x)
                 sums = np.minimum(tops[x], tops[y]).sum(1, dtype=np.int64) + np.minimum(more[x], more[y])
                 fits = sums >= rule.overlap(low[x] + low[y])
                 parts.append((x[fits], y[fits], sums[fits]))
@@ -330,123 +358,188 @@ class CountTree:
         return self.order[a[differ]], self.order[b[differ]], overlap[differ]
 
 
-def _points(docs: DataFrame, k: int, wanted: bytes) -> DataFrame:
-    """(cid, size, extra, point) of the classes that the filter may want, one row each.
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """The columns of whole units (runs of equal hub, low and high), several at a time, and where each begins."""
+    rest: list[pa.RecordBatch] = []
 
-    A coordinate is one byte; what counts have beyond 255 is summed up as ``extra``.
-    """
+    def columns(parts: list[pa.RecordBatch]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        table = pa.Table.from_batches(parts)
+        out = {c: np.array(table.column(c).to_pylist(), object) if pa.types.is_binary(table.schema.field(c).type) else table.column(c).to_numpy() for c in table.column_names}
+        differ = (np.diff(np.stack([out[c] for c in _UNIT]), axis=1) != 0).any(0)
+        return out, np.concatenate([[0], np.flatnonzero(differ) + 1, [table.num_rows]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.flatnonzero(np.any([batch.column(c).to_numpy() != batch.column(c)[-1].as_py() for c in _UNIT], axis=0))
+        cut = int(ends[-1]) + 1 if len(ends) else 0  # the last unit may go on
+        if not cut and rest and any(rest[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in _UNIT):
+            yield columns(rest)
+            rest = []
+        if cut:
+            yield columns([*rest, batch.slice(0, cut)])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield columns(rest)
+
+
+def _star_bounded(groups: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n): the classes whose counts allow a link with a hub of theirs; hubs with many are cut into parts."""
+    sizes = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / TILE))
+    members = groups.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("cid"), "parts").cast("long").alias("part"), "cid", "n")
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("cid"), F.lit(0).cast("long").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(wanted, np.uint8), set()
+        rule, held = Rule(percent), None
         for batch in batches:
-            for cids, values, at in _fresh_sets(batch, k, seen, bits):
-                size = np.diff(at)
-                cell = np.repeat(np.arange(len(size)), size) * COORDINATES + (splitmix(values) % np.uint64(COORDINATES)).astype(np.int64)
-                counts = np.bincount(cell, minlength=len(size) * COORDINATES).reshape(len(size), COORDINATES)
-                extra = np.maximum(counts - 255, 0).sum(1)
-                points = [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8)]
-                columns = [pa.array(cids), pa.array(size), pa.array(extra), pa.array(points, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["cid", "size", "extra", "point"])
-
-    return _once(docs.mapInArrow(run, "cid long, size long, extra long, point binary"))
-
-
-def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose group counts allow a link."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("x", "y"))
-        most = np.minimum(x, y).sum(1, dtype=np.int64) + batch.column("extra").to_numpy()
-        return batch.select(["a", "b"]).filter(pa.array(most >= Rule(percent).overlap(batch.column("n").to_numpy())))
-
-    left = points.select(F.col("cid").alias("a"), F.col("point").alias("x"), F.col("size").alias("nx"), F.col("extra").alias("ex"))
-    right = points.select(F.col("cid").alias("b"), F.col("point").alias("y"), F.col("size").alias("ny"), F.col("extra").alias("ey"))
-    total, extra = (F.col("nx") + F.col("ny")).alias("n"), F.least("ex", "ey").alias("extra")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", total, extra)
-    return _by_batch(both, "a long, b long", work)
-
-
-def _best(a: np.ndarray, b: np.ndarray, score: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Positions of each root's pair of the highest score."""
-    order = np.argsort(-score, kind="stable")
-    roots = np.concatenate([root[a[order]], root[b[order]]])
-    return np.unique(np.tile(order, 2)[np.unique(roots, return_index=True)[1]])
-
-
-def _open_pairs(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of classes of one block, of different components, whose counts allow a link.
-
-    With ``best``, only the best pair of each component in each block, and (a, a) for every class that has any pair.
-    Texts that are alike share many signatures; of the blocks with the same members, one is compared. Large blocks are
-    compared by tiles of about TILE members, each pair of tiles in a task of its own.
+            if not batch.num_rows:
+                continue
+            hub, cid, n, size, extra = (batch.column(c).to_numpy() for c in ("hub", "cid", "n", "size", "extra"))
+            point = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            if held is not None:  # a hub's members may go on in this batch
+                hub, cid, n, size, extra = (np.append(x, y) for x, y in zip(held[0], (hub, cid, n, size, extra)))
+                point = np.concatenate([held[1], point])
+            of = np.maximum.accumulate(np.where(hub == cid, np.arange(len(hub)), 0))
+            most = np.minimum(point, point[of]).sum(1, dtype=np.int64) + np.minimum(extra, extra[of])
+            fits = (most >= rule.overlap(size + size[of])) & (hub != cid)
+            held = [x[of[-1:]] for x in (hub, cid, n, size, extra)], point[of[-1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[fits]) for x in (cid, hub, n)], ["a", "b", "n"])
+
+    rows = members.unionByName(hubs).join(points, "cid").withColumn("first", F.col("cid") != F.col("hub"))
+    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "first")
+    return rows.select("hub", "cid", "n", "size", "extra", "point").mapInArrow(run, "a long, b long, n long")
+
+
+def _tiled(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(hub, low, high, tile, cid, root) of the neighbourhoods with several components, for each pair of tiles.
+
+    Members of a component that fills tiles have tiles of their own, which are not paired with each other.
     """
-    rooted = durable(blocks.select("sig", "cid").join(roots.select(F.col("id").alias("cid"), "root"), "cid"))
-    of_block = [F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("members")]
-    mixed = rooted.groupBy("sig").agg(*of_block, F.min("cid").alias("hub")).where("low < high")
-    mixed = mixed.groupBy("members", "hub", "m").agg(F.min("sig").alias("sig"))
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
-    tiled = (
-        rooted.join(mixed.select("sig", tiles.alias("tiles")), "sig")
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("low", F.least("mine", "other"))
-        .withColumn("high", F.greatest("mine", "other"))
-        .join(points, "cid")
-        .select("sig", "low", "high", "mine", "cid", "root", "size", "extra", "point")
+    both = groups.select("hub", "cid").unionByName(groups.select("hub", F.col("hub").alias("cid")).distinct())
+    rooted = durable(both.join(roots.withColumnRenamed("id", "cid"), "cid").select("hub", "cid", "root", "size"))
+    load = lambda count, size: F.ceil(F.greatest(F.col(count) / TILE, F.col(size) / TILE_SHINGLES)).cast("long")
+    per = rooted.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s")).withColumn("own", load("c", "s"))
+    own = F.col("own") > 1
+    mixed = per.groupBy("hub").agg(
+        F.count(F.lit(1)).alias("n_roots"), F.sum(F.when(~own, F.col("c"))).alias("c"), F.sum(F.when(~own, F.col("s"))).alias("s")
     )
-
-    def compare(rows: dict[str, np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-        cid, root, mine = rows["cid"], rows["root"], rows["mine"]
-        points = np.frombuffer(b"".join(rows["point"]), np.uint8).reshape(len(cid), COORDINATES)
-        x, y, overlap = CountTree(points, rows["size"], rows["extra"]).pairs(rule)
-        across = root[x] != root[y]
-        if rows["low"][0] != rows["high"][0]:  # within a tile, its own task compares
-            across &= mine[x] != mine[y]
-        x, y, overlap = x[across], y[across], overlap[across]
-        if best and len(x):
-            some = np.unique(np.concatenate([x, y]))
-            top = _best(x, y, overlap / (rows["size"][x] + rows["size"][y]), root)
-            x, y = np.concatenate([x[top], some]), np.concatenate([y[top], some])
-        x, y = cid[x], cid[y]
-        return np.maximum(x, y), np.minimum(x, y)
+    mixed = mixed.where("n_roots > 1").select("hub", F.coalesce(load("c", "s"), F.lit(0).cast("long")).alias("shared"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("k")
+    big = durable(per.where(own).join(mixed, "hub").select("hub", "root", "own"))
+    of_big = big.select("hub", "root", numbers(F.col("own"))).select("hub", F.xxhash64("root", "k").alias("tile"), "root")
+    of_rest = mixed.where("shared > 0").select("hub", numbers(F.col("shared"))).select("hub", F.col("k").alias("tile"), F.lit(None).cast("long").alias("root"))
+    tiles = of_big.unionByName(of_rest)
+    low, high = tiles.toDF("hub", "low", "low_root"), tiles.toDF("hub", "high", "high_root")
+    apart = (F.col("low") <= F.col("high")) & (F.col("low_root").isNull() | F.col("high_root").isNull() | (F.col("low_root") != F.col("high_root")))
+    pairs = low.join(high, "hub").where(apart).select("hub", "low", "high")
+    number = F.pmod(F.xxhash64("cid"), F.coalesce("own", "shared"))
+    tile = F.when(F.col("own").isNull(), number).otherwise(F.xxhash64("root", number))
+    placed = rooted.join(mixed, "hub").join(big, ["hub", "root"], "left").select("hub", tile.cast("long").alias("tile"), "cid", "root")
+    sides = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("low", "high"))))
+    return placed.join(sides, ["hub", "tile"]).select("hub", "low", "high", "tile", "cid", "root")
+
+
+_UNIT = ["hub", "low", "high"]
+
+
+def _candidates(cols: dict[str, np.ndarray], edges: np.ndarray, rule: Rule, points: np.ndarray, sizes: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs of rows of one unit that the summed minima allow, and the sums: of different components and, where the unit
+    is a pair of tiles, of different tiles. Units that fit into a leaf are compared all at once, the others by a tree."""
+    found = []
+    size = np.diff(edges)
+    unit = np.repeat(np.arange(len(size)), size)
+    small = np.repeat(size <= LEAF, size)
+    for step in range(1, LEAF):
+        x = np.flatnonzero(small[:-step] & (unit[:-step] == unit[step:]) & (cols["root"][:-step] != cols["root"][step:])) if len(unit) > step else small[:0]
+        y = x + step
+        near = (sizes[x] * rule.percent <= sizes[y] * 100) & (sizes[y] * rule.percent <= sizes[x] * 100)
+        x, y = x[near], y[near]
+        for k in range(0, len(x), 4096):
+            a, b = x[k : k + 4096], y[k : k + 4096]
+            sums = np.minimum(points[a], points[b]).sum(1, dtype=np.int64) + np.minimum(extra[a], extra[b])
+            fits = sums >= rule.overlap(sizes[a] + sizes[b])
+            found.append((a[fits], b[fits], sums[fits]))
+    for i in np.flatnonzero(size > LEAF):
+        mine = slice(edges[i], edges[i + 1])
+        a, b, sums = CountTree(points[mine], sizes[mine], extra[mine], cols["root"][mine]).pairs(rule)
+        found.append((a + edges[i], b + edges[i], sums))
+    x, y, sums = (np.concatenate(v) for v in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+    across = (cols["root"][x] != cols["root"][y]) & ((cols["low"][x] == cols["high"][x]) | (cols["tile"][x] != cols["tile"][y]))
+    return x[across], y[across], sums[across]
+
+
+def _open_classes(tiled: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(cid) of the classes with a partner in another component that their counts allow a link with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rule, rest = Rule(percent), None
-        names = ["sig", "low", "high", "mine", "cid", "root", "size", "extra", "point"]
+        rule = Rule(percent)
+        for cols, edges in _units(batches):
+            counts = np.frombuffer(b"".join(cols["point"]), np.uint8).reshape(-1, COORDINATES)
+            x, y, _ = _candidates(cols, edges, rule, counts, cols["size"], cols["extra"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cols["cid"][np.append(x, y)]))], ["cid"])
+
+    rows = tiled.join(points, "cid").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
+    return rows.mapInArrow(run, "cid long").distinct()
+
+
+def _spanning_links(tiled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links that join the components of each unit as all its links do, the likeliest pairs compared first."""
+
+    def links(cols: dict[str, np.ndarray], edges: np.ndarray, rule: Rule) -> tuple[list[int], list[int]]:
+        listed = [np.frombuffer(v, np.uint64) for v in cols["shingles"]]
+        sizes = np.array([len(v) for v in listed])
+        counts, extra = _counts(np.concatenate(listed), np.concatenate([[0], np.cumsum(sizes)]))
+        x, y, overlap = _candidates(cols, edges, rule, counts, sizes, extra)
+        above: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while above.setdefault(r, r) != r:
+                above[r] = r = above[above[r]]
+            return r
+
+        a, b = [], []
+        for k in np.argsort(-overlap / (sizes[x] + sizes[y]), kind="stable"):
+            i, j = x[k], y[k]
+            left, right = top(int(cols["root"][i])), top(int(cols["root"][j]))
+            if left != right:
+                both = sizes[i] + sizes[j] - len(np.unique(np.concatenate([listed[i], listed[j]])))
+                if 100 * both >= rule.percent * (sizes[i] + sizes[j] - both):
+                    above[left] = right
+                    a.append(int(cols["cid"][i]))
+                    b.append(int(cols["cid"][j]))
+        return a, b
 
-        def blocks_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            cols = {n: (table.column(n).to_numpy() if n != "point" else np.array(table.column(n).to_pylist(), object)) for n in names}
-            key = np.stack([cols["sig"], cols["low"].astype(np.int64), cols["high"].astype(np.int64)])
-            edges = [0, *(np.flatnonzero((np.diff(key, axis=1) != 0).any(0)) + 1), len(cols["sig"])]
-            found = [compare({n: c[i:j] for n, c in cols.items()}, rule) for i, j in zip(edges, edges[1:]) if j - i > 1]
-            a, b = (np.concatenate([np.empty(0, np.int64), *part]) for part in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            if not table.num_rows:
-                continue
-            sig, low, high = (table.column(n).to_numpy() for n in ("sig", "low", "high"))
-            ends = np.flatnonzero((sig != sig[-1]) | (low != low[-1]) | (high != high[-1]))
-            cut = int(ends[-1]) + 1 if len(ends) else 0  # the last block may go on
-            rest = table.slice(cut)
-            if cut:
-                yield from blocks_of(table.slice(0, cut))
-        if rest is not None and rest.num_rows:
-            yield from blocks_of(rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule = Rule(percent)
+        for cols, edges in _units(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in links(cols, edges, rule)], ["a", "b"])
 
-    keys = ["sig", "low", "high"]
-    return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    rows = tiled.join(sets, "cid").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` (id, root) with the components that ``links`` (a, b) join as one."""
-    a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    a, b = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
     across = links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     top = connected(across).select(F.col("id").alias("root"), F.col("root").alias("top"))
-    return durable(roots.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root")))
+    return roots.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+
+
+#: A component's name is sent to so many places, so that none holds all classes of a large one.
+SPREAD = 8
+
+
+def _named(sized: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cid, component_id): the least doc_id of each class's component."""
+    classes = sized.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    topped = durable(classes.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left"))
+    own = F.when(F.col("root").isNotNull(), F.pmod(F.xxhash64("cid"), F.lit(SPREAD)))
+    named = topped.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    spread = named.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    met = topped.where("root is not null").withColumn("place", own.cast("long")).join(spread, ["root", "place"])
+    return met.select("cid", "component_id").unionByName(topped.where("root is null").select("cid", F.col("least").alias("component_id")))
 
 
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -458,45 +551,34 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sized = durable(_sized(docs, k))
-    blocks = durable(_blocks(_signed(docs, k, percent)))
-    members = durable(blocks.select(F.col("cid").alias("id")).distinct())
-    points = durable(_points(docs, k, _wanted(members)))
+    groups = durable(_neighbours(_signed(docs, k, percent)))
+    members = groups.select("cid").unionByName(groups.select(F.col("hub").alias("cid"))).distinct()
+    counted = sized.where("point is not null").select("cid", F.col("n_shingles").alias("size"), "extra", "point")
+    points = durable(_once(counted.join(members, "cid", "left_semi")))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return durable(_sets(docs, k, _wanted(ids)))
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-
-    shared = blocks.where("cid <> hub").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("n"))
-    nearest = shared.groupBy(F.col("cid").alias("a")).agg(F.max_by("hub", F.struct("n", "hub")).alias("b"))
-    stars = durable(_bounded(nearest, points, percent))
-    linked = durable(_verified(stars, sets_of(ends(stars)), percent))
+    allowed = _star_bounded(groups, points, percent)
+    stars = durable(allowed.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
+    sets = sets_of(stars.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    linked = durable(_verified(stars, sets, percent))
+    release(stars, sets)
     found = follow(linked.select(F.col("a").alias("id"), F.col("b").alias("parent")))
-    roots = durable(members.join(found, "id", "left").select("id", F.coalesce("parent", "id").alias("root")))
-
-    best = durable(_open_pairs(blocks, roots, points, percent, best=True).distinct())
-    open_ids = durable(best.where("a = b").select(F.col("a").alias("cid")))
-    sets = sets_of(open_ids)
-    blocks = durable(blocks.join(open_ids, "cid", "left_semi").select("sig", "cid"))
-    while True:
-        tried = best.where("a <> b")
-        links = durable(_verified(tried, sets, percent))
-        if links.count() * 20 < tried.count() or links.isEmpty():
-            break  # hardly any components are left to merge; the pairs below contain these
-        roots = _merged(roots, links)
-        best = durable(_open_pairs(blocks, roots, points, percent, best=True).distinct())
-    rest = _open_pairs(blocks, roots, points, percent, best=False).distinct()
-    links = durable(_verified(rest, sets, percent))
-    roots = roots if links.isEmpty() else _merged(roots, links)
-
-    classes = sized.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
-    topped = classes.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("top"), "least")
-    named = topped.groupBy("top").agg(F.min("least").alias("component_id"))
-    of_class = topped.join(named, "top").select("cid", "component_id")
-    return sized.join(of_class, "cid", "left").select(
-        "doc_id", "n_shingles", F.col("cid").alias("class_id"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    sizes = points.select(F.col("cid").alias("id"), "size")
+    roots = durable(sizes.join(found, "id", "left").select("id", F.coalesce("parent", "id").alias("root"), "size"))
+
+    opened = durable(_open_classes(_tiled(groups, roots), points, percent))
+    release(points)
+    sets = sets_of(opened)
+    left = groups.join(opened, "cid", "left_semi").select("hub", "cid")
+    links = durable(_spanning_links(_tiled(left, roots), sets, percent))
+    release(sets, groups, opened)
+    of_class = _named(sized, roots if links.isEmpty() else _merged(roots, links))
+    # rows without shingles have no class; a key of their own keeps them from meeting in one task
+    keyed = sized.select("doc_id", "n_shingles", F.col("cid").alias("class_id"), F.coalesce("cid", F.xxhash64("doc_id")).alias("cid"))
+    component = F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return keyed.join(of_class, "cid", "left").select("doc_id", "n_shingles", "class_id", component.alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
