@@ -181,6 +181,22 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return splitmix(out)
 
 
+def run_sums(words: np.ndarray) -> np.ndarray:
+    """Prefix sums from which :func:`run_hashes` takes the hashes of runs of any length, one subtraction a run."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(words * _powers(_BASE, len(words)), out=sums[1:])
+    return sums
+
+
+def run_hashes(sums: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of ``k`` words; equal runs of any two texts have equal ones."""
+    if len(sums) <= k:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        return splitmix((sums[k:] - sums[:-k]) * _powers(_BASE_INVERSE, len(sums) - k))
+
+
 #: True for the bytes outside [\x20\x09-\x0D].
 PLAIN_WORD = np.ones(256, bool)
 PLAIN_WORD[list(SPACE_BYTES)] = False

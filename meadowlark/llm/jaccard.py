@@ -9,12 +9,13 @@ together, exactly and without comparing frequent single shingles.
    Counts over COORDINATES groups make each class a point.
 2. Every class is paired with the hub that it shares most signatures with; where the sum of coordinate minima allows a
    link, whole sets are compared. These links join most of a large group of near copies, at a cost that grows with it.
-3. In neighbourhoods that still hold several components, R-trees over the points find the classes that have a partner
-   in another component: summed minima bound the overlap of two sets, and of all sets below two nodes.
-4. Of these classes alone, whole sets come to their neighbourhoods, where an R-tree gives the pairs and the best are
-   compared first; pairs whose ends are already joined are left out. Only links leave a task, at most one a class.
+3. In neighbourhoods that still hold several components, R-trees over the points find the pairs across components that
+   may link: summed minima bound the overlap of two sets, and of all sets below two nodes. What such pairs join is a
+   family.
+4. Whole sets come to their family, each once. There an R-tree gives the pairs and the best are compared first; pairs
+   whose ends are already joined are left out. Only links leave a task, fewer than classes.
 
-Neighbourhoods are cut into tiles of bounded size, each pair of tiles being a task of its own, so none is gathered whole.
+Neighbourhoods and families are cut into tiles of bounded size, each pair of tiles being a task of its own, so none is gathered whole.
 Whole sets are compared, so no link is missed and none is made up (but for 64-bit hash collisions).
 """
 
@@ -469,18 +470,34 @@ def _candidates(cols: dict[str, np.ndarray], edges: np.ndarray, rule: Rule, poin
     return x[across], y[across], sums[across]
 
 
-def _open_classes(tiled: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """(cid) of the classes with a partner in another component that their counts allow a link with."""
+def _joined(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of ``n`` rows, the least row that pairs (x, y) join it with."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[x], label[y])
+        after = label.copy()
+        np.minimum.at(after, x, least)
+        np.minimum.at(after, y, least)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def _open_pairs(tiled: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs of classes that join all those whose counts allow a link across components, fewer than classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = Rule(percent)
         for cols, edges in _units(batches):
             counts = np.frombuffer(b"".join(cols["point"]), np.uint8).reshape(-1, COORDINATES)
             x, y, _ = _candidates(cols, edges, rule, counts, cols["size"], cols["extra"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cols["cid"][np.append(x, y)]))], ["cid"])
+            least = _joined(len(counts), x, y)
+            a = np.flatnonzero(least != np.arange(len(least)))
+            yield pa.RecordBatch.from_arrays([pa.array(cols["cid"][a]), pa.array(cols["cid"][least[a]])], ["a", "b"])
 
     rows = tiled.join(points, "cid").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-    return rows.mapInArrow(run, "cid long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _spanning_links(tiled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -568,12 +585,13 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     sizes = points.select(F.col("cid").alias("id"), "size")
     roots = durable(sizes.join(found, "id", "left").select("id", F.coalesce("parent", "id").alias("root"), "size"))
 
-    opened = durable(_open_classes(_tiled(groups, roots), points, percent))
-    release(points)
-    sets = sets_of(opened)
-    left = groups.join(opened, "cid", "left_semi").select("hub", "cid")
+    opened = durable(_open_pairs(_tiled(groups, roots), points, percent))
+    release(points, groups)
+    families = connected(opened)
+    sets = sets_of(families.select(F.col("id").alias("cid")))
+    left = families.where("id <> root").select(F.col("root").alias("hub"), F.col("id").alias("cid"))
     links = durable(_spanning_links(_tiled(left, roots), sets, percent))
-    release(sets, groups, opened)
+    release(sets, opened, families)
     of_class = _named(sized, roots if links.isEmpty() else _merged(roots, links))
     # rows without shingles have no class; a key of their own keeps them from meeting in one task
     keyed = sized.select("doc_id", "n_shingles", F.col("cid").alias("class_id"), F.coalesce("cid", F.xxhash64("doc_id")).alias("cid"))

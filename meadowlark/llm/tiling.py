@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meadowlark.llm.common import shingle_hashes, word_hashes
+from meadowlark.llm.common import run_hashes, run_sums, word_hashes
 
 SEED = 5
 COVERAGE = 0.6
@@ -36,73 +36,126 @@ def words(text: str | None) -> np.ndarray:
 
 
 class Seeds(NamedTuple):
-    """A block of items: their words, and every seed's hash, item and place, sorted by hash."""
+    """A block of items: their words, and every seed's hash, item and place, sorted by hash.
 
-    ids: list[int]
+    An item of fewer than SEED words is its own only seed; ``short`` has the hashes and items of these by word count.
+    """
+
+    ids: list[int | None]
     words: list[np.ndarray]
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def index_items(rows: list[tuple[int, str]]) -> Seeds:
+def index_items(rows: list[tuple[int | None, str]]) -> Seeds:
     listed = [words(text) for _, text in rows]
-    grams = [shingle_hashes(w, SEED) for w in listed]
+    grams = [run_hashes(run_sums(w), SEED) for w in listed]
     hashes = np.concatenate([np.empty(0, np.uint64), *grams])
     item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
     place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(g)) for g in grams]])
     order = np.argsort(hashes, kind="stable")
-    return Seeds([i for i, _ in rows], listed, hashes[order], item[order], place[order])
-
-
-def tile(doc_at: np.ndarray, item_at: np.ndarray, n_item: int) -> list[int]:
-    """Lengths of the greedy tiles, from the places of all common seeds; each round marks the longest matches left."""
-    doc_places = np.unique(np.concatenate([doc_at + i for i in range(SEED)]))
-    doc_marked, item_marked = np.zeros(len(doc_places), bool), np.zeros(n_item, bool)
-    tiles: list[int] = []
-    while len(doc_at):
-        order = np.lexsort((doc_at, doc_at - item_at))
-        doc_at, item_at = doc_at[order], item_at[order]
-        fresh = np.ones(len(doc_at), bool)
-        fresh[1:] = (np.diff(doc_at - item_at) != 0) | (np.diff(doc_at) != 1)
-        first = np.flatnonzero(fresh)
-        length = np.diff(first, append=len(doc_at)) + SEED - 1
-        longest = int(length.max())
-        for k in first[length == longest]:
-            at = np.searchsorted(doc_places, doc_at[k])
-            here, there = slice(at, at + longest), slice(item_at[k], item_at[k] + longest)
-            if not doc_marked[here].any() and not item_marked[there].any():
-                doc_marked[here] = item_marked[there] = True
-                tiles.append(longest)
-        at = np.searchsorted(doc_places, doc_at)
-        used_doc, used_item = (np.concatenate([[0], np.cumsum(m)]) for m in (doc_marked, item_marked))
-        free = (used_doc[at + SEED] == used_doc[at]) & (used_item[item_at + SEED] == used_item[item_at])
-        doc_at, item_at = doc_at[free], item_at[free]
+    short = {}
+    for n in range(1, SEED):
+        mine = np.array([k for k, w in enumerate(listed) if len(w) == n], np.int64)
+        if len(mine):
+            short[n] = (np.concatenate([run_hashes(run_sums(listed[k]), n) for k in mine]), mine)
+    return Seeds([i for i, _ in rows], listed, hashes[order], item[order], place[order], short)
+
+
+class _Side:
+    """One text's words for tiling: which places are left, and the hashes of the runs of free words of a length."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray):
+        self.sums, self.at = run_sums(words), at
+        self.marked = np.zeros(len(words), bool)
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the runs of ``n`` words that are neighbours and free."""
+        used = np.concatenate([[0], np.cumsum(self.marked)])
+        where = np.flatnonzero((used[n:] == used[:-n]) & (self.at[n - 1 :] - self.at[: len(self.at) - n + 1] == n - 1))
+        return where, run_hashes(self.sums, n)[where]
+
+
+def tile(doc: np.ndarray, at: np.ndarray, item: np.ndarray) -> list[int]:
+    """Lengths of the greedy tiles of an item and the words ``doc`` of a text, which stand at ``at``.
+
+    Each round finds the greatest length of which free words have a common run (runs of a length contain shorter ones, so
+    by halving), and marks its matches in the item's order, each at its first free place in the text. Common runs are
+    found by hashes of all runs of one length, so memory grows with the texts and not with their pairs of places.
+    """
+    left, right = _Side(doc, at), _Side(item, np.arange(len(item)))
+    most, tiles = min(len(doc), len(item)), []
+    while most >= SEED:
+        low, high = SEED - 1, most  # a common run of length low is known; none is longer than high
+        while low < high:
+            middle = (low + high + 1) // 2
+            if np.isin(right.runs(middle)[1], left.runs(middle)[1]).any():
+                low = middle
+            else:
+                high = middle - 1
+        most = low
+        if most < SEED:
+            break
+        (here, mine), (there, its) = left.runs(most), right.runs(most)
+        order = np.argsort(mine, kind="stable")
+        first, end = np.searchsorted(mine[order], its, "left"), np.searchsorted(mine[order], its, "right")
+        tried: dict[int, int] = {}  # places before this one are marked already
+        for place, a, b in zip(there.tolist(), first.tolist(), end.tolist()):
+            if a == b or right.marked[place : place + most].any():
+                continue
+            k = tried.get(a, a)
+            while k < b and left.marked[here[order[k]] : here[order[k]] + most].any():
+                k += 1
+            tried[a] = k
+            if k < b:
+                start = here[order[k]]
+                left.marked[start : start + most] = right.marked[place : place + most] = True
+                tiles.append(most)
+        most -= 1
     return tiles
 
 
 def leaks_of(text: str | None, seeds: Seeds, coverage: float) -> Iterator[tuple[int, float, int, int]]:
-    """The items of which a text's tiles cover at least ``coverage``: index, coverage, tiles, longest tile."""
-    grams = shingle_hashes(words(text), SEED)
+    """The items of which a text's tiles cover at least ``coverage``: index, coverage, tiles, longest tile.
+
+    Only items of which the text's seeds reach that much are tiled; that is counted over the item's distinct seeds, so a
+    seed that stands very often in the text or in very many items costs its places in the items once.
+    """
+    mine = words(text)
+    sums = run_sums(mine)
+    for n, (hashes, items) in seeds.short.items():
+        for k in items[np.isin(hashes, run_hashes(sums, n))].tolist():
+            yield k, 1.0, 1, n
+    grams = run_hashes(sums, SEED)
+    if not len(grams) or not len(seeds.hashes):
+        return
     low = np.searchsorted(seeds.hashes, grams)
-    found = np.flatnonzero(seeds.hashes[np.minimum(low, len(seeds.hashes) - 1)] == grams) if len(seeds.hashes) else low[:0]
-    if not len(found):
+    common = seeds.hashes[np.minimum(low, len(seeds.hashes) - 1)] == grams
+    if not common.any():
         return
-    low, high = low[found], np.searchsorted(seeds.hashes, grams[found], "right")
-    n = high - low
-    at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    doc_at, item, place = np.repeat(found, n), seeds.item[at], seeds.place[at]
-    order = np.argsort(item, kind="stable")
-    doc_at, item, place = doc_at[order], item[order], place[order]
-    for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
-        k = int(item[part[0]])
+    kinds = np.unique(grams[common])
+    first, end = np.searchsorted(seeds.hashes, kinds, "left"), np.searchsorted(seeds.hashes, kinds, "right")
+    entries = np.repeat(first - np.concatenate([[0], np.cumsum(end - first)[:-1]]), end - first) + np.arange((end - first).sum())
+    item, place = seeds.item[entries], seeds.place[entries]
+    order = np.lexsort((place, item))
+    item, place = item[order], place[order]
+    step = np.full(len(item), SEED)
+    same = item[1:] == item[:-1]
+    step[:-1][same] = np.minimum(place[1:] - place[:-1], SEED)[same]
+    starts = np.flatnonzero(np.diff(item, prepend=-1))
+    for k, reach in zip(item[starts].tolist(), np.add.reduceat(step, starts).tolist()):
         size = len(seeds.words[k])
-        reach = np.zeros(size, bool)
-        for i in range(SEED):
-            reach[place[part] + i] = True
-        if reach.sum() < coverage * size:  # tiles can't cover more than the seeds do
+        if reach < coverage * size:  # tiles can't cover more than the seeds do
             continue
-        tiles = tile(doc_at[part], place[part], size)
+        own = run_hashes(run_sums(seeds.words[k]), SEED)
+        found = np.flatnonzero(common)[np.isin(grams[common], own)]
+        held = np.zeros(len(mine), bool)
+        for i in range(SEED):
+            held[found + i] = True
+        at = np.flatnonzero(held)
+        tiles = tile(mine[at], at, seeds.words[k])
         if sum(tiles) >= coverage * size:
             yield k, sum(tiles) / size, len(tiles), max(tiles)
 
@@ -115,14 +168,16 @@ def _blocks(benchmark: DataFrame) -> Iterator[Seeds]:
     blocks = 1 + int(total // BLOCK_BYTES)
     for block in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield index_items(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in mine.toLocalIterator()))
+        yield index_items(sorted(((r["item_id"], r["text"]) for r in mine.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row per document and benchmark item that it leaks: doc_id, item_id, coverage, n_tiles, longest_tile.
 
     Every document is scanned whole, in one pass per benchmark block of BLOCK_BYTES, without a shuffle. Items of fewer
-    than SEED words, null and empty texts match nothing; repeated rows are reported each; an item without an id is -1.
+    than SEED words are found where all their words stand in a row; null texts and those without words match nothing.
+    Repeated rows of either table are reported each; an item without an id keeps a null id. Very long texts and seeds
+    that repeat in them or stand in very many items cost memory by their places, never by pairs of places.
     """
     names = ["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"]
     types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
