@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meadowlark.functions.patterns import DASHBOARD_PAIRS
 from meadowlark.operators import dimensions, harvest, population, trends
 
+#: Columns of the slim document and short names of the dashboard document.
 SLIM_COLUMNS = ("year", "gmu", "bulls", "cows", "calves", "total_harvest", "total_hunters", "pct_success", "total_rec_days")
 SHORT_NAMES = {
     "year": "y", "gmu": "g", "section_method": "m", "section_season": "s", "bulls": "b", "cows": "c", "calves": "v", "total_harvest": "h",
@@ -87,7 +88,7 @@ def _json(value: Column) -> Column:
     return F.to_json(value, {"ignoreNullFields": "false"})
 
 
-def _items(df: DataFrame, part: int, order: list[Column], text: Column, opening: str, closing: str) -> DataFrame:
+def items(df: DataFrame, part: int, order: list[Column], text: Column, opening: str, closing: str) -> DataFrame:
     """Text pieces of one list or object: its opening, its items with commas between them, its closing."""
     spark = df.sparkSession
     zero = F.lit("").alias("at")
@@ -134,18 +135,18 @@ def document_pieces(tables: Combined, harvest_rows: DataFrame, generated: str, s
     quoted = lambda key: F.concat(F.lit('"'), F.col(key).cast("string"), F.lit('":'))
     totals = [c for c in tables.harvest_trend.columns if c != "year"]
     parts = [
-        _items(meta, 0, [F.lit(0)], _json(F.col("m")), '{"metadata":', ',"statewide_trends":{"population":{'),
-        _items(tables.population_trend, 1, [F.col("year")], F.concat(quoted("year"), F.col("statewide_total").cast("string")), "", '},"harvest":{'),
-        _items(tables.harvest_trend, 2, [F.col("year")], F.concat(quoted("year"), _json(F.struct(*totals))), "", '}},"dau_definitions":{'),
-        _items(tables.definitions, 3, [F.col("first_seen")[c] for c in _ORDER], F.concat(quoted("dau"), definition_json(tables.definitions)), "", '},"gmu_to_dau":{'),
-        _items(tables.lookup, 4, [F.col("gmu")], F.concat(quoted("gmu"), F.lit('"'), F.col("dau"), F.lit('"')), "", '},"harvest":['),
-        _items(harvest_rows, 5, rows, _json(F.struct(*body)), "", "]," + ('"dau_harvest_summary":[' if full else '"population":[')),
+        items(meta, 0, [F.lit(0)], _json(F.col("m")), '{"metadata":', ',"statewide_trends":{"population":{'),
+        items(tables.population_trend, 1, [F.col("year")], F.concat(quoted("year"), F.col("statewide_total").cast("string")), "", '},"harvest":{'),
+        items(tables.harvest_trend, 2, [F.col("year")], F.concat(quoted("year"), _json(F.struct(*totals))), "", '}},"dau_definitions":{'),
+        items(tables.definitions, 3, [F.col("first_seen")[c] for c in _ORDER], F.concat(quoted("dau"), definition_json(tables.definitions)), "", '},"gmu_to_dau":{'),
+        items(tables.lookup, 4, [F.col("gmu")], F.concat(quoted("gmu"), F.lit('"'), F.col("dau"), F.lit('"')), "", '},"harvest":['),
+        items(harvest_rows, 5, rows, _json(F.struct(*body)), "", "]," + ('"dau_harvest_summary":[' if full else '"population":[')),
     ]
     if full:
         own = [c for c in tables.unit_summary.columns if c not in ("file", *_ORDER)]
-        parts.append(_items(tables.unit_summary, 6, rows, _json(F.struct(*own)), "", '],"population":['))
+        parts.append(items(tables.unit_summary, 6, rows, _json(F.struct(*own)), "", '],"population":['))
     own = [c for c in tables.population.columns if c not in ("file", *_ORDER)]
-    parts.append(_items(tables.population, 7, rows, _json(F.struct(*own)), "", "]}"))
+    parts.append(items(tables.population, 7, rows, _json(F.struct(*own)), "", "]}"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -73,6 +73,12 @@ def stacked(records: DataFrame, keys: Sequence[str] = ("gmu", "year"), parts: Se
     return sums.unpivot(list(keys), list(parts), "kind", "animals")
 
 
+def herd_population(records: DataFrame, dau: str | None = None) -> DataFrame:
+    """Each herd unit's estimates over time (one unit's with ``dau``): dau, year, population_estimate."""
+    some = records if dau is None else records.where(F.col("dau") == dau)
+    return some.select("dau", "year", "population_estimate").orderBy("dau", "year")
+
+
 def unit_population(definitions_lookup: DataFrame, population: DataFrame, units: DataFrame) -> DataFrame:
     """``units`` (gmu) with their herd unit and its estimates by year; units without a herd unit stay, with nulls."""
     return units.join(definitions_lookup.select("gmu", "dau"), "gmu", "left").join(population.select("dau", "year", "population_estimate"), "dau", "left")

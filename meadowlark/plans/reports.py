@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meadowlark.operators import harvest, population, serving
-from meadowlark.sources import sinks
+from meadowlark.sources import json_files, sinks
 
+#: The notes of the two smaller documents.
 SLIM_NOTE = "Slim version: harvest limited to all-manners/all-seasons harvest_rec_days only"
 DASHBOARD_NOTE = "Dashboard version: harvest by method/season, compact field names"
 
@@ -23,6 +25,15 @@ def combined_tables(harvest_pages: DataFrame, population_pages: DataFrame) -> se
     return serving.combine(harvest.parse_reports(harvest_pages), population.parse_reports(population_pages))
 
 
+def combined_files(spark: SparkSession, harvest_glob: str, population_glob: str) -> serving.Combined:
+    """The combined tables from per-year JSON files instead of page text; files without a year are left out."""
+    h, p = json_files.read_reports(spark, harvest_glob, population_glob)
+    totals = p.select("file", "file_ord", "year", "species", F.coalesce("statewide_total", F.lit(0).cast("bigint")).alias("statewide_total"))
+    none = spark.createDataFrame([], "file string")
+    harvest_report = harvest.Report(h.select("file", "file_ord", "year"), json_files.harvest_records(h).withColumn("section", F.lit(None)), json_files.unit_records(h).withColumn("section", F.lit(None)), none, none)
+    return serving.combine(harvest_report, population.Report(json_files.population_records(p), totals, none))
+
+
 def documents(tables: serving.Combined, generated: str, state: str, source: str) -> Documents:
     """The three documents as text pieces; ``generated`` is the date to print."""
     made = (generated, state, source)
@@ -44,8 +55,14 @@ def write_all(harvest_pages: DataFrame, population_pages: DataFrame, folder: str
         sinks.unit_csv(h.unit_records, f"{folder}/unit_csv"),
         sinks.population_csv(p.records, f"{folder}/population_csv"),
         sinks.mapping_csv(p.records, f"{folder}/mapping_csv"),
+        sinks.year_json(sinks.harvest_files(h), f"{folder}/harvest_json"),
+        sinks.year_json(sinks.population_files(p), f"{folder}/population_json"),
+        sinks.document(sinks.population_master(p), f"{folder}/population_master.json"),
         *[sinks.document(getattr(docs, name), f"{folder}/{name}.json") for name in docs._fields],
+        *[sinks.document(getattr(docs, name), f"{folder}/{name}_pretty.json", pretty=True) for name in docs._fields],
     ]
+    if h.files.limit(2).count() > 1:
+        written.append(sinks.document(sinks.harvest_master(h), f"{folder}/harvest_master.json"))
     for df in (*h, *p, *tables):
         df.unpersist()
     return written

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meadowlark import report_queries
 from meadowlark.functions.patterns import HARVEST_ROW
 from meadowlark.functions.text import has_any, parsed_int, repaired_ordinals, tokens, unit_id
 from meadowlark.functions.titles import classified
@@ -364,11 +365,11 @@ def records_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | report_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | report_queries.oracle_sql()
 
 
 __all__ = ["oracle_sql", "queries", "rendered_pages"]

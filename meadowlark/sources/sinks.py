@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meadowlark.operators import harvest, population
+from meadowlark.operators.dimensions import latest
 from meadowlark.operators.harvest import HARVEST_COLUMNS, UNIT_COLUMNS
-from meadowlark.operators.population import COLUMNS, mapping_rows
+from meadowlark.operators.population import COLUMNS, mapping_rows, unit_mapping
+from meadowlark.operators.serving import items
 
 _ORDER = ("year", "file_ord", "page_no", "line_no")
 
@@ -41,16 +44,97 @@ def mapping_csv(records: DataFrame, path: str) -> str:
     return path
 
 
+def keyed_mapping(records: DataFrame) -> DataFrame:
+    """(file, file_ord, year, dau, gmus, key): each file's herd units with management units, keyed ``<year>_<dau>``."""
+    return unit_mapping(records).withColumn("key", F.concat_ws("_", "year", "dau"))
+
+
+def harvest_files(report: harvest.Report) -> DataFrame:
+    """One row per readable harvest report in the shape of its JSON file; a report's rows are bounded by its pages."""
+    order = ("page_no", "line_no")
+
+    def listed(rows: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
+        item = F.struct(*order, F.struct(*columns).alias("r"))
+        return rows.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["r"]).alias(name))
+
+    detail = F.struct("section", F.struct("title", "type", "method", "season", "license_type", "records").alias("r"))
+    sections = report.sections.groupBy("file").agg(F.count(F.lit(1)).alias("sections_parsed"), F.transform(F.sort_array(F.collect_list(detail)), lambda x: x["r"]).alias("sections_detail"))
+    out = report.files.select("file", "year", F.lit("elk").alias("species"), F.col("file").alias("source_file"))
+    for part in (listed(report.records, HARVEST_COLUMNS, "harvest_records"), listed(report.unit_records, UNIT_COLUMNS, "dau_records"), sections):
+        out = out.join(part, "file", "left")
+    lists = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("harvest_records", "dau_records", "sections_detail")}
+    return out.withColumns({**lists, "sections_parsed": F.coalesce("sections_parsed", F.lit(0).cast("bigint"))}).drop("file")
+
+
+def population_files(report: population.Report) -> DataFrame:
+    """One row per readable population report in the shape of its JSON file."""
+    item = F.struct("page_no", "line_no", F.struct(*COLUMNS).alias("r"))
+    records = report.records.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["r"]).alias("records"))
+    pair = F.sort_array(F.collect_list(F.struct("dau_number", F.struct("dau", "gmus").alias("e"))))
+    mapping = unit_mapping(report.records).groupBy("file").agg(F.map_from_entries(F.transform(pair, lambda x: x["e"])).alias("dau_gmu_mapping"))
+    out = report.totals.select("file", "year", "species", F.col("file").alias("source_file"), "statewide_total").join(records, "file", "left").join(mapping, "file", "left")
+    return out.withColumn("records", F.coalesce("records", F.array().cast(out.schema["records"].dataType))).drop("file")
+
+
 def year_json(files: DataFrame, path: str) -> str:
     """One JSON object per file, a folder per year; nulls are kept."""
     files.withColumn("file_year", F.col("year")).repartition("file_year").write.mode("overwrite").partitionBy("file_year").json(path, ignoreNullFields=False)
     return path
 
 
-def document(pieces: DataFrame, path: str) -> str:
-    """Text pieces (part, step, at, piece) as one file; rows stream through one writer in order, commas between items."""
+def _json(columns: tuple[str, ...]) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def _years(rows: DataFrame, spark_part: int, name: str, closing: str) -> DataFrame:
+    text = F.array_join(F.array_sort(F.collect_set("year")).cast("array<string>"), ",")
+    return items(rows.agg(text.alias("t")), spark_part, [F.lit(0)], F.concat(F.lit(f'"{name}":['), F.col("t")), '{"species":"elk",', closing)
+
+
+def harvest_master(report: harvest.Report) -> DataFrame:
+    """The master document of several harvest reports as text pieces: years, harvest_records, dau_records."""
+    order = [F.col(c) for c in ("file_ord", "page_no", "line_no")]
+    return (
+        _years(report.files, 0, "years", '],"harvest_records":[')
+        .unionByName(items(report.records, 1, order, _json(HARVEST_COLUMNS), "", '],"dau_records":['))
+        .unionByName(items(report.unit_records, 2, order, _json(UNIT_COLUMNS), "", "]}"))
+    )
+
+
+def population_master(report: population.Report) -> DataFrame:
+    """The master document of population reports: records, mappings keyed ``<year>_<dau>``, statewide totals by year.
+
+    Of several files of one year the last one's mapping and total stand.
+    """
+    quoted = lambda key: F.concat(F.lit('"'), F.col(key).cast("string"), F.lit('":'))
+    mapping = latest(keyed_mapping(report.records), ["key"], F.struct("file_ord", "file"), ["year", "dau", "gmus"])
+    totals = latest(report.totals, ["year"], F.struct("file_ord", "file"), ["statewide_total"])
+    return (
+        _years(report.totals, 0, "years", '],"population_records":[')
+        .unionByName(items(report.records, 1, [F.col(c) for c in ("file_ord", "page_no", "line_no")], _json(COLUMNS), "", '],"dau_gmu_mappings":{'))
+        .unionByName(items(mapping, 2, [F.col("year"), F.col("dau")], F.concat(quoted("key"), F.to_json("gmus")), "", '},"statewide_totals":{'))
+        .unionByName(items(totals, 3, [F.col("year")], F.concat(quoted("year"), F.col("statewide_total").cast("string")), "", "}}"))
+    )
+
+
+def document(pieces: DataFrame, path: str, pretty: bool = False) -> str:
+    """Text pieces (part, step, at, piece) as one file; rows stream through one writer in order, commas between items.
+
+    ``pretty`` indents every opening, item and closing on a line of its own; both forms are the same JSON.
+    """
     first = pieces.where("step = 1").groupBy("part").agg(F.min("at").alias("first"))  # one row per part
     comma = F.when((F.col("step") == 1) & (F.col("at") != F.col("first")), ",").otherwise("")
-    text = pieces.join(F.broadcast(first), "part", "left").withColumn("piece", F.concat(comma, "piece"))
+    indent = F.when(F.col("step") == 1, "    ").otherwise("  ") if pretty else F.lit("")
+    text = pieces.join(F.broadcast(first), "part", "left").withColumn("piece", F.concat(indent, comma, "piece"))
     text.orderBy("part", "step", "at").coalesce(1).select("piece").write.mode("overwrite").text(path, lineSep="\n")
     return path
+
+
+def file_sizes(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, size): each document's bytes, as MB beyond a million of them, else as KB."""
+    files = None
+    for path in paths:
+        one = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).select(F.lit(path).alias("path"), "n")
+        files = one if files is None else files.unionByName(one)
+    size = F.when(F.col("n") > 1_000_000, F.format_string("%.1f MB", F.col("n") / 1e6)).otherwise(F.format_string("%.1f KB", F.col("n") / 1e3))
+    return files.select("path", size.alias("size"))

@@ -26,7 +26,7 @@ def test_query_equals_oracle(spark, duck, name):
     expected = duck.sql(core.oracle_sql()[name])
     columns = sorted(df.columns)
     assert columns == sorted(expected.columns)
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     assert [kinds[dict(df.dtypes)[c]] for c in columns] == [str(t) for t in expected.select(*columns).types]
     rows = expected.select(*columns).fetchall()
     assert rows
