@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 WS = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
+#: The characters that WS stands for.
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def trimmed(text: Column) -> Column:
     """``text`` without white space at its ends, Unicode spaces included."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def tokens(text: Column) -> Column:

@@ -12,7 +12,7 @@ META = "struct<table_type:string,method:string,season:string,license_type:string
 
 
 def is_title(line: Column, year: Column) -> Column:
-    """A repaired line that starts with the report's year and names a harvest table."""
+    """A line that starts with the report's year and names a harvest table; repairing its ordinals changes none of this."""
     return line.startswith(year.cast("string")) & line.contains("Elk") & has_any(line, *TITLE_WORDS)
 
 

@@ -6,11 +6,10 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from meadowlark.functions.patterns import BY_SEASON, BY_SEASON_UNIT, HARVEST_ROW, SEASON_ROW, SUCCESS_ROW, UNIT_ROW
 from meadowlark.functions.text import WS, tokens, tried_float, tried_int, unit_id
-from meadowlark.operators.sections import in_sections, report_lines, report_years
+from meadowlark.operators.sections import in_sections, report_lines, report_years, titled
 
 HARVEST_COLUMNS = (
     "year", "species", "gmu", "section_method", "section_season", "section_license_type", "bulls", "cows", "calves", "total_harvest", "total_hunters",
@@ -37,6 +36,10 @@ class Report(NamedTuple):
     quarantine: DataFrame
 
 
+#: Only lines with such a part can hold a figure that has a row's shape and is no number: too long, or with odd points.
+SUSPECT = r"[\d,]{16}|\.[\d%]*\.|(?:^|\s)\.%?(?:\s|$)"
+
+
 def with_rows(sections: DataFrame) -> DataFrame:
     """Section lines with ``row`` (which shape of row, null if none), ``cells`` (its fields), ``is_record`` and ``is_bad``
     (a figure that is no number)."""
@@ -57,7 +60,7 @@ def with_rows(sections: DataFrame) -> DataFrame:
         sections.withColumn("row", row.cast("string"))
         .withColumn("cells", F.when(F.col("row").isNotNull(), cells))
         .withColumn("is_record", F.col("row").isNotNull())
-        .withColumn("is_bad", F.col("is_record") & F.exists(figures, no_number))
+        .withColumn("is_bad", F.when(F.col("is_record") & line.rlike(SUSPECT), F.exists(figures, no_number)).otherwise(False))
     )
 
 
@@ -97,16 +100,16 @@ def unit_rows(rows: DataFrame, species: str) -> DataFrame:
 def parse_reports(pages: DataFrame, species: str = "elk") -> Report:
     """Harvest reports from page text (file, file_ord, page_no, text).
 
-    A file without a year, or with a figure that is no number, fails as a whole; its window is the one that titles are
-    carried in, so this costs no shuffle. Repeated titles open sections of their
-    own, sections without rows are listed with 0 records, null pages are skipped.
+    A file without a year, or with a figure that is no number, fails as a whole: such figures are looked for in the few
+    lines that could hold one. Repeated titles open sections of their own, sections without rows are listed with 0
+    records, null pages are skipped.
     """
     years = report_years(pages)
-    lines = report_lines(pages, years)
-    every = with_rows(in_sections(lines)).withColumn("__fails", F.max("is_bad").over(Window.partitionBy("file")))
-    rows = every.where(~F.col("__fails"))
+    lines = titled(report_lines(pages, years))
+    few = lines.where(F.col("is_title") | F.col("line").rlike(SUSPECT))
+    bad = with_rows(in_sections(few)).where("is_bad").select("file").distinct().withColumn("reason", F.lit("bad number"))
+    rows = with_rows(in_sections(lines)).join(bad.select("file"), "file", "left_anti")
     no_year = years.where(F.col("year").isNull()).select("file", F.lit("no year").alias("reason"))
-    bad = every.where("is_bad").select("file").distinct().withColumn("reason", F.lit("bad number"))
     sections = (
         rows.groupBy("file", "file_ord", "year", "section")
         .agg(F.max(F.when(F.col("is_title"), F.col("meta"))).alias("meta"), F.sum(F.col("is_record").cast("bigint")).alias("records"))

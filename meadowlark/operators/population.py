@@ -6,7 +6,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from meadowlark.functions.patterns import POPULATION_SKIPS, STATEWIDE_TOTAL
 from meadowlark.functions.text import has_any, tokens, tried_int, trimmed
@@ -104,14 +103,14 @@ def parse_reports(pages: DataFrame, species: str = "elk") -> Report:
     lines = raw_lines(pages)
     flags = report_flags(lines)
     rows = population_rows(lines, flags, species)
-    every = rows.withColumn("__fails", F.max("bad").over(Window.partitionBy("file")))
     readable = lines.where(trimmed(F.col("line")) != "").select("file").distinct()
     no_text = pages.select("file").distinct().join(readable, "file", "left_anti").withColumn("reason", F.lit("no text"))
     no_year = flags.where(F.col("year").isNull()).select("file").join(no_text, "file", "left_anti").withColumn("reason", F.lit("no year"))
-    bad = every.where("bad").select("file", "year").distinct().where("year IS NOT NULL").select("file").withColumn("reason", F.lit("bad number"))
+    bad = rows.where("bad").select("file", "year").distinct().where("year IS NOT NULL").select("file").withColumn("reason", F.lit("bad number"))
     quarantine = no_text.unionByName(no_year).unionByName(bad)
     totals = flags.select("file", "file_ord", "year", F.lit(species).alias("species"), "statewide_total", "has_ratio", "has_herd_name")
-    records = every.where(~F.col("__fails") & F.col("year").isNotNull()).drop("bad", "__fails")
+    # no row of a failing file is kept, wherever it stands; the failing files are few
+    records = rows.where("year IS NOT NULL").join(rows.where("bad").select("file").distinct(), "file", "left_anti").drop("bad")
     return Report(records, totals.join(quarantine.select("file"), "file", "left_anti"), quarantine)
 
 

@@ -55,23 +55,32 @@ def report_lines(pages: DataFrame, years: DataFrame | None = None) -> DataFrame:
     )
 
 
+def titled(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``is_title``; rows of a file may then be left out, but no titles, without changing sections."""
+    return lines.withColumn("is_title", F.coalesce(is_title(F.col("line"), F.col("year")), F.lit(False)))
+
+
 def in_sections(lines: DataFrame) -> DataFrame:
     """``lines`` with their section: ``section`` (page and line of its title), ``meta`` and ``is_title``.
 
     A title opens a section and ends the one before; lines before a file's first title, and those under a title of no
-    known table, belong to none and go. Titles are judged by the repaired line; rows keep the line as it came. One
-    window per file carries titles forward.
+    known table, belong to none and go. Titles are classified by the repaired line; rows keep the line as it came.
+    Titles are carried from page to page by a window over one row a page, and within pages by one over a page's lines,
+    so a long file is spread over tasks by its pages.
     """
-    fixed = F.col("__fixed")
-    repaired = lines.withColumn("__fixed", repaired_ordinals(F.col("line")))
-    marked = repaired.withColumn("is_title", F.coalesce(is_title(fixed, F.col("year")), F.lit(False)))
-    title = F.struct(F.struct("page_no", "line_no").alias("section"), classified(fixed).alias("meta"))
-    carried = carried_forward(F.when(F.col("is_title"), title), ["file"], ["page_no", "line_no"])
+    marked = lines if "is_title" in lines.columns else titled(lines)
+    title = F.struct(F.struct("page_no", "line_no").alias("section"), classified(repaired_ordinals(F.col("line"))).alias("meta"))
+    own = F.when(F.col("is_title"), title)
+    marked = marked.withColumn("__own", own)
+    pages = marked.groupBy("file", "page_no").agg(F.max_by("__own", F.when(F.col("is_title"), F.col("line_no"))).alias("__last"))
+    earlier = Window.partitionBy("file").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = pages.select("file", "page_no", F.last("__last", ignorenulls=True).over(earlier).alias("__before"))
+    within = carried_forward(F.col("__own"), ["file", "page_no"], ["line_no"])
     return (
-        marked.withColumn("__carried", carried)
+        marked.join(before, ["file", "page_no"])
+        .withColumn("__carried", F.coalesce(within, F.col("__before")))
         .where(F.col("__carried.meta").isNotNull())
-        .select("*", F.col("__carried.section").alias("section"), F.col("__carried.meta").alias("meta"))
-        .drop("__carried", "__fixed")
+        .select(*[c for c in marked.columns if c != "__own"], F.col("__carried.section").alias("section"), F.col("__carried.meta").alias("meta"))
     )
 
 

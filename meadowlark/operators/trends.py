@@ -43,9 +43,44 @@ def trailing_mean(df: DataFrame, keys: Sequence[str], year: str, value: str, yea
 
 
 def quantile_breaks(df: DataFrame, value: str, classes: int = 7, keys: Sequence[str] = ()) -> DataFrame:
-    """The inner breaks of ``classes`` equal-count classes, interpolated linearly: ``breaks`` per key."""
+    """The inner breaks of ``classes`` equal-count classes, interpolated linearly: ``breaks`` per key, null without values.
+
+    Equal values are counted first. Without keys the counts are then ranked over range partitions, and only the values
+    at the wanted ranks come together, so no task holds all values.
+    """
     at = [k / classes for k in range(1, classes)]
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in at])).alias("breaks"))
+    some = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    if keys:
+        return some.groupBy(*keys).agg(F.percentile("__v", F.array(*[F.lit(p) for p in at]), F.col("__n")).alias("breaks"))
+    ranked = _ranked(some, ["__v"], "__n")
+    place = lambda p: F.lit(p) * (F.col("__all") - 1)
+    # a value stands at the ranks from __rank on; each break lies between the values at two neighbouring ranks
+    holds = lambda r: (F.col("__rank") <= r) & (r < F.col("__rank") + F.col("__n"))
+    ends = [(F.max(F.when(holds(F.floor(place(p))), F.col("__v"))), F.max(F.when(holds(F.ceil(place(p))), F.col("__v"))), F.max(place(p) - F.floor(place(p)))) for p in at]
+    return ranked.agg(F.when(F.count(F.lit(1)) > 0, F.array(*[low + (high - low) * share for low, high, share in ends])).alias("breaks"))
+
+
+def _ranked(df: DataFrame, order: Sequence[str], weight: str | None = None) -> DataFrame:
+    """``df`` with ``__rank`` (from 0 in ``order``, counting rows or ``weight``) and ``__all`` (their total).
+
+    Rows are range-partitioned and numbered within partitions, and moved by the sums of the partitions before. They are
+    written to a reliable checkpoint in between where the session has a folder for it: the ranges come from a sample, and
+    rows must stand where they were counted even if an executor is lost. ``order`` must be unique.
+    """
+    w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    numbered = df.withColumn("__w", w).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    numbered = numbered.checkpoint() if context.getCheckpointDir() else numbered.persist()
+    counts = numbered.groupBy("__part").agg(F.sum("__w").alias("__n_part"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n_part").over(before), F.lit(0)).alias("__before"), F.sum("__n_part").over(Window.partitionBy()).alias("__all"))
+    inside = F.coalesce(F.sum("__w").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a partition is broadcast
+    placed = numbered.withColumn("__inside", inside).join(F.broadcast(offsets), "__part")
+    return placed.withColumn("__rank", F.col("__before") + F.col("__inside")).drop("__part", "__before", "__inside", "__w")
 
 
 def in_classes(df: DataFrame, value: str, breaks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -87,22 +122,10 @@ def unit_population(definitions_lookup: DataFrame, population: DataFrame, units:
 def equal_count_classes(df: DataFrame, order: Sequence[str], classes: int = 7) -> DataFrame:
     """``df`` with ``class`` (1 and up): classes whose counts differ by one at most, the first ones larger.
 
-    Rows are range-partitioned, numbered within partitions and moved by the counts before; no task sees all rows. The
-    partitions' counts, a few numbers each, are the only thing that is broadcast. ``order`` must be unique: the ranges
-    are found by a sample, and a second look at them must give the same.
+    See :func:`_ranked`; no task sees all rows. ``order`` must be unique.
     """
-    numbered = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("__id", F.monotonically_increasing_id())
-        .withColumn("__part", F.shiftrightunsigned("__id", 33))
-        .persist()
-    )
-    counts = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    rank = F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)
+    rank = F.col("__rank")
     small, large = F.floor(F.col("__all") / classes), F.col("__all") % classes
     in_large = rank < large * (small + 1)
     cls = F.when(in_large, F.floor(rank / (small + 1))).otherwise(large + F.floor((rank - large * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
-    return numbered.join(F.broadcast(offsets), "__part").withColumn("class", cls.cast("int")).select(*df.columns, "class")
+    return _ranked(df, order).withColumn("class", cls.cast("int")).select(*df.columns, "class")
