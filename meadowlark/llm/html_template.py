@@ -28,7 +28,7 @@ from meadowlark.llm.common import durable
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|"""
     r"""<(?P<raw>script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|"""
-    r"""<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*)>""",
+    r"""<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*|[^<>]*)>""",
     re.S | re.I,
 )
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -41,13 +41,25 @@ BLOCK = set(
 )
 ASIDE = set("nav footer aside form menu head iframe object svg canvas button select option dialog audio video search map datalist".split())
 MARKS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu nav "
-    "navbar navigation newsletter notice notices popup promo promotion related respond share sharing sidebar social sponsor sponsored subscribe widget "
-    "complementary contentinfo search".split()
+    "ad adbox ads advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies "
+    "disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices popup promo promotion related replies respond share sharing "
+    "sidebar social sponsor sponsored subscribe widget complementary contentinfo search".split()
 )
+#: Words that may stand beside a mark in a class of an article's part; with any other word the class names content.
+BESIDE = set("area articles bar block body box buttons container form item items left links list main post posts right section stories thread top wrap wrapper".split())
 #: Elements that are closed by the start of one of the others.
 CLOSES = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 ARTICLE = {"article", "main"}
+_WORDS = re.compile(r"[a-z0-9]+")
+
+
+def _is_marked(labels: list[str], whole: bool) -> bool:
+    """Whether a class, id or role names a menu, notice or the like: by any of its words, or only by all (``whole``)."""
+    for label in labels:
+        found = set(_WORDS.findall(label))
+        if found & MARKS and (not whole or found <= MARKS | BESIDE):
+            return True
+    return False
 
 
 class Block(NamedTuple):
@@ -102,11 +114,13 @@ def parse(html: str) -> tuple[list[tuple[int, int]], list[Block]]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
             if depth and all(s[0] not in BLOCK for s in stack[depth + 1 :]):
                 close(depth)
-        marks = {w for found in _MARK.findall(m["attrs"]) for w in re.split(r"[^a-z0-9]+", "".join(found).lower())}
+        labels = [label for found in _MARK.findall(m["attrs"]) for label in "".join(found).lower().split()]
+        marks = {w for label in labels for w in _WORDS.findall(label)}
         _, path, in_article, aside = stack[-1]
         own = _hash(f"{path} {name} {' '.join(sorted(marks))}")
         in_article = in_article or name in ARTICLE
-        mine = name in ASIDE or bool(marks & MARKS and name not in ("html", "body", "article", "main")) or (name == "header" and not in_article)
+        marked = name not in ("html", "body", "main") and _is_marked(labels, in_article)
+        mine = name in ASIDE or marked or (name == "header" and not in_article)
         if name in BLOCK or mine != aside:
             flush()
         elements.append((own, path))

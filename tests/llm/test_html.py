@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -29,6 +30,41 @@ def test_markup():
     assert _text("<P CLASS=x>Upper</P><!doctype html>") == "Upper" and _text("<p>a<!-- open") == "a"
 
 
+def test_marks_in_and_around_articles():
+    assert _text('<main><p>a</p><article class="comment"><p>c</p></article><div class="comment-list">d</div></main>') == "a"
+    assert _text('<article><h2 id="related-work">Related work</h2><div class="search-results">found</div><div class="related-posts">more</div></article>') == "Related work\nfound"
+    assert _text('<body><div class="alert">x</div><div class="gdpr">y</div><div class="adbox">z</div><ul class="commentlist"><li>c</ul><p>kept</p></body>') == "kept"
+    assert _text('<article><p title="x>text</p></article>') == "text"
+
+
+def test_templates_equal_brute_force(spark):
+    """Occurrence vectors in plain Python, as tuples of counts over a host's distinct pages."""
+    r = random.Random(6)
+    rows = []
+    for host in "abc":
+        fixed = [f"fixed {host} {k}" for k in range(r.randint(1, 5))]
+        for k in range(r.randint(2, 9)):
+            body = "".join(f"<div class=t{i}><p>{t}</p></div>" for i, t in enumerate(fixed) if r.random() < 0.9)
+            own = "".join(f"<p>{r.choice('uvwxyz')} {r.randint(0, 6)}</p>" for _ in range(r.randint(0, 5)))
+            rows += [(len(rows), f"http://{host}/{k}", f"<html><body>{body}<div class=s>{own}</div></body></html>")] * r.choice([1, 1, 2])
+    expected = {}
+    for host in "abc":
+        pages = {}
+        for _, url, page in rows:
+            if H.host_of(url) == host:
+                elements, blocks = H.parse(page)
+                pages["\n".join(b.text for b in blocks)] = [(e, up, False) for e, up in elements] + [(H.text_token(b), b.path, True) for b in blocks]
+        vectors = {t: tuple(p.count(t) for p in pages.values()) for t in {t for p in pages.values() for t in p}}
+        seen = {t: sum(map(bool, v)) for t, v in vectors.items()}
+        frequent = lambda n: n >= H.LEAST_PAGES and n >= H.FREQUENT * max(seen.values())  # noqa: B023, E731
+        large = [v for v in vectors.values() if list(vectors.values()).count(v) >= H.LARGE]
+        around = {t[0] for t in vectors if not t[2] and frequent(seen[t])}
+        expected[host] = {t[0] for t, v in vectors.items() if t[2] and v in large and frequent(seen[t]) and t[1] in around}
+    found = H.templates(spark.createDataFrame(rows, "page_id long, url string, html string").select("url", "html")).collect()
+    assert {f["host"]: {v & 0xFFFFFFFFFFFFFFFF for v in f["fixed"]} for f in found} == {h: v for h, v in expected.items() if v}
+    assert any(expected.values())
+
+
 def _page(k):
     return f"<html><body><div class=top><p>Welcome to the site</p></div><div class=story><p>story {k} with words</p><p>more {k}</p></div><div class=end><p>All our terms</p></div></body></html>"
 
