@@ -60,7 +60,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = json.dumps({"prompt": PROBE_TEXT, "completion": PROBE_TEXT})
     extra = spark.range(1).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.lit(probe).alias("record"))
-    return chat.digests(chat.format_records(chat.conversation_records(rows).unionByName(extra)))
+    return chat.digests(chat.format_records(chat.conversation_records(rows, varied=True).unionByName(extra)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

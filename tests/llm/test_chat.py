@@ -29,6 +29,29 @@ def test_layouts(spark):
     assert _back(_formatted(spark, records)) == {0: pair, 1: pair, 2: pair, 3: pair, 4: [("system", "s"), *pair], 5: [], 6: None, 7: None, 8: None, 9: [("user", ""), ("assistant", "b")]}
 
 
+def test_further_fields_and_missing_ones(spark):
+    two = [{"role": "user", "content": "a", "name": "x"}, {"role": "assistant", "content": "b"}]
+    records = [
+        {"id": 7, "source": "web", "messages": two}, {"messages": [*two[:1], {"role": "assistant"}]}, {"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, "!"]}]},
+        {"system": "", "prompt": "a", "response": "b"}, {"system": "s", "prompt": "a", "completion": "b", "meta": {"k": [1]}}, {"messages": [{"content": "a"}]}, {"messages": two, "prompt": "p", "completion": "c"},
+        {"messages": ["a"]}, [1], {"text": "only"},
+    ]
+    made = _formatted(spark, records)
+    u, b = ("user", "a"), ("assistant", "b")
+    expected = {0: [u, b], 1: [u, ("assistant", "")], 2: [("user", "a!")], 3: [u, b], 4: [("system", "s"), u, b], 5: [("", "a")], 6: [u, b]}
+    assert _back(made) == {**expected, 7: None, 8: None, 9: None}
+    left = {r["conv_id"]: (r["reason"], json.loads(r["unread"])) for r in made.where("reason IS NOT NULL").collect()}
+    assert left == {7: ("unknown layout", records[7]), 8: ("no object", [1]), 9: ("unknown layout", records[9])}
+
+
+def test_the_query_meets_several_layouts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    varied = chat.conversation_records(rows, varied=True)
+    fields = {tuple(sorted(json.loads(r["record"]))) for r in varied.collect()}
+    assert {("messages",), ("conversations",), ("id", "messages", "source")} <= fields
+    assert _back(chat.format_records(varied)) == _back(chat.format_records(chat.conversation_records(rows)))
+
+
 def test_fingerprints():
     one = chat.fingerprint(chat.field_paths({"b": 1, "a": [{"x": 1}, {"x": 2, "y": None}]}))
     assert one == chat.fingerprint([".a[].y", ".b", ".a[].x"]) != chat.fingerprint([".a[].x", ".b"])
