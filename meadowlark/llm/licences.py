@@ -47,6 +47,28 @@ TEMPLATES = (
     ("cc0", "dedicated to the public domain under cc0 1 0 universal"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "mit license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache", "apache license version 2 0 january 2004"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("boost", "boost software license version 1 0"),
+    ("boost", "distributed under the boost software license"),
+    ("eupl", "licensed under the european union public licence"),
+    ("eupl", "licensed under the eupl"),
+    ("mit", "spdx license identifier mit"),
+    ("apache", "spdx license identifier apache 2 0"),
+    ("gpl", "spdx license identifier gpl 3 0"),
+    ("lgpl", "spdx license identifier lgpl 3 0"),
+    ("agpl", "spdx license identifier agpl 3 0"),
+    ("bsd", "spdx license identifier bsd 3 clause"),
+    ("mpl", "spdx license identifier mpl 2 0"),
+    ("isc", "spdx license identifier isc"),
+    ("cc0", "spdx license identifier cc0 1 0"),
+    ("boost", "spdx license identifier bsl 1 0"),
+    ("eupl", "spdx license identifier eupl 1 2"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
 )
 #: Sentences that share words with the notices and name no licence.
@@ -109,7 +131,9 @@ def _examples(r: random.Random, n: int) -> list[tuple[str, int]]:
 @lru_cache(maxsize=1)
 def trained(n: int = 4000, seed: int = 5) -> Licences:
     """Fits on three quarters of ``n`` generated paragraphs; the rest sets the temperature and the threshold."""
-    vocabulary = sorted(p for p in set().union(*(pairs_of(t) for _, t in TEMPLATES)) if not set(p.split()) <= _SMALL)
+    # the look-alikes' own pairs are features too: they speak for the unknown class
+    listed = [t for _, t in TEMPLATES] + list(LOOK_ALIKES)
+    vocabulary = sorted(p for p in set().union(*map(pairs_of, listed)) if not set(p.split()) <= _SMALL)
     place = {p: k for k, p in enumerate(vocabulary)}
 
     def rows(texts: list[str]) -> np.ndarray:
@@ -140,7 +164,7 @@ def trained(n: int = 4000, seed: int = 5) -> Licences:
     wrong = p.argmax(1) != y[held]
     threshold = float(max(0.5, np.quantile(p.max(1)[wrong], 0.995) if wrong.any() else 0.5))
     members = np.array([[p in pairs_of(t) for _, t in TEMPLATES] for p in vocabulary])
-    return Licences(vocabulary, weights, bias, min(threshold, 0.95), members)
+    return Licences(vocabulary, weights, bias, threshold, members)
 
 
 CONFIRM = 0.6

@@ -1,5 +1,6 @@
 import textwrap
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,43 @@ def test_odd_empty_and_repeated(spark, odd_docs, no_docs):
     assert licences.find_licences(odd_docs).collect() == [] and licences.find_licences(no_docs).collect() == []
     twice = spark.createDataFrame([(1, "Released under the MIT License.")] * 2, "doc_id long, text string")
     assert licences.find_licences(twice).count() == 2
+
+
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+BSD_TERMS = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+
+
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [
+        (MIT_GRANT, "mit"), (BSD_TERMS, "bsd"), ("// SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache"), ("MIT License", "mit"),
+        ("Boost Software License - Version 1.0 - August 17th, 2003", "boost"), ("Licensed under the EUPL, Version 1.2 or later", "eupl"),
+    ],
+)
+def test_published_notices(spark, text, family):
+    assert family in {f for _, f, confirmed in _families(spark, f"some words\n{text}\nother words") if confirmed}
+
+
+def test_scores_equal_plain_python(spark):
+    """Each line's probability and containment from the model's weights, summed in Python over the line's word pairs."""
+    model = licences.trained()
+    place = {p: k for k, p in enumerate(model.vocabulary)}
+    lines = [t for _, t in licences.TEMPLATES] + list(licences.LOOK_ALIKES) + ["nothing of that kind here"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licences.find_licences(docs).collect()}
+    for k, line in enumerate(lines):
+        own = [place[p] for p in licences.pairs_of(line) if p in place]
+        z = model.bias + model.weights[own].sum(0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best = int(p[:-1].argmax())
+        shares = model.members[own].sum(0) / model.members.sum(0)
+        of_family = [s for s, (f, _) in zip(shares, licences.TEMPLATES) if f == licences.FAMILIES[best]]
+        reported = bool(own) and (p[best] >= model.threshold or shares.max() >= licences.CONFIRM)
+        assert (k in found) == reported, line
+        if reported:
+            confirmed = p[best] >= model.threshold and max(of_family) >= licences.CONFIRM
+            assert found[k]["confirmed"] == confirmed and found[k]["family"] == (licences.FAMILIES[best] if confirmed else licences.UNKNOWN)
+            assert abs(found[k]["probability"] - p[best]) < 1e-4 and abs(found[k]["containment"] - max(of_family)) < 1e-5
