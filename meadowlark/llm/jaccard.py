@@ -549,20 +549,22 @@ SPREAD = 8
 
 
 def _named(sized: DataFrame, roots: DataFrame) -> DataFrame:
-    """(cid, component_id): the least doc_id of each class's component."""
+    """(cid, class_id, component_id): the least doc_id of each class and of its component."""
     classes = sized.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
     topped = durable(classes.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left"))
     own = F.when(F.col("root").isNotNull(), F.pmod(F.xxhash64("cid"), F.lit(SPREAD)))
     named = topped.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
     spread = named.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
     met = topped.where("root is not null").withColumn("place", own.cast("long")).join(spread, ["root", "place"])
-    return met.select("cid", "component_id").unionByName(topped.where("root is null").select("cid", F.col("least").alias("component_id")))
+    alone = topped.where("root is null").select("cid", F.col("least").alias("class_id"), F.col("least").alias("component_id"))
+    return met.select("cid", F.col("least").alias("class_id"), "component_id").unionByName(alone)
 
 
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, class_id (equal sets share it; null if empty), component_id.
+    """Per row of ``docs``: doc_id, n_shingles, class_id, component_id.
 
-    component_id is the smallest doc_id among all rows that links reach. Rows without words have no shingles and form
+    class_id is the smallest doc_id among the rows with an equal set (null if empty), component_id the smallest among all
+    rows that links reach. Rows without words have no shingles and form
     components of their own; repeated rows and equal texts are one class; a null doc_id never names a component unless
     all its members have none.
     """
@@ -594,9 +596,9 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     release(sets, opened, families)
     of_class = _named(sized, roots if links.isEmpty() else _merged(roots, links))
     # rows without shingles have no class; a key of their own keeps them from meeting in one task
-    keyed = sized.select("doc_id", "n_shingles", F.col("cid").alias("class_id"), F.coalesce("cid", F.xxhash64("doc_id")).alias("cid"))
-    component = F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return keyed.join(of_class, "cid", "left").select("doc_id", "n_shingles", "class_id", component.alias("component_id"))
+    keyed = sized.select("doc_id", "n_shingles", F.coalesce("cid", F.xxhash64("doc_id")).alias("cid"))
+    own = lambda c, none: F.when(F.col("n_shingles") > 0, F.col(c)).otherwise(none).alias(c)
+    return keyed.join(of_class, "cid", "left").select("doc_id", "n_shingles", own("class_id", F.lit(None)), own("component_id", F.col("doc_id")))
 
 
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowlark.llm import chat, html_template, jaccard, licences, packing, quality, rules, secret_scan, sharding, tiling
+from meadowlark.llm import chat, html_template, jaccard, licences, oracles, packing, quality, rules, secret_scan, sharding, tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = json.dumps({"prompt": PROBE_TEXT, "completion": PROBE_TEXT})
     extra = spark.range(1).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.lit(probe).alias("record"))
-    return chat.digests(chat.format_records(chat.conversation_records(rows, varied=True).unionByName(extra)))
+    return chat.digests(chat.format_records(chat.conversation_records(rows, varied=True).unionByName(extra))).drop("fingerprint")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
