@@ -179,6 +179,7 @@ def find_licences(docs: DataFrame, model: Licences | None = None) -> DataFrame:
     probability passes the threshold. Lines are a run where the word pair across their end is a template's; a confirmed
     run stands for its lines, save those that are confirmed alone for another family by a template that gains nothing
     from the run. Of a run that is not confirmed, its lines are reported, or the run if none of them is. Null and empty texts give none; repeated rows are reported each.
+    Whole texts are read, however long. Only doc_id and text are taken, so further columns and their names don't matter.
     """
     model = model or trained()
     spark = docs.sparkSession

@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None,
     """Each document's token ids and a final 0, cut into pieces of ``capacity`` if longer (the first takes the rest).
 
     A null text counts as empty and so is one piece of one id; repeated rows are packed as often as they occur.
+    Only doc_id and text are taken, so further columns and their names don't matter.
     ``with_ids`` adds the ids themselves.
     """
     vocabulary = vocabulary or default_vocabulary()

@@ -111,6 +111,7 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
 
     Base: fewer than 20 words, or over 30 in 100 words inside repeated windows. A base failure is never kept; otherwise
     the table decides. Null and empty texts have no words and fail; repeated rows are judged alike.
+    Whole texts are read, however long. A column of ``docs`` that has the name of one of these is replaced; others ride along.
     """
     counted = docs.withColumn("__f", features(F.col(f"`{text}`")))
     f = F.col("__f")
