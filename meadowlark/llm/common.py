@@ -26,13 +26,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Narrow rows that one task writes to one file of a small durable table.
+ROWS_A_FILE = 1 << 16
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read again.
 
     Cuts the lineage so that lost executors cost a read and not a recomputation. The files go when the session ends, or
-    by :func:`release`.
+    by :func:`release`. ``rows`` is an upper bound of the row count where one is known: a small table of narrow rows is
+    then written by as few tasks as it needs, not as one tiny file per shuffle partition; a large one by all.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{checkpoint_dir(spark).rstrip('/')}/meadowlark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

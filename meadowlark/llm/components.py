@@ -10,11 +10,12 @@ from meadowlark.llm.common import durable, release
 
 def follow(parents: DataFrame) -> DataFrame:
     """``(id, parent)``, one row per id and parents smaller than their ids: each id with its root, by pointer jumping."""
-    before = None
+    before, rows = None, parents.count()
     while True:
         above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("__above"))
         jumped = durable(
-            parents.join(above, "parent", "left").select("id", F.coalesce("__above", "parent").alias("parent"), F.col("__above").isNotNull().alias("__moved"))
+            parents.join(above, "parent", "left").select("id", F.coalesce("__above", "parent").alias("parent"), F.col("__above").isNotNull().alias("__moved")),
+            rows,
         )
         moved = jumped.where("__moved").limit(1).count()
         if before is not None:
@@ -31,7 +32,7 @@ def connected(edges: DataFrame) -> DataFrame:
     one. Ids with very many neighbours only enter a grouped minimum and a join.
     """
     edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    before, rows = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -39,15 +40,16 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         after = durable(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+            small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(),
+            2 * rows,
         )
         release(edges)
         edges = after
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break
-        before = state
+        before, rows = state, state[0]
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")
-    out = durable(roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()))
+    out = durable(roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()), 2 * rows)
     release(edges)
     return out

@@ -412,13 +412,14 @@ def _star_bounded(groups: DataFrame, points: DataFrame, percent: int) -> DataFra
     return rows.select("hub", "cid", "n", "size", "extra", "point").mapInArrow(run, "a long, b long, n long")
 
 
-def _tiled(groups: DataFrame, roots: DataFrame) -> DataFrame:
+def _tiled(groups: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
     """(hub, low, high, tile, cid, root) of the neighbourhoods with several components, for each pair of tiles.
 
+    ``groups`` has at most ``rows`` rows.
     Members of a component that fills tiles have tiles of their own, which are not paired with each other.
     """
     both = groups.select("hub", "cid").unionByName(groups.select("hub", F.col("hub").alias("cid")).distinct())
-    rooted = durable(both.join(roots.withColumnRenamed("id", "cid"), "cid").select("hub", "cid", "root", "size"))
+    rooted = durable(both.join(roots.withColumnRenamed("id", "cid"), "cid").select("hub", "cid", "root", "size"), 2 * rows)
     load = lambda count, size: F.ceil(F.greatest(F.col(count) / TILE, F.col(size) / TILE_SHINGLES)).cast("long")
     per = rooted.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s")).withColumn("own", load("c", "s"))
     own = F.col("own") > 1
@@ -427,7 +428,7 @@ def _tiled(groups: DataFrame, roots: DataFrame) -> DataFrame:
     )
     mixed = mixed.where("n_roots > 1").select("hub", F.coalesce(load("c", "s"), F.lit(0).cast("long")).alias("shared"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("k")
-    big = durable(per.where(own).join(mixed, "hub").select("hub", "root", "own"))
+    big = durable(per.where(own).join(mixed, "hub").select("hub", "root", "own"), 2 * rows)
     of_big = big.select("hub", "root", numbers(F.col("own"))).select("hub", F.xxhash64("root", "k").alias("tile"), "root")
     of_rest = mixed.where("shared > 0").select("hub", numbers(F.col("shared"))).select("hub", F.col("k").alias("tile"), F.lit(None).cast("long").alias("root"))
     tiles = of_big.unionByName(of_rest)
@@ -571,6 +572,7 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sized = durable(_sized(docs, k))
     groups = durable(_neighbours(_signed(docs, k, percent)))
+    met = groups.count()
     members = groups.select("cid").unionByName(groups.select(F.col("hub").alias("cid"))).distinct()
     counted = sized.where("point is not null").select("cid", F.col("n_shingles").alias("size"), "extra", "point")
     points = durable(_once(counted.join(members, "cid", "left_semi")))
@@ -579,20 +581,20 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         return durable(_sets(docs, k, _wanted(ids)))
 
     allowed = _star_bounded(groups, points, percent)
-    stars = durable(allowed.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
+    stars = durable(allowed.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")), met)
     sets = sets_of(stars.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
     linked = durable(_verified(stars, sets, percent))
     release(stars, sets)
     found = follow(linked.select(F.col("a").alias("id"), F.col("b").alias("parent")))
     sizes = points.select(F.col("cid").alias("id"), "size")
-    roots = durable(sizes.join(found, "id", "left").select("id", F.coalesce("parent", "id").alias("root"), "size"))
+    roots = durable(sizes.join(found, "id", "left").select("id", F.coalesce("parent", "id").alias("root"), "size"), 2 * met)
 
-    opened = durable(_open_pairs(_tiled(groups, roots), points, percent))
+    opened = durable(_open_pairs(_tiled(groups, roots, met), points, percent))
     release(points, groups)
     families = connected(opened)
     sets = sets_of(families.select(F.col("id").alias("cid")))
     left = families.where("id <> root").select(F.col("root").alias("hub"), F.col("id").alias("cid"))
-    links = durable(_spanning_links(_tiled(left, roots), sets, percent))
+    links = durable(_spanning_links(_tiled(left, roots, 2 * met), sets, percent))
     release(sets, opened, families)
     of_class = _named(sized, roots if links.isEmpty() else _merged(roots, links))
     # rows without shingles have no class; a key of their own keeps them from meeting in one task
