@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowlark.llm import chat, html_template, jaccard, licences, oracles, packing, quality, rules, secret_scan, sharding, tiling
+from meadowlark.llm import chat, html_template, jaccard, licences, oracles, packing, prefix_trie, quality, rules, secret_scan, sharding, tiling, token_counts, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_records(chat.conversation_records(rows, varied=True).unionByName(extra))).drop("fingerprint")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_secret_scan, op3_ngram_jaccard, op4_benchmark_tiling, op5_quality_classifier, op6_html_templates, op7_quality_rules, op8_best_fit_packing, op9_licence_scan, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_secret_scan, op3_ngram_jaccard, op4_benchmark_tiling, op5_quality_classifier, op6_html_templates, op7_quality_rules, op8_best_fit_packing, op9_licence_scan, op10_chat_formatting, op11_prefix_trie, op12_token_counts, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
