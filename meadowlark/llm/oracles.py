@@ -1,6 +1,7 @@
 """DuckDB statements for the corpus queries that SQL can express, written from their contracts.
 
-The others learn a model, tile greedily, deduce templates, walk a curve or pack bins; tests hold them by brute force.
+The others learn a model, tile greedily, deduce templates, walk a curve, pack bins, merge symbols or take eigenvectors;
+tests hold them by brute force.
 """
 
 from __future__ import annotations
@@ -121,5 +122,45 @@ FROM joined
 """
 
 
+#: The CRC-32 of a string's ASCII bytes, bit by bit; 3988292384 is its reversed polynomial.
+_CRC32 = """xor(list_reduce(list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda crc, byte:
+  list_reduce(range(8), lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+#: Nodes are named by the hashes of their turns in order; a node's subtree is found through the members they share.
+PREFIX_TRIE = rf"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 5 AS base, {_CRC32.format("CAST(c AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+  SELECT convs.c, 0 AS own, i, role, t FROM convs JOIN turns ON turns.c = base AND i <= h
+  UNION ALL SELECT c, 1, i, role, t FROM convs JOIN turns USING (c) WHERE i > h
+), prefixes AS (
+  SELECT c, row_number() OVER w AS d, string_agg(md5(length(role) || ':' || role || t), '' ) OVER w AS k, CAST(octet_length(encode(t)) AS BIGINT) AS b
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY own, i)
+  UNION ALL SELECT c, 0, '', 0 FROM convs
+), lengths AS (
+  SELECT c, max(d) AS n FROM prefixes GROUP BY c
+), nodes AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS saved,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends_sha256
+  FROM prefixes JOIN lengths USING (c) GROUP BY k, d
+), edges AS (
+  SELECT DISTINCT x.k AS parent, y.k FROM prefixes x JOIN prefixes y ON x.c = y.c AND y.d = x.d + 1
+), children AS (
+  SELECT parent AS k, count(*) AS n_children FROM edges GROUP BY parent
+), below AS (
+  SELECT DISTINCT x.k AS top, y.k FROM prefixes x JOIN prefixes y ON x.c = y.c AND y.d >= x.d
+), figures AS (
+  SELECT top AS k, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM below JOIN nodes USING (k) LEFT JOIN children USING (k) GROUP BY top
+)
+SELECT nodes.conv_id, CAST(nodes.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, nodes.ends_sha256
+FROM nodes JOIN figures USING (k) LEFT JOIN children USING (k) LEFT JOIN edges ON edges.k = nodes.k LEFT JOIN nodes up ON up.k = edges.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": NGRAM_JACCARD, "op7_quality_rules": QUALITY_RULES, "op10_chat_formatting": CHAT_FORMATTING}
+    return {"op3_ngram_jaccard": NGRAM_JACCARD, "op7_quality_rules": QUALITY_RULES, "op10_chat_formatting": CHAT_FORMATTING, "op11_prefix_trie": PREFIX_TRIE}

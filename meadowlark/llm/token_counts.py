@@ -29,7 +29,7 @@ STREAMED = 1 << 20
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: ``regex`` and the tokenizer's library know different Unicode versions, but agree in these ranges; texts with other
 #: characters are cut by the library (a test compares the two over all characters in the ranges).
-_SURE = re.compile(r"[^\x00-՗ -₎₠-ꟍ가-힣]")
+_SURE = re.compile(r"[^\x00-\u0557\u2000-\u208e\u20a0-\ua7cd\uac00-\ud7a3]")
 
 
 def byte_symbols() -> list[str]:
