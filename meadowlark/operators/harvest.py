@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meadowlark.functions.patterns import BY_SEASON, BY_SEASON_UNIT, HARVEST_ROW, SEASON_ROW, SUCCESS_ROW, UNIT_ROW
-from meadowlark.functions.text import WS, tokens, tried_float, tried_int, unit_id
-from meadowlark.operators.sections import in_sections, report_lines, report_years, titled
+from meadowlark.functions.text import WS, tried_int, unit_id
+from meadowlark.operators.sections import in_sections, page_outlines, years_of
+from meadowlark.tables import written
 
 HARVEST_COLUMNS = (
     "year", "species", "gmu", "section_method", "section_season", "section_license_type", "bulls", "cows", "calves", "total_harvest", "total_hunters",
@@ -41,8 +42,8 @@ SUSPECT = r"[\d,]{16}|\.[\d%]*\.|(?:^|\s)\.%?(?:\s|$)"
 
 
 def with_rows(sections: DataFrame) -> DataFrame:
-    """Section lines with ``row`` (which shape of row, null if none), ``cells`` (its fields), ``is_record`` and ``is_bad``
-    (a figure that is no number)."""
+    """Section lines with ``row`` (which shape of row, null if none), its ``label`` (the first field), its other fields as
+    ``counts`` and, for herd units, ``rates``, ``is_record`` and ``is_bad`` (a figure that is no number)."""
     line, table = F.col("line"), F.col("meta.table_type")
     row = (
         F.when(F.col("is_title"), None)
@@ -52,25 +53,33 @@ def with_rows(sections: DataFrame) -> DataFrame:
         .when((table == "bosque") & line.rlike(SEASON_ROW), "season")
         .when((table == "bosque") & line.rlike(HARVEST_ROW), "bosque")
     )
-    label = F.regexp_extract(line, SEASON_ROW, 1)
-    cells = F.when(F.col("row") == "season", F.concat(F.array(label), tokens(F.regexp_replace(line, f"^({'|'.join(BY_SEASON)}){WS}+", "")))).otherwise(tokens(line))
-    figures = F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))
-    no_number = lambda x: tried_float(F.regexp_replace(x, "%$", "")).isNull() | (~x.rlike(r"[.%]") & tried_int(x).isNull())
+    season = F.regexp_extract(line, f"^({'|'.join(BY_SEASON)}){WS}", 1)
+    words = F.split(line, f"{WS}+")
+    label = F.when(F.col("row") == "season", season).otherwise(F.get(words, F.lit(0)))
+    label_words = F.size(F.split("label", " "))
+    plain = lambda x: F.translate(x, ",%", "")  # noqa: E731  the shapes let no other sign through
+    count = lambda x: F.when(plain(x) == "", F.lit(0).cast("bigint")).otherwise(plain(x).try_cast("bigint"))
+    no_number = lambda x: (plain(x) != "") & plain(x).try_cast("double").isNull() | (~x.rlike(r"[.%]") & count(x).isNull())
+    rates = F.array(*[plain(F.get("fields", F.lit(k))).try_cast("double") for k, c in enumerate(UNIT_COLUMNS[3:]) if c in _DOUBLES])
     return (
         sections.withColumn("row", row.cast("string"))
-        .withColumn("cells", F.when(F.col("row").isNotNull(), cells))
         .withColumn("is_record", F.col("row").isNotNull())
-        .withColumn("is_bad", F.when(F.col("is_record") & line.rlike(SUSPECT), F.exists(figures, no_number)).otherwise(False))
+        .withColumn("label", F.when(F.col("is_record"), label))
+        .withColumn("fields", F.when(F.col("is_record"), F.slice(words, label_words + 1, F.greatest(F.size(words) - label_words, F.lit(0)))))
+        .withColumn("counts", F.transform("fields", count))
+        .withColumn("rates", F.when(F.col("row") == "unit", rates))
+        .withColumn("is_bad", F.when(F.col("is_record") & line.rlike(SUSPECT), F.exists("fields", no_number)).otherwise(False))
+        .drop("fields")
     )
 
 
-def _cell(k: int) -> Column:
-    return F.get("cells", F.lit(k))
+def _count(k: int) -> Column:
+    return F.get("counts", F.lit(k))
 
 
 def harvest_rows(rows: DataFrame, species: str) -> DataFrame:
     """Harvest records in report order; a success row's counts are 0, other rows' split figures are null."""
-    row = F.col("row")
+    row, label = F.col("row"), F.col("label")
     success, season = row == "success", row == "season"
     names = F.create_map(*[F.lit(x) for k, v in BY_SEASON.items() for x in (k, v[0])])
     seasons = F.create_map(*[F.lit(x) for k, v in BY_SEASON.items() for x in (k, v[1])])
@@ -78,12 +87,12 @@ def harvest_rows(rows: DataFrame, species: str) -> DataFrame:
     out = {
         "year": F.col("year"),
         "species": F.lit(species),
-        "gmu": F.when(season, F.lit(BY_SEASON_UNIT).cast("bigint")).otherwise(tried_int(_cell(0))),
-        "section_method": F.when(season, F.concat(F.lit("bosque_"), names[_cell(0)])).when(row == "bosque", "bosque_all").otherwise(F.col("meta.method")),
-        "section_season": F.when(season, seasons[_cell(0)]).when(row == "bosque", "all").otherwise(F.col("meta.season")),
+        "gmu": F.when(season, F.lit(BY_SEASON_UNIT).cast("bigint")).otherwise(tried_int(label)),
+        "section_method": F.when(season, F.concat(F.lit("bosque_"), names[label])).when(row == "bosque", "bosque_all").otherwise(F.col("meta.method")),
+        "section_season": F.when(season, seasons[label]).when(row == "bosque", "all").otherwise(F.col("meta.season")),
         "section_license_type": F.when(~in_bosque, F.col("meta.license_type")),
-        **{c: F.when(success, F.lit(0).cast("bigint")).otherwise(tried_int(_cell(k + 1))) for k, c in enumerate(COUNTS)},
-        **{c: F.when(success, tried_int(_cell(k + 1))) for k, c in enumerate(SPLIT_COUNTS)},
+        **{c: F.when(success, F.lit(0).cast("bigint")).otherwise(_count(k)) for k, c in enumerate(COUNTS)},
+        **{c: F.when(success, _count(k)) for k, c in enumerate(SPLIT_COUNTS)},
         "table_type": F.col("meta.table_type"),
         "section_title": F.col("meta.raw_title"),
     }
@@ -93,22 +102,24 @@ def harvest_rows(rows: DataFrame, species: str) -> DataFrame:
 
 def unit_rows(rows: DataFrame, species: str) -> DataFrame:
     """Herd unit summaries with their confidence intervals."""
-    cells = [(tried_float if c in _DOUBLES else tried_int)(F.regexp_replace(_cell(k), "%$", "")).alias(c) for k, c in enumerate(UNIT_COLUMNS[3:], 1)]
-    return rows.where(F.col("row") == "unit").select(*ORDER, "section", "year", F.lit(species).alias("species"), unit_id(_cell(0)).alias("dau"), *cells)
+    rates = iter(range(len(_DOUBLES)))
+    figures = [(F.get("rates", F.lit(next(rates))) if c in _DOUBLES else _count(k)).alias(c) for k, c in enumerate(UNIT_COLUMNS[3:])]
+    return rows.where(F.col("row") == "unit").select(*ORDER, "section", "year", F.lit(species).alias("species"), unit_id(F.col("label")).alias("dau"), *figures)
 
 
 def parse_reports(pages: DataFrame, species: str = "elk") -> Report:
     """Harvest reports from page text (file, file_ord, page_no, text).
 
-    A file without a year, or with a figure that is no number, fails as a whole: such figures are looked for in the few
-    lines that could hold one. Repeated titles open sections of their own, sections without rows are listed with 0
-    records, null pages are skipped.
+    Texts are read twice, for the pages' outlines and for their rows; both are written once, and all of the report comes
+    from what was written. A file without a year, or with a figure that is no number, fails as a whole. Repeated titles
+    open sections of their own, sections without rows are listed with 0 records, null pages are skipped.
     """
-    years = report_years(pages)
-    lines = titled(report_lines(pages, years))
-    few = lines.where(F.col("is_title") | F.col("line").rlike(SUSPECT))
-    bad = with_rows(in_sections(few)).where("is_bad").select("file").distinct().withColumn("reason", F.lit("bad number"))
-    rows = with_rows(in_sections(lines)).join(bad.select("file"), "file", "left_anti")
+    outlines = written(page_outlines(pages))
+    parsed = with_rows(in_sections(pages, outlines))
+    all_rows = written(parsed.where("is_record OR is_title").drop("line"))
+    years = years_of(outlines)
+    bad = all_rows.where("is_bad").select("file").distinct().withColumn("reason", F.lit("bad number"))
+    rows = all_rows.join(bad.select("file"), "file", "left_anti")
     no_year = years.where(F.col("year").isNull()).select("file", F.lit("no year").alias("reason"))
     sections = (
         rows.groupBy("file", "file_ord", "year", "section")

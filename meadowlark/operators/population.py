@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meadowlark.functions.patterns import POPULATION_SKIPS, STATEWIDE_TOTAL
 from meadowlark.functions.text import has_any, tokens, tried_int, trimmed
+from meadowlark.tables import written
 
 COLUMNS = ("year", "species", "dau", "dau_number", "herd_name", "gmus", "population_estimate", "bull_cow_ratio")
 _NUMERIC = r"^[\d,]+$"
@@ -28,7 +29,7 @@ def raw_lines(pages: DataFrame) -> DataFrame:
 
 
 def report_flags(lines: DataFrame) -> DataFrame:
-    """Per file: year (the last that a heading names, else the first in the path), has_ratio, has_herd_name, total.
+    """Per file: year (the last that a heading names, else the first in the path), has_ratio, has_herd_name, has_text, total.
 
     One aggregate over all lines; the last matching line wins for year and statewide total.
     """
@@ -40,10 +41,11 @@ def report_flags(lines: DataFrame) -> DataFrame:
         F.bool_or(F.col("line").contains("Bull/Cow") | F.lower("line").contains("ratio")).alias("has_ratio"),
         F.bool_or(has_any(F.col("line"), "Herd Name", "Herd name")).alias("has_herd_name"),
         F.max_by(total, F.when(total.isNotNull(), at)).alias("total"),
+        F.bool_or(trimmed(F.col("line")) != "").alias("has_text"),
     )
     from_path = F.nullif(F.regexp_extract("file", r"(20\d{2})", 1), F.lit(""))
     return found.select(
-        "file", "file_ord", F.coalesce("line_year", from_path).cast("bigint").alias("year"), "has_ratio", "has_herd_name",
+        "file", "file_ord", F.coalesce("line_year", from_path).cast("bigint").alias("year"), "has_ratio", "has_herd_name", "has_text",
         F.coalesce(tried_int(F.col("total")), F.lit(0).cast("bigint")).alias("statewide_total"),
     )
 
@@ -99,12 +101,14 @@ def population_rows(lines: DataFrame, flags: DataFrame, species: str = "elk") ->
 
 
 def parse_reports(pages: DataFrame, species: str = "elk") -> Report:
-    """Population reports from page text. A file without text or year, or with a figure that is no number, gives nothing."""
+    """Population reports from page text. A file without text or year, or with a figure that is no number, gives nothing.
+
+    The files' flags and the rows are written once, and all of the report comes from what was written.
+    """
     lines = raw_lines(pages)
-    flags = report_flags(lines)
-    rows = population_rows(lines, flags, species)
-    readable = lines.where(trimmed(F.col("line")) != "").select("file").distinct()
-    no_text = pages.select("file").distinct().join(readable, "file", "left_anti").withColumn("reason", F.lit("no text"))
+    flags = written(report_flags(lines))
+    rows = written(population_rows(lines, flags, species))
+    no_text = pages.select("file").distinct().join(flags.where("has_text").select("file"), "file", "left_anti").withColumn("reason", F.lit("no text"))
     no_year = flags.where(F.col("year").isNull()).select("file").join(no_text, "file", "left_anti").withColumn("reason", F.lit("no year"))
     bad = rows.where("bad").select("file", "year").distinct().where("year IS NOT NULL").select("file").withColumn("reason", F.lit("bad number"))
     quarantine = no_text.unionByName(no_year).unionByName(bad)

@@ -2,85 +2,102 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meadowlark.functions.patterns import HEADING_LINES, HEADING_STARTS
 from meadowlark.functions.text import has_any, repaired_ordinals, trimmed
 from meadowlark.functions.titles import classified, is_title
-from meadowlark.operators.relational import carried_forward
 
 #: More lines with a row of dots than this make a page a table of contents.
 DOTTED_LINES, HEAD_LINES = 5, 5
 _YEAR = r"(20\d{2})\s+(?:Colorado\s+)?Elk"
 
 
-def page_kinds(pages: DataFrame) -> DataFrame:
-    """``pages`` (file, file_ord, page_no, text) with ``skipped``: contents and methodology pages, which hold no rows."""
-    lines = F.split("text", "\n")
+def is_skipped(text: Column) -> Column:
+    """Contents and methodology pages, which hold no rows."""
+    lines = F.split(text, "\n")
     dotted = F.size(F.filter(lines, lambda x: x.contains("...."))) > DOTTED_LINES
     headed = F.array_join(F.slice(lines, 1, HEAD_LINES), " ").contains("Contents")
-    method = F.col("text").contains("Methodology") & F.col("text").contains("stratified random")
-    return pages.where(F.col("text").isNotNull()).withColumn("skipped", dotted | headed | method)
+    return dotted | headed | (text.contains("Methodology") & text.contains("stratified random"))
 
 
-def report_years(pages: DataFrame) -> DataFrame:
-    """(file, file_ord, year): the first year that a skipped page names, else that of the first line that starts with one.
+def page_outlines(pages: DataFrame) -> DataFrame:
+    """One slim row per page of (file, file_ord, page_no, text): ``year``, ``titles`` and ``before``.
 
-    One partial aggregate over pages; the lines are looked at inside their page's row. Null for files that name no year.
+    year: the first that one of the file's skipped pages names, else that of the first line that starts with one, else
+    null. titles: the page's titles in order, each classified here once. before: the title that an earlier page left open.
+    Texts are read once and only lines that may be titles leave the read; the windows by file are over one row a page.
     """
-    kinds = page_kinds(pages)
-    named = F.when(F.col("skipped"), F.nullif(F.regexp_extract("text", _YEAR, 1), F.lit("")))
-    started = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_extract(trimmed(x), r"^(20\d{2})\s+Elk", 1)), lambda y: y != "")
-    opening = F.when(~F.col("skipped"), F.try_element_at(started, F.lit(1)))
-    found = kinds.select("file", "page_no", named.alias("named"), opening.alias("opening")).groupBy("file").agg(
-        F.min_by("named", F.when(F.col("named").isNotNull(), F.col("page_no"))).alias("named"),
-        F.min_by("opening", F.when(F.col("opening").isNotNull(), F.col("page_no"))).alias("opening"),
+    text = F.coalesce("text", F.lit(""))
+    lines = F.transform(F.split(text, "\n"), lambda x, k: F.struct(k.alias("line_no"), trimmed(x).alias("line")))
+    dated = F.filter(lines, lambda x: x["line"].rlike(r"^20\d{2}") & x["line"].contains("Elk"))
+    none = F.array().cast("array<struct<line_no:int,line:string>>")
+    marked = pages.withColumn("text", text).withColumn("skipped", is_skipped(F.col("text")))
+    slim = (
+        marked.select(
+            "file", "file_ord", "page_no",
+            F.when(F.col("skipped"), F.nullif(F.regexp_extract("text", _YEAR, 1), F.lit(""))).alias("named"),
+            F.when(F.col("skipped"), none).otherwise(dated).alias("dated"),
+        )
+        .groupBy("file", "file_ord", "page_no")
+        .agg(F.min("named").alias("named"), F.array_sort(F.flatten(F.collect_list("dated"))).alias("dated"))
+    )
+    opening = F.try_element_at(F.filter(F.transform("dated", lambda x: F.regexp_extract(x["line"], r"^(20\d{2})\s+Elk", 1)), lambda y: y != ""), F.lit(1))
+    by_page = Window.partitionBy("file").orderBy("page_no")
+    whole = by_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    year = F.coalesce(F.first("named", ignorenulls=True).over(whole), F.first(opening, ignorenulls=True).over(whole))
+    of_year = F.transform(F.filter("dated", lambda x: is_title(x["line"], F.col("year"))), lambda x: F.struct(x["line_no"], repaired_ordinals(x["line"]).alias("title")))
+    section = lambda x: F.struct(F.col("page_no").alias("page_no"), x["line_no"].alias("line_no"))
+    titles = F.transform(of_year, lambda x: F.struct(section(x).alias("section"), classified(x["title"]).alias("meta")))
+    earlier = by_page.rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        slim.withColumn("year", year.cast("bigint"))
+        .withColumn("titles", titles)
+        .withColumn("before", F.last(F.try_element_at("titles", F.lit(-1)), ignorenulls=True).over(earlier))
+        .select("file", "file_ord", "page_no", "year", "titles", "before")
     )
-    files = pages.select("file", "file_ord").distinct()
-    return files.join(found, "file", "left").select("file", "file_ord", F.coalesce("named", "opening").cast("bigint").alias("year"))
 
 
-def report_lines(pages: DataFrame, years: DataFrame | None = None) -> DataFrame:
-    """The trimmed lines of the pages that count, without blank ones and bare page numbers, with their file's ``year``."""
-    years = report_years(pages) if years is None else years
+def years_of(outlines: DataFrame) -> DataFrame:
+    """(file, file_ord, year); null for files that name no year."""
+    return outlines.groupBy("file", "file_ord").agg(F.max("year").alias("year"))
+
+
+def report_years(pages: DataFrame) -> DataFrame:
+    """(file, file_ord, year) of the reports; see :func:`page_outlines`."""
+    return years_of(page_outlines(pages))
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """The trimmed lines of the pages that count, without blank ones and bare page numbers; further columns ride along."""
     return (
-        page_kinds(pages)
-        .where(~F.col("skipped"))
-        .select("file", "file_ord", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        pages.where(F.col("text").isNotNull() & ~is_skipped(F.col("text")))
+        .select(*[c for c in pages.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .withColumn("line", trimmed(F.col("line")))
         .where((F.col("line") != "") & ~F.col("line").rlike(r"^\d{1,3}$"))
-        .join(years.select("file", "year"), "file")
     )
 
 
-def titled(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``is_title``; rows of a file may then be left out, but no titles, without changing sections."""
-    return lines.withColumn("is_title", F.coalesce(is_title(F.col("line"), F.col("year")), F.lit(False)))
-
-
-def in_sections(lines: DataFrame) -> DataFrame:
-    """``lines`` with their section: ``section`` (page and line of its title), ``meta`` and ``is_title``.
+def in_sections(pages: DataFrame, outlines: DataFrame | None = None) -> DataFrame:
+    """The lines of ``pages`` that belong to a section, with ``year``, ``section`` (page and line of its title), ``meta``
+    and ``is_title``.
 
     A title opens a section and ends the one before; lines before a file's first title, and those under a title of no
-    known table, belong to none and go. Titles are classified by the repaired line; rows keep the line as it came.
-    Titles are carried from page to page by a window over one row a page, and within pages by one over a page's lines,
-    so a long file is spread over tasks by its pages.
+    known table, belong to none and go. Titles are classified by the repaired line; rows keep the line as it came. A page
+    brings its titles and the open one along, so lines never move: the one join is of page rows by file and page, however
+    long a report is. ``outlines`` may be given where they are kept.
     """
-    marked = lines if "is_title" in lines.columns else titled(lines)
-    title = F.struct(F.struct("page_no", "line_no").alias("section"), classified(repaired_ordinals(F.col("line"))).alias("meta"))
-    own = F.when(F.col("is_title"), title)
-    marked = marked.withColumn("__own", own)
-    pages = marked.groupBy("file", "page_no").agg(F.max_by("__own", F.when(F.col("is_title"), F.col("line_no"))).alias("__last"))
-    earlier = Window.partitionBy("file").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    before = pages.select("file", "page_no", F.last("__last", ignorenulls=True).over(earlier).alias("__before"))
-    within = carried_forward(F.col("__own"), ["file", "page_no"], ["line_no"])
+    outlines = page_outlines(pages) if outlines is None else outlines
+    titled = outlines.where((F.size("titles") > 0) | F.col("before").isNotNull()).drop("file_ord")
+    lines = page_lines(pages.join(titled, ["file", "page_no"]))
+    own = F.try_element_at(F.filter("titles", lambda t: t["section"]["line_no"] <= F.col("line_no")), F.lit(-1))
     return (
-        marked.join(before, ["file", "page_no"])
-        .withColumn("__carried", F.coalesce(within, F.col("__before")))
-        .where(F.col("__carried.meta").isNotNull())
-        .select(*[c for c in marked.columns if c != "__own"], F.col("__carried.section").alias("section"), F.col("__carried.meta").alias("meta"))
+        lines.withColumn("title", F.coalesce(own, "before"))
+        .where(F.col("title.meta").isNotNull())
+        .withColumn("is_title", F.col("title.section") == F.struct("page_no", "line_no"))
+        .select("file", "file_ord", "page_no", "line_no", "line", "year", "title.section", "title.meta", "is_title")
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meadowlark.operators.dimensions import latest
+from meadowlark.tables import written
 
 SUMS = {
     "total_harvest": "total_harvest", "total_hunters": "total_hunters", "total_bulls": "bulls", "total_cows": "cows", "total_calves": "calves",
@@ -64,16 +65,12 @@ def _ranked(df: DataFrame, order: Sequence[str], weight: str | None = None) -> D
     """``df`` with ``__rank`` (from 0 in ``order``, counting rows or ``weight``) and ``__all`` (their total).
 
     Rows are range-partitioned and numbered within partitions, and moved by the sums of the partitions before. They are
-    written to a reliable checkpoint in between where the session has a folder for it: the ranges come from a sample, and
-    rows must stand where they were counted even if an executor is lost. ``order`` must be unique.
+    written in between: the ranges come from a sample, and rows must stand where they were counted even if an executor is
+    lost. ``order`` must be unique.
     """
     w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     numbered = df.withColumn("__w", w).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    numbered = numbered.checkpoint() if context.getCheckpointDir() else numbered.persist()
+    numbered = written(numbered)
     counts = numbered.groupBy("__part").agg(F.sum("__w").alias("__n_part"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n_part").over(before), F.lit(0)).alias("__before"), F.sum("__n_part").over(Window.partitionBy()).alias("__all"))

@@ -16,6 +16,7 @@ from meadowlark.functions.patterns import HARVEST_ROW
 from meadowlark.functions.text import has_any, parsed_int, repaired_ordinals, tokens, unit_id
 from meadowlark.functions.titles import classified
 from meadowlark.operators import dimensions, harvest, population, relational, sections, serving, trends
+from meadowlark.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -99,7 +100,7 @@ def rendered_pages(lineitem: DataFrame) -> DataFrame:
   CAST(sum(CAST(trunc(l_extendedprice) AS BIGINT)) AS BIGINT) AS total_rec_days, count(*) AS gmu_count FROM lineitem GROUP BY 1""")
 def report_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report text, sections, rows and the statewide trend, end to end."""
-    return trends.statewide_harvest(harvest.parse_reports(rendered_pages(_table(spark, sf_dir, "lineitem"))).records)
+    return trends.statewide_harvest(harvest.parse_reports(written(rendered_pages(_table(spark, sf_dir, "lineitem")))).records)
 
 
 @_query("""SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS BIGINT) AS unit, CAST(floor(l_extendedprice) AS BIGINT) AS price,
@@ -160,7 +161,7 @@ def section_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> '' AND NOT regexp_matches(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^[0-9]{1,3}$') GROUP BY doc_id""")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("doc_id").alias("file_ord"), F.lit(0).alias("page_no"), "text")
-    return sections.report_lines(pages).groupBy(F.col("file").alias("doc_id")).agg(F.count(F.lit(1)).alias("lines"), F.max("line_no").alias("last_line"))
+    return sections.page_lines(pages).groupBy(F.col("file").alias("doc_id")).agg(F.count(F.lit(1)).alias("lines"), F.max("line_no").alias("last_line"))
 
 
 def _supplied(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Harvest reports are rendered from line items, one per ship year: contents and methodology pages, success, herd unit, bosque
 and empty tables. Population reports are rendered from suppliers by region. Equal DuckDB statements take the figures
-straight from the tables.
+straight from the tables. Rendered pages are written first, as the files that a source would read.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from meadowlark.functions.patterns import BY_SEASON, BY_SEASON_UNIT
 from meadowlark.functions.text import parsed_float, trimmed
 from meadowlark.operators import harvest, population, sections, serving, trends
 from meadowlark.sources import archives, sinks
+from meadowlark.tables import written
 
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
@@ -81,7 +82,7 @@ def harvest_pages(spark: SparkSession, sf_dir: str, bad_years: bool = False) ->
         .unionByName(paged(seasons.unionByName(whole), 4, F.col("row"), "Harvest, Hunters and Recreation Days for Bosque del Oso", "Season"))
         .unionByName(empty)
     )
-    return pages.select(F.concat(F.lit("report_"), F.col("y") % 100).alias("file"), F.col("y").alias("file_ord"), "page_no", "text")
+    return written(pages.select(F.concat(F.lit("report_"), F.col("y") % 100).alias("file"), F.col("y").alias("file_ord"), "page_no", "text"))
 
 
 _SUCCESS = f"""SELECT y AS year, u AS gmu, 'rifle' AS method, '2nd' AS season, 'antlered' AS license_type, 'percent_success' AS table_type,
@@ -153,7 +154,7 @@ def failing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""SELECT 'report_' || (y % 100) AS file, line, CAST(n AS BIGINT) AS n FROM {_YEARS.replace("n FROM", "m FROM")}, (VALUES ('no rows here', 1)) t(line, n)""")
 def unparsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of sections without records that are no headings."""
-    rows = harvest.with_rows(sections.in_sections(sections.report_lines(harvest_pages(spark, sf_dir))))
+    rows = harvest.with_rows(sections.in_sections(harvest_pages(spark, sf_dir)))
     return sections.unparsed_lines(rows).groupBy("file", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -193,7 +194,7 @@ def population_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = rows.agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("rows"), (F.sum("n") * 1000).alias("all"))
     heading = F.concat(F.lit("ELK\n"), F.when(r != 2, F.concat(r + 2010, F.lit(" POST HUNT\n"))).otherwise(""), F.when(paired, "Bull/Cow\nHerd Name\n").otherwise("Game Management Units\n"))
     text = F.concat(heading, F.lit("** DAU note\n99 Colorado Parks 5\n"), F.col("rows"), F.lit("\nTotal Statewide Estimate "), _thousands(F.col("all") + r))
-    return body.select(F.concat(F.lit("2022 population "), r).alias("file"), r.alias("file_ord"), F.lit(0).alias("page_no"), text.alias("text"))
+    return written(body.select(F.concat(F.lit("2022 population "), r).alias("file"), r.alias("file_ord"), F.lit(0).alias("page_no"), text.alias("text")))
 
 
 @_query(f"""SELECT CASE r WHEN 2 THEN 2022 ELSE r + 2010 END AS year, 'E-' || k AS dau, k AS dau_number, name AS herd_name, CASE r WHEN 0 THEN '' ELSE units END AS units,

@@ -88,7 +88,7 @@ def test_order_of_input_does_not_matter(pages, report):
 
 
 def test_unparsed_lines(pages):
-    rows = harvest.with_rows(sections.in_sections(sections.report_lines(pages)))
+    rows = harvest.with_rows(sections.in_sections(pages))
     assert [r["line"] for r in sections.unparsed_lines(rows).collect()] == ["1 2 4 50 1 4 25"]
 
 
