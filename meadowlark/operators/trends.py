@@ -53,15 +53,15 @@ def quantile_breaks(df: DataFrame, value: str, classes: int = 7, keys: Sequence[
     some = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     if keys:
         return some.groupBy(*keys).agg(F.percentile("__v", F.array(*[F.lit(p) for p in at]), F.col("__n")).alias("breaks"))
-    ranked = _ranked(some, ["__v"], "__n")
+    in_order = ranked(some, ["__v"], "__n")
     place = lambda p: F.lit(p) * (F.col("__all") - 1)
     # a value stands at the ranks from __rank on; each break lies between the values at two neighbouring ranks
     holds = lambda r: (F.col("__rank") <= r) & (r < F.col("__rank") + F.col("__n"))
     ends = [(F.max(F.when(holds(F.floor(place(p))), F.col("__v"))), F.max(F.when(holds(F.ceil(place(p))), F.col("__v"))), F.max(place(p) - F.floor(place(p)))) for p in at]
-    return ranked.agg(F.when(F.count(F.lit(1)) > 0, F.array(*[low + (high - low) * share for low, high, share in ends])).alias("breaks"))
+    return in_order.agg(F.when(F.count(F.lit(1)) > 0, F.array(*[low + (high - low) * share for low, high, share in ends])).alias("breaks"))
 
 
-def _ranked(df: DataFrame, order: Sequence[str], weight: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, order: Sequence[str], weight: str | None = None) -> DataFrame:
     """``df`` with ``__rank`` (from 0 in ``order``, counting rows or ``weight``) and ``__all`` (their total).
 
     Rows are range-partitioned and numbered within partitions, and moved by the sums of the partitions before. They are
@@ -119,10 +119,10 @@ def unit_population(definitions_lookup: DataFrame, population: DataFrame, units:
 def equal_count_classes(df: DataFrame, order: Sequence[str], classes: int = 7) -> DataFrame:
     """``df`` with ``class`` (1 and up): classes whose counts differ by one at most, the first ones larger.
 
-    See :func:`_ranked`; no task sees all rows. ``order`` must be unique.
+    See :func:`ranked`; no task sees all rows. ``order`` must be unique.
     """
     rank = F.col("__rank")
     small, large = F.floor(F.col("__all") / classes), F.col("__all") % classes
     in_large = rank < large * (small + 1)
     cls = F.when(in_large, F.floor(rank / (small + 1))).otherwise(large + F.floor((rank - large * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
-    return _ranked(df, order).withColumn("class", cls.cast("int")).select(*df.columns, "class")
+    return ranked(df, order).withColumn("class", cls.cast("int")).select(*df.columns, "class")

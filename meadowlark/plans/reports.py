@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meadowlark.operators import harvest, population, serving
 from meadowlark.sources import json_files, sinks
+from meadowlark.tables import written
 
 #: The notes of the two smaller documents.
 SLIM_NOTE = "Slim version: harvest limited to all-manners/all-seasons harvest_rec_days only"
@@ -44,33 +45,84 @@ def documents(tables: serving.Combined, generated: str, state: str, source: str)
     )
 
 
-def write_all(harvest_pages: DataFrame, population_pages: DataFrame, folder: str, generated: str, state: str, source: str) -> list[str]:
-    """CSV tables and the three documents of a set of reports; the parsed tables are kept while they are written."""
-    h = harvest.Report(*[df.persist() for df in harvest.parse_reports(harvest_pages)])
-    p = population.Report(*[df.persist() for df in population.parse_reports(population_pages)])
-    tables = serving.Combined(*[df.persist() for df in serving.combine(h, p)])
+class Summary(NamedTuple):
+    """What a run has written: files with their bytes, record counts seen while writing, years and the latest figures."""
+
+    files: dict[str, int]
+    counts: dict[str, int]
+    years: dict[str, list[int]]
+    population: tuple[int, int] | None
+    harvest: tuple[int, int, int] | None
+
+    def lines(self) -> list[str]:
+        """The console summary, files first."""
+        out = [f"Wrote: {path} ({sinks.size_text(size)})" for path, size in self.files.items()]
+        for kind in ("all", "harvest", "population"):
+            if years := self.years[kind]:
+                span = f"{years[0]}-{years[-1]}"
+                out.append(f"Years: {span}" if kind == "all" else f"{kind.capitalize()} years: {len(years)} ({span})")
+        if not self.years["population"]:
+            out.append("Population years: 0 (no population data found)")
+        out += [f"{name}: {n:,}" for name, n in self.counts.items()]
+        if self.population:
+            out.append("Latest population ({}): {:,}".format(*self.population))
+        if self.harvest:
+            out.append("Latest harvest ({}): {:,} ({:,} hunters)".format(*self.harvest))
+        return out
+
+
+#: Items of the full document's parts under the names of the summary.
+COUNTED = {"harvest": 5, "dau_harvest_summary": 6, "population": 7, "dau_definitions": 3}
+
+
+def write_documents(tables: serving.Combined, folder: str, generated: str, state: str, source: str, species: str = "elk") -> Summary:
+    """The three serving documents and their indented twins; record counts are taken while the full one is written."""
     docs = documents(tables, generated, state, source)
-    written = [
-        sinks.harvest_csv(h.records, f"{folder}/harvest_csv"),
-        sinks.unit_csv(h.unit_records, f"{folder}/unit_csv"),
-        sinks.population_csv(p.records, f"{folder}/population_csv"),
-        sinks.mapping_csv(p.records, f"{folder}/mapping_csv"),
-        sinks.year_json(sinks.harvest_files(h), f"{folder}/harvest_json"),
-        sinks.year_json(sinks.population_files(p), f"{folder}/population_json"),
-        sinks.document(sinks.population_master(p), f"{folder}/population_master.json"),
-        *[sinks.document(getattr(docs, name), f"{folder}/{name}.json") for name in docs._fields],
-        *[sinks.document(getattr(docs, name), f"{folder}/{name}_pretty.json", pretty=True) for name in docs._fields],
-    ]
-    if h.files.limit(2).count() > 1:
-        written.append(sinks.document(sinks.harvest_master(h), f"{folder}/harvest_master.json"))
-    for df in (*h, *p, *tables):
-        df.unpersist()
-    return written
-
-
-def summary(tables: serving.Combined) -> DataFrame:
-    """(name, n): row counts, the span of years, the latest statewide figures."""
-    return serving.row_counts(harvest=tables.harvest, population=tables.population, dau_definitions=tables.definitions)
+    names = {"full": f"{species}_combined", "slim": f"{species}_combined_slim", "dashboard": f"{species}_dashboard"}
+    made = {}
+    for kind, name in names.items():
+        pieces = written(getattr(docs, kind))
+        made[kind] = [sinks.document(pieces, f"{folder}/{name}{twin}.json", pretty=bool(twin)) for twin in ("", "_pretty")]
+    kinds = tables.years.groupBy("kind").agg(F.array_sort(F.collect_set("year")).alias("years")).collect()  # years of three kinds
+    years = {r["kind"]: r["years"] for r in kinds}
+    shown = {k: years.get(k, []) for k in ("harvest", "population")}
+    population_figures, harvest_figures = (df.first() for df in latest_figures(tables))
+    hunters = serving.latest_year(tables.harvest_trend, "total_hunters").first()
+    return Summary(
+        {d.path: d.size for twins in made.values() for d in twins},
+        {name: made["full"][0].items[part] for name, part in COUNTED.items()},
+        shown | {"all": sorted({*shown["harvest"], *shown["population"]})},
+        None if population_figures["year"] is None else tuple(population_figures),
+        None if harvest_figures["year"] is None else (*harvest_figures, hunters["total_hunters"]),
+    )
+
+
+def write_harvest(report: harvest.Report, folder: str, species: str = "elk") -> sinks.Files:
+    """A harvest run's CSV and JSON files per year, and with more than one readable report the master document."""
+    out = sinks.harvest_csv(report.records, folder, species) | sinks.unit_csv(report.unit_records, folder, species)
+    sinks.year_json(sinks.harvest_files(report), folder, "harvest", species)
+    if report.files.limit(2).count() > 1:
+        made = sinks.document(sinks.harvest_master(report), f"{folder}/{species}_harvest_combined.json")
+        out[made.path] = made.size
+    return out
+
+
+def write_population(report: population.Report, folder: str, species: str = "elk") -> sinks.Files:
+    """A population run's CSV, mapping and JSON files per year, and with any readable report the master document."""
+    out = sinks.population_csv(report.records, folder, species) | sinks.mapping_csv(report.records, report.totals, folder)
+    sinks.year_json(sinks.population_files(report), folder, "population", species)
+    if not report.totals.isEmpty():
+        made = sinks.document(sinks.population_master(report), f"{folder}/{species}_population_combined.json")
+        out[made.path] = made.size
+    return out
+
+
+def write_all(harvest_pages: DataFrame, population_pages: DataFrame, folder: str, generated: str, state: str, source: str) -> Summary:
+    """From page text to all files: per-year CSV and JSON, masters and the serving documents, parsed once."""
+    h, p = harvest.parse_reports(harvest_pages), population.parse_reports(population_pages)
+    files = write_harvest(h, f"{folder}/harvest") | write_population(p, f"{folder}/population")
+    done = write_documents(serving.combine(h, p), folder, generated, state, source)
+    return done._replace(files=files | done.files)
 
 
 def latest_figures(tables: serving.Combined) -> tuple[DataFrame, DataFrame]:

@@ -16,15 +16,28 @@ PAGES = "file string, file_ord long, page_no int, text string"
 def with_file_order(df: DataFrame, path: str = "file") -> DataFrame:
     """``df`` with ``file_ord``, the rank of its path. The ranked table has one row per file, not per page."""
     names = df.select(path).distinct()
-    ranked = names.withColumn("file_ord", (F.row_number().over(Window.orderBy(path)) - 1).cast("long"))
-    return df.drop("file_ord").join(ranked, path)
+    in_order = names.withColumn("file_ord", (F.row_number().over(Window.orderBy(path)) - 1).cast("long"))
+    return df.drop("file_ord").join(in_order, path)
+
+
+def _paged(files: DataFrame) -> DataFrame:
+    return files.select("file", F.posexplode(F.split("value", "\f")).alias("page_no", "text"))
 
 
 def read_page_text(spark: SparkSession, folder: str) -> DataFrame:
     """Pages from text files, one per report, with a form feed between pages; file order is path order."""
     files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    pages = files.select("file", F.posexplode(F.split("value", "\f")).alias("page_no", "text"))
-    return with_file_order(pages).select("file", "file_ord", "page_no", "text")
+    return with_file_order(_paged(files)).select("file", "file_ord", "page_no", "text")
+
+
+def read_page_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Pages of the named text files; file order is the order of ``paths``. A file named twice counts once."""
+    configuration, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    full = lambda p: hadoop(p).getFileSystem(configuration).makeQualified(hadoop(p)).toUri().toString().replace("file:///", "file:/")
+    order = spark.createDataFrame([(name, k) for k, name in enumerate(dict.fromkeys(map(full, paths)))], "file string, file_ord long")
+    name = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    files = spark.read.text(paths, wholetext=True).select(name.alias("file"), "value")
+    return _paged(files).join(F.broadcast(order), "file").select("file", "file_ord", "page_no", "text")  # a row per given name
 
 
 def read_pdf_pages(files: DataFrame, path: str = "name", data: str = "data") -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from typing import NamedTuple
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from meadowlark.operators import harvest, population
@@ -10,38 +14,71 @@ from meadowlark.operators.dimensions import latest
 from meadowlark.operators.harvest import HARVEST_COLUMNS, UNIT_COLUMNS
 from meadowlark.operators.population import COLUMNS, mapping_rows, unit_mapping
 from meadowlark.operators.serving import items
+from meadowlark.operators.trends import ranked
+from meadowlark.sources.writers import write_placed, write_routed
+from meadowlark.tables import written
 
-_ORDER = ("year", "file_ord", "page_no", "line_no")
+#: Paths of written files and their bytes.
+Files = dict[str, int]
 
 
-def _csv(df: DataFrame, path: str, columns: tuple[str, ...], skip_empty: bool = True) -> str:
-    """One CSV folder per year, CRLF line ends, blank for null; nothing is written for no rows."""
-    if skip_empty and df.isEmpty():
-        return path
-    kept = df.select(*columns, F.col("year").alias("file_year"), *[c for c in _ORDER[1:] if c in df.columns])
-    ordered = kept.repartition("file_year").sortWithinPartitions("file_year", *[c for c in _ORDER[1:] if c in df.columns])
-    ordered.select(*columns, "file_year").write.mode("overwrite").partitionBy("file_year").csv(path, header=True, lineSep="\r\n", emptyValue="")
-    return path
+def _write(pieces: DataFrame, order: list[str], folder: str, seen: Observation | None = None, counts: dict[str, Column] | None = None) -> Files:
+    """Pieces (name, piece, and ``order``) as one file per name, each piece at its byte offset.
+
+    Offsets are prefix sums of byte lengths over range partitions, so every task writes its own pieces and none holds a
+    file. ``seen`` observes ``counts`` on the way.
+    """
+    sized = pieces.withColumn("piece", F.encode("piece", "utf-8")).withColumn("__bytes", F.octet_length("piece").cast("bigint"))
+    placed = ranked(sized, ["name", *order], "__bytes")
+    if seen is not None:  # after the ranges are dealt, as their sample reads rows too
+        placed = placed.observe(seen, *[c.alias(k) for k, c in counts.items()])
+    placed = written(placed.select("name", F.col("__rank").alias("at"), "piece", "__bytes"))
+    files = placed.groupBy("name").agg(F.min("at").alias("start"), F.sum("__bytes").alias("n")).collect()  # a row per file
+    if not files:
+        return {}
+    starts = F.broadcast(pieces.sparkSession.createDataFrame([(r["name"], r["start"]) for r in files], "name string, start long"))
+    sizes = {r["name"]: r["n"] for r in files}
+    write_placed(placed.join(starts, "name").withColumn("at", F.col("at") - F.col("start")), folder, sizes)
+    return {f"{folder}/{name}": size for name, size in sorted(sizes.items())}
+
+
+def _last_files(rows: DataFrame) -> DataFrame:
+    """Of several files of one year, the rows of the last."""
+    last = latest(rows, ["year"], F.struct("file_ord", "file"), ["file"])
+    return rows.join(last, ["year", "file"], "left_semi")
 
 
-def harvest_csv(records: DataFrame, path: str) -> str:
-    return _csv(records, path, HARVEST_COLUMNS)
+def _csv(df: DataFrame, folder: str, name: str, columns: tuple[str, ...], order: list[str], years: DataFrame | None = None) -> Files:
+    """One CSV file per year, CRLF line ends, blank for null, quotes doubled; ``years`` get a header even without rows."""
+    to = F.format_string(f"{name}_%d.csv", F.col("year"))
+    line = F.to_csv(F.struct(*columns), {"emptyValue": "", "escape": '"'})
+    keys = [F.lit(1).alias("step"), *order]
+    rows = df.select(to.alias("name"), *keys, line.alias("piece"))
+    none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order]
+    heads = (df.select("year") if years is None else years.select("year")).distinct().select(to.alias("name"), F.lit(0).alias("step"), *none, F.lit(",".join(columns)).alias("piece"))
+    return _write(heads.unionByName(rows).withColumn("piece", F.concat("piece", F.lit("\r\n"))), ["step", *order], folder)
 
 
-def unit_csv(records: DataFrame, path: str) -> str:
-    return _csv(records, path, UNIT_COLUMNS)
+def harvest_csv(records: DataFrame, folder: str, species: str = "elk") -> Files:
+    """Years without records get no file; of several files of one year, the last that has any stands."""
+    return _csv(_last_files(records), folder, f"{species}_harvest", HARVEST_COLUMNS, ["page_no", "line_no"])
 
 
-def population_csv(records: DataFrame, path: str) -> str:
+def unit_csv(records: DataFrame, folder: str, species: str = "elk") -> Files:
+    return _csv(_last_files(records), folder, f"{species}_dau_summary", UNIT_COLUMNS, ["page_no", "line_no"])
+
+
+def population_csv(records: DataFrame, folder: str, species: str = "elk") -> Files:
     """Management units are joined by ``; ``."""
-    return _csv(records.withColumn("gmus", F.array_join("gmus", "; ")), path, COLUMNS)
+    rows = _last_files(records).withColumn("gmus", F.array_join("gmus", "; "))
+    return _csv(rows, folder, f"{species}_population", COLUMNS, ["page_no", "line_no"])
 
 
-def mapping_csv(records: DataFrame, path: str) -> str:
-    """(year, dau, gmu) by herd unit number, then in report order; written even if empty."""
-    rows = mapping_rows(records).repartition("year").sortWithinPartitions("year", "dau_number", "pos")
-    rows.select("year", "dau", "gmu", F.col("year").alias("file_year")).write.mode("overwrite").partitionBy("file_year").csv(path, header=True, lineSep="\r\n")
-    return path
+def mapping_csv(records: DataFrame, totals: DataFrame, folder: str) -> Files:
+    """(year, dau, gmu) by herd unit number, then in report order; the years of ``totals`` get a file even without rows."""
+    last = latest(totals, ["year"], F.struct("file_ord", "file"), ["file"])
+    rows = mapping_rows(records.join(last, ["year", "file"], "left_semi"))
+    return _csv(rows, folder, "dau_gmu_mapping", ("year", "dau", "gmu"), ["dau_number", "pos"], totals)
 
 
 def keyed_mapping(records: DataFrame) -> DataFrame:
@@ -59,11 +96,11 @@ def harvest_files(report: harvest.Report) -> DataFrame:
 
     detail = F.struct("section", F.struct("title", "type", "method", "season", "license_type", "records").alias("r"))
     sections = report.sections.groupBy("file").agg(F.count(F.lit(1)).alias("sections_parsed"), F.transform(F.sort_array(F.collect_list(detail)), lambda x: x["r"]).alias("sections_detail"))
-    out = report.files.select("file", "year", F.lit("elk").alias("species"), F.col("file").alias("source_file"))
+    out = report.files.select("file", "file_ord", "year", F.lit("elk").alias("species"), F.col("file").alias("source_file"))
     for part in (listed(report.records, HARVEST_COLUMNS, "harvest_records"), listed(report.unit_records, UNIT_COLUMNS, "dau_records"), sections):
         out = out.join(part, "file", "left")
     lists = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("harvest_records", "dau_records", "sections_detail")}
-    return out.withColumns({**lists, "sections_parsed": F.coalesce("sections_parsed", F.lit(0).cast("bigint"))}).drop("file")
+    return out.withColumns({**lists, "sections_parsed": F.coalesce("sections_parsed", F.lit(0).cast("bigint"))})
 
 
 def population_files(report: population.Report) -> DataFrame:
@@ -72,14 +109,30 @@ def population_files(report: population.Report) -> DataFrame:
     records = report.records.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["r"]).alias("records"))
     pair = F.sort_array(F.collect_list(F.struct("dau_number", F.struct("dau", "gmus").alias("e"))))
     mapping = unit_mapping(report.records).groupBy("file").agg(F.map_from_entries(F.transform(pair, lambda x: x["e"])).alias("dau_gmu_mapping"))
-    out = report.totals.select("file", "year", "species", F.col("file").alias("source_file"), "statewide_total").join(records, "file", "left").join(mapping, "file", "left")
-    return out.withColumn("records", F.coalesce("records", F.array().cast(out.schema["records"].dataType))).drop("file")
+    out = report.totals.select("file", "file_ord", "year", "species", F.col("file").alias("source_file"), "statewide_total").join(records, "file", "left").join(mapping, "file", "left")
+    return out.withColumn("records", F.coalesce("records", F.array().cast(out.schema["records"].dataType)))
 
 
-def year_json(files: DataFrame, path: str) -> str:
-    """One JSON object per file, a folder per year; nulls are kept."""
-    files.withColumn("file_year", F.col("year")).repartition("file_year").write.mode("overwrite").partitionBy("file_year").json(path, ignoreNullFields=False)
-    return path
+def _indented(text: Column) -> Column:
+    @F.pandas_udf("binary")
+    def indent(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(json.loads(t), indent=2).encode())
+
+    return indent(text)
+
+
+def year_json(files: DataFrame, folder: str, kind: str, species: str = "elk") -> None:
+    """One indented JSON file per report, ``<species>_<kind>_<year>.json``; of several of one year the last stands.
+
+    Nulls are kept. ``files``: rows of :func:`harvest_files` or :func:`population_files`; a report's file is bounded by its
+    pages.
+    """
+    body = [c for c in files.columns if c not in ("file", "file_ord")]
+    text = F.to_json(F.struct(*body), {"ignoreNullFields": "false"})
+    last = files.select("year", "file_ord", "file", text.alias("text"))
+    last = last.join(latest(last, ["year"], F.struct("file_ord", "file"), ["file"]), ["year", "file"], "left_semi")
+    parent, _, name = folder.rstrip("/").rpartition("/")
+    write_routed(last.select(F.lit(name).alias("category"), F.format_string(f"{species}_{kind}_%d.json", F.col("year")).alias("name"), _indented(F.col("text")).alias("data")), parent or ".")
 
 
 def _json(columns: tuple[str, ...]) -> Column:
@@ -112,29 +165,57 @@ def population_master(report: population.Report) -> DataFrame:
     return (
         _years(report.totals, 0, "years", '],"population_records":[')
         .unionByName(items(report.records, 1, [F.col(c) for c in ("file_ord", "page_no", "line_no")], _json(COLUMNS), "", '],"dau_gmu_mappings":{'))
-        .unionByName(items(mapping, 2, [F.col("year"), F.col("dau")], F.concat(quoted("key"), F.to_json("gmus")), "", '},"statewide_totals":{'))
+        .unionByName(items(mapping, 2, [F.col("year"), F.col("dau")], F.concat(quoted("key"), F.to_json(F.struct("year", "dau", "gmus"))), "", '},"statewide_totals":{'))
         .unionByName(items(totals, 3, [F.col("year")], F.concat(quoted("year"), F.col("statewide_total").cast("string")), "", "}}"))
     )
 
 
-def document(pieces: DataFrame, path: str, pretty: bool = False) -> str:
-    """Text pieces (part, step, at, piece) as one file; rows stream through one writer in order, commas between items.
+class Document(NamedTuple):
+    """A written document: its path, its bytes, and the items of each of its parts, counted while it was written."""
 
-    ``pretty`` indents every opening, item and closing on a line of its own; both forms are the same JSON.
-    """
+    path: str
+    size: int
+    items: dict[int, int]
+
+
+def _ordered_text(pieces: DataFrame, pretty: bool) -> DataFrame:
+    """Pieces with commas between items and line ends; ``pretty`` indents every opening, item and closing."""
     first = pieces.where("step = 1").groupBy("part").agg(F.min("at").alias("first"))  # one row per part
     comma = F.when((F.col("step") == 1) & (F.col("at") != F.col("first")), ",").otherwise("")
     indent = F.when(F.col("step") == 1, "    ").otherwise("  ") if pretty else F.lit("")
-    text = pieces.join(F.broadcast(first), "part", "left").withColumn("piece", F.concat(indent, comma, "piece"))
-    text.orderBy("part", "step", "at").coalesce(1).select("piece").write.mode("overwrite").text(path, lineSep="\n")
+    return pieces.join(first, "part", "left").withColumn("piece", F.concat(indent, comma, "piece", F.lit("\n"))).drop("first")
+
+
+def document(pieces: DataFrame, path: str, pretty: bool = False) -> Document:
+    """Text pieces (part, step, at, piece) as one file, written in parallel; ``pretty`` is the same JSON, indented.
+
+    The path is on a file system that driver and executors share; see :func:`document_parts` for other stores.
+    """
+    folder, _, name = path.rpartition("/")
+    parts = range(8)
+    seen = Observation()
+    counts = {f"part{k}": F.count(F.when((F.col("part") == k) & (F.col("step") == 1), 1)) for k in parts}
+    files = _write(_ordered_text(pieces, pretty).withColumn("name", F.lit(name)), ["part", "step", "at"], folder or ".", seen, counts)
+    return Document(path, sum(files.values()), {k: seen.get[f"part{k}"] for k in parts})
+
+
+def document_parts(pieces: DataFrame, path: str, pretty: bool = False) -> str:
+    """The document as a folder of text files that follow one another by name, for stores without random writes."""
+    text = _ordered_text(pieces, pretty).repartitionByRange("part", "step", "at").sortWithinPartitions("part", "step", "at")
+    text.select(F.regexp_replace("piece", "\n$", "").alias("piece")).write.mode("overwrite").text(path, lineSep="\n")
     return path
 
 
+def size_text(n: int) -> str:
+    """Bytes as MB beyond a million of them, else as KB."""
+    return f"{n / 1e6:.1f} MB" if n > 1_000_000 else f"{n / 1e3:.0f} KB"
+
+
 def file_sizes(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, size): each document's bytes, as MB beyond a million of them, else as KB."""
+    """(path, size): each document's bytes in words, of files or folders of parts."""
     files = None
     for path in paths:
         one = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).select(F.lit(path).alias("path"), "n")
         files = one if files is None else files.unionByName(one)
-    size = F.when(F.col("n") > 1_000_000, F.format_string("%.1f MB", F.col("n") / 1e6)).otherwise(F.format_string("%.1f KB", F.col("n") / 1e3))
+    size = F.when(F.col("n") > 1_000_000, F.format_string("%.1f MB", F.col("n") / 1e6)).otherwise(F.format_string("%.0f KB", F.col("n") / 1e3))
     return files.select("path", size.alias("size"))

@@ -11,8 +11,8 @@ from meadowlark.sources import sinks
 DATA = "/root/testdata/sf0.001"
 
 
-def _text(folder) -> dict:
-    return json.loads("".join(p.read_text() for p in sorted(Path(folder).glob("part-*"))))
+def _text(made) -> dict:
+    return json.loads(Path(made.path).read_text())
 
 
 def test_json_files_masters_and_the_way_back(spark, tmp_path):
@@ -20,10 +20,10 @@ def test_json_files_masters_and_the_way_back(spark, tmp_path):
     h = harvest.parse_reports(report_queries.harvest_pages(spark, DATA).where(keep).where("file_ord % 2 = 1"))
     p = population.parse_reports(report_queries.population_pages(spark, DATA))
     h, p = harvest.Report(*[df.persist() for df in h]), population.Report(*[df.persist() for df in p])
-    sinks.year_json(sinks.harvest_files(h), f"{tmp_path}/h")
-    sinks.year_json(sinks.population_files(p), f"{tmp_path}/p")
+    sinks.year_json(sinks.harvest_files(h), f"{tmp_path}/h", "harvest")
+    sinks.year_json(sinks.population_files(p), f"{tmp_path}/p", "population")
     year = h.files.agg({"year": "min"}).first()[0]
-    one = json.loads(next(Path(tmp_path, "h").glob(f"file_year={year}/*.json")).read_text())
+    one = json.loads(Path(tmp_path, "h", f"elk_harvest_{year}.json").read_text())
     assert one["year"] == year and one["sections_parsed"] == 3 and [s["records"] for s in one["sections_detail"]][1:] == [8, 0]
     assert len(one["harvest_records"]) == 8 and len(one["dau_records"]) == one["sections_detail"][0]["records"]
     master = _text(sinks.document(sinks.harvest_master(h), f"{tmp_path}/hm"))
@@ -35,6 +35,6 @@ def test_json_files_masters_and_the_way_back(spark, tmp_path):
     assert {int(k): v for k, v in master["statewide_totals"].items()} == {r["year"]: r["statewide_total"] for r in p.totals.collect()}
     sizes = sinks.file_sizes(spark, f"{tmp_path}/pm").collect()
     assert sizes[0]["size"].endswith(" KB")
-    tables = reports.combined_files(spark, f"{tmp_path}/h/*/*.json", f"{tmp_path}/p/*/*.json")
+    tables = reports.combined_files(spark, f"{tmp_path}/h/*.json", f"{tmp_path}/p/*.json")
     assert tables.harvest.count() == h.records.count() and tables.population.count() == p.records.count() and tables.unit_summary.count() == h.unit_records.count()
     assert sorted(map(tuple, tables.population_trend.collect())) == sorted((r["year"], r["statewide_total"]) for r in p.totals.collect())

@@ -169,9 +169,10 @@ def test_documents(spark, pages, tmp_path):
     docs = reports.documents(tables, "2024-01-02", "State", "Agency")
     loaded = {}
     for name in docs._fields:
-        path = sinks.document(getattr(docs, name), str(tmp_path / name))
-        loaded[name] = json.loads("".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*"))))
-        assert path
+        made = sinks.document(getattr(docs, name), str(tmp_path / name))
+        loaded[name] = json.loads((tmp_path / name).read_text())
+        assert made.size == (tmp_path / name).stat().st_size
+        assert [made.items[k] for k in (3, 5, 7)] == [len(loaded[name][k]) for k in ("dau_definitions", "harvest", "population")]
     full = loaded["full"]
     assert full["metadata"]["record_counts"] == {"harvest": 8, "dau_harvest_summary": 2, "population": 2, "dau_definitions": 2}
     assert full["metadata"]["years"] == [2019, 2020] and full["metadata"]["generated"] == "2024-01-02"

@@ -3,9 +3,10 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from meadowlark.operators import harvest, population
-from meadowlark.sources import archives, json_files, pages, sinks
+from meadowlark.operators import harvest, population, serving
+from meadowlark.sources import archives, json_files, pages, sinks, writers
 from meadowlark.streaming.reports import stream_harvest
 
 
@@ -26,7 +27,8 @@ def test_archives(spark, tmp_path):
     files = {(r["category"], r["name"]): bytes(r["data"]) for r in archives.newest_files(routed).collect()}
     assert files["harvest_reports", "2020StatewideElkHarvest.pdf"] == b"two" and len(files) == 4
     archives.save_files(archives.newest_files(routed), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    found = {(f.parent.name, f.name): f.read_bytes() for f in (tmp_path / "out").glob("*/*")}
+    assert found == files and not list((tmp_path / "out").glob(".staging*"))
 
 
 def test_page_text(spark, tmp_path):
@@ -53,17 +55,48 @@ def test_json_files(spark, tmp_path):
 
 
 def test_csv(spark, tmp_path):
-    text = "2023 POST HUNT\nBull/Cow\n10 Far 7, 6 1,000 20\n2 Near 3, 4 100 30"
-    records = population.parse_reports(spark.createDataFrame([("p", 0, 0, text)], "file string, file_ord long, page_no int, text string")).records
-    sinks.population_csv(records, str(tmp_path / "pop"))
-    sinks.mapping_csv(records, str(tmp_path / "map"))
-    read = lambda name: next((tmp_path / name / "file_year=2023").glob("*.csv")).read_bytes().decode()
-    assert read("pop").split("\r\n")[0] == "year,species,dau,dau_number,herd_name,gmus,population_estimate,bull_cow_ratio"
-    assert "2023,elk,E-10,10,Far,7; 6,1000,20" in read("pop").split("\r\n")
-    assert read("map").split("\r\n")[:5] == ["year,dau,gmu", "2023,E-2,3", "2023,E-2,4", "2023,E-10,7", "2023,E-10,6"]
-    empty = harvest.parse_reports(spark.createDataFrame([], "file string, file_ord long, page_no int, text string")).records
-    sinks.harvest_csv(empty, str(tmp_path / "none"))
-    assert not (tmp_path / "none").exists()
+    text = '2023 POST HUNT\nBull/Cow\n10 Far "off" 7, 6 1,000 20\n2 Near 3, 4 100 30'
+    page = "file string, file_ord long, page_no int, text string"
+    older = "2023 POST HUNT\nBull/Cow\n5 Old 1 10 2"  # an earlier file of the same year gives way
+    report = population.parse_reports(spark.createDataFrame([("o", 0, 0, older), ("p", 1, 0, text), ("q", 2, 0, "2024 POST HUNT\n9 None")], page))
+    made = sinks.population_csv(report.records, str(tmp_path)) | sinks.mapping_csv(report.records, report.totals, str(tmp_path))
+    read = lambda name: (tmp_path / name).read_bytes().decode()
+    assert sorted(made) == [f"{tmp_path}/{n}" for n in ("dau_gmu_mapping_2023.csv", "dau_gmu_mapping_2024.csv", "elk_population_2023.csv")]
+    assert all(len(read(name.rsplit("/")[-1])) == size for name, size in made.items())
+    lines = read("elk_population_2023.csv").split("\r\n")
+    assert lines == ["year,species,dau,dau_number,herd_name,gmus,population_estimate,bull_cow_ratio", '2023,elk,E-10,10,"Far ""off""",7; 6,1000,20', "2023,elk,E-2,2,Near,3; 4,100,30", ""]
+    assert read("dau_gmu_mapping_2023.csv").split("\r\n") == ["year,dau,gmu", "2023,E-2,3", "2023,E-2,4", "2023,E-10,7", "2023,E-10,6", ""]
+    assert read("dau_gmu_mapping_2024.csv") == "year,dau,gmu\r\n"
+    empty = harvest.parse_reports(spark.createDataFrame([], page)).records
+    assert sinks.harvest_csv(empty, str(tmp_path / "none")) == {} and not (tmp_path / "none").exists()
+
+
+def test_large_document_is_written_in_parallel(spark, tmp_path):
+    """Pieces from many partitions, characters of several bytes: one file, equal to the pieces in order."""
+    text = F.concat(F.lit('{"é":'), F.col("id"), F.lit(',"t":"'), F.repeat(F.lit("ü"), (F.col("id") % 50).cast("int")), F.lit('"}'))
+    pieces = serving.items(spark.range(0, 20_000, numPartitions=7), 0, [F.col("id")], text, '{"a":[', "]}").repartition(11)
+    made = sinks.document(pieces, str(tmp_path / "d/doc.json"))
+    whole = (tmp_path / "d/doc.json").read_text()
+    assert json.loads(whole)["a"] == [{"é": k, "t": "ü" * (k % 50)} for k in range(20_000)]
+    assert made.size == len(whole.encode()) and made.items[0] == 20_000 and [f.name for f in (tmp_path / "d").iterdir()] == ["doc.json"]
+    sinks.document_parts(pieces, str(tmp_path / "parts"))
+    assert "".join(f.read_text() for f in sorted((tmp_path / "parts").glob("part-*"))) == whole
+
+
+def test_failed_jobs_leave_nothing(spark, tmp_path):
+    """A task that dies after some files, and sizes that don't add up, leave neither files nor staging folders."""
+    fails = F.when(F.col("id") == 90, F.raise_error(F.lit("lost"))).otherwise(F.lit(b"x"))
+    files = spark.range(100).select(F.lit("c").alias("category"), F.col("id").cast("string").alias("name"), fails.alias("data"))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_routed(files, str(tmp_path / "r"))
+    pieces = spark.range(2).select(F.lit("f").alias("name"), (F.col("id") * 3).alias("at"), F.lit(b"abc").alias("piece"))
+    with pytest.raises(Exception, match="announced"):
+        writers.write_placed(pieces, str(tmp_path / "p"), {"f": 7})
+    assert [list((tmp_path / d).iterdir()) for d in "rp"] == [[], []]
+    writers.write_placed(pieces, str(tmp_path / "p"), {"f": 6})
+    assert (tmp_path / "p/f").read_bytes() == b"abcabc"
+    with pytest.raises(ValueError, match="mounted"):
+        writers.local_path("hdfs://host/a")
 
 
 def test_stream(spark, tmp_path):
@@ -77,14 +110,43 @@ def test_stream(spark, tmp_path):
     assert sorted(r["year"] for r in rows) == [2020, 2021]
 
 
-def test_broken_member_keeps_the_rest(spark, tmp_path):
+def test_broken_members_stand_alone(spark, tmp_path):
+    """Each broken member is a row of its own; a reader that gives up there keeps what stands before it."""
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
-        z.writestr("elk_a.pdf", "a" * 50)
-        z.writestr("elk_b.pdf", "b" * 50)
+        for name in "abcd":
+            z.writestr(f"elk_{name}.pdf", name * 50, zipfile.ZIP_DEFLATED if name == "d" else zipfile.ZIP_STORED)
     data = bytearray(buffer.getvalue())
-    at = data.rindex(b"b" * 50)
-    data[at] ^= 1
+    data[data.rindex(b"b" * 50)] ^= 1
     (tmp_path / "x.zip").write_bytes(bytes(data))
-    rows = archives.read_members(spark, str(tmp_path)).collect()
-    assert [r["member"] for r in rows if r["error"] is None] == ["elk_a.pdf"] and sum(r["error"] is not None for r in rows) == 1
+    members = archives.read_members(spark, str(tmp_path))
+    rows = members.collect()
+    assert [(r["member"], r["error"] is None) for r in rows] == [("elk_a.pdf", True), ("elk_b.pdf", False), ("elk_c.pdf", True), ("elk_d.pdf", True)]
+    assert bytes(rows[3]["data"]) == b"d" * 50
+    assert [r["member"] for r in archives.before_breaks(members).where("error IS NULL").collect()] == ["elk_a.pdf"]
+
+
+def test_archive_is_split_into_runs_of_members(spark, tmp_path):
+    _zip(tmp_path / "big.zip", [("folder/", "")] + [(f"m{k}", "x" * 1000) for k in range(40)])
+    _zip(tmp_path / "empty.zip", [])
+    members = archives.read_members(spark, str(tmp_path), run_bytes=5000)
+    assert members.rdd.getNumPartitions() == 8 and {len(r["data"]) for r in members.collect()} == {1000}
+    slim = archives.read_members(spark, str(tmp_path), with_data=False, run_bytes=5000)
+    assert slim.where("data IS NOT NULL").count() == 0 and slim.count() == 40
+    read = archives.with_data(slim.where("member_ord % 2 = 0").withColumn("extra", F.lit(1)), run_bytes=5000).collect()
+    assert len(read) == 20 and all(bytes(r["data"]) == b"x" * 1000 and r["extra"] == 1 for r in read)
+    assert archives.read_members(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_extract(spark, tmp_path):
+    """Routed files by name, the last of a repeated name in archive and member order, nothing after a broken member."""
+    _zip(tmp_path / "a.zip", [("x/2020 Elk Harvest.pdf", "one"), ("y/2020 Elk Harvest.pdf", "two"), ("Elk Herd.pdf", "h"), ("deer.pdf", "d")])
+    _zip(tmp_path / "b.zip", [("2020 Elk Harvest.pdf", "three"), ("elk.pdf", "e" * 60), ("Elk Status.pdf", "lost")])
+    data = bytearray((tmp_path / "b.zip").read_bytes())
+    data[data.rindex(b"e" * 60)] ^= 1
+    (tmp_path / "b.zip").write_bytes(bytes(data))
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    counts, broken = archives.extract(spark, str(tmp_path), str(tmp_path / "out"), run_bytes=60)
+    assert {r["category"]: r["members"] for r in counts.collect()} == {"harvest_reports": 3, "population_estimates": 1, "skipped": 1}
+    assert sorted((r["zip_path"].rsplit("/")[-1], r["member"]) for r in broken.collect()) == [("b.zip", "elk.pdf"), ("c.zip", None)]
+    assert {f"{f.parent.name}/{f.name}": f.read_text() for f in (tmp_path / "out").glob("*/*")} == {"harvest_reports/2020 Elk Harvest.pdf": "three", "population_estimates/Elk Herd.pdf": "h"}
