@@ -47,6 +47,53 @@ def unit_definitions(records: DataFrame, order: Sequence[str] = ("file_ord", "pa
     )
 
 
+def definition_state(records: DataFrame, order: Sequence[str] = ("file_ord", "page_no", "line_no")) -> DataFrame:
+    """What :func:`unit_definitions` needs of some reports, one row per herd unit and year, to be stored and merged.
+
+    records: how many. first_seen and dau_number: of the first one. named: the last name that isn't blank, with its order.
+    units: the last sorted units, with their order.
+    """
+    seen = F.struct(*[F.col(c).cast("bigint").alias(c) for c in order])
+    named = F.nullif(F.col("herd_name"), F.lit(""))
+    some = F.size("gmus") > 0
+    return records.groupBy("dau", "year").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.min(seen).alias("first_seen"),
+        F.min_by("dau_number", seen).alias("dau_number"),
+        F.max(F.when(named.isNotNull(), F.struct(seen.alias("at"), named.alias("name")))).alias("named"),
+        F.max(F.when(some, F.struct(seen.alias("at"), F.array_sort("gmus").alias("gmus")))).alias("units"),
+    )
+
+
+def merged_states(*states: DataFrame) -> DataFrame:
+    """The state of all reports from the states of parts of them, in any order and grouping."""
+    both = states[0]
+    for state in states[1:]:
+        both = both.unionByName(state)
+    return both.groupBy("dau", "year").agg(
+        F.sum("records").alias("records"), F.min("first_seen").alias("first_seen"), F.min_by("dau_number", "first_seen").alias("dau_number"),
+        F.max("named").alias("named"), F.max("units").alias("units"),
+    )
+
+
+def definitions_of(state: DataFrame) -> DataFrame:
+    """The rows of :func:`unit_definitions` from a state; adding a year costs the state's rows, not all reports."""
+    found = state.groupBy("dau").agg(
+        F.min_by("dau_number", "first_seen").alias("dau_number"),
+        F.max("named").alias("named"),
+        F.array_sort(F.flatten(F.collect_list(F.array_repeat("year", F.col("records").cast("int"))))).alias("years_present"),
+        F.min("first_seen").alias("first_seen"),
+        F.max_by("units.gmus", F.when(F.col("units").isNotNull(), F.col("year"))).alias("gmus"),
+        F.count_distinct("units.gmus").alias("configurations"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("units").isNotNull(), F.struct("year", "units.gmus"))))).alias("all_years"),
+    )
+    state_of = F.when(F.col("configurations") == 0, "empty").when(F.col("configurations") > 1, "populated").otherwise("absent")
+    return found.withColumn("history_state", state_of).select(
+        "dau", "dau_number", F.col("named.name").alias("herd_name"), F.coalesce("gmus", F.array().cast("array<bigint>")).alias("gmus"),
+        F.when(F.col("history_state") == "populated", F.col("all_years")).alias("gmu_history"), "history_state", "years_present", "first_seen",
+    )
+
+
 def unit_lookup(definitions: DataFrame) -> DataFrame:
     """(gmu, dau, claimed_by): the herd unit that holds a management unit now; of several, the last to appear first."""
     held = definitions.select("dau", "first_seen", F.explode("gmus").alias("gmu"))

@@ -37,6 +37,37 @@ def statewide_population(totals: DataFrame) -> DataFrame:
     return latest(totals, ["year"], F.struct("file_ord", "file"), ["statewide_total"])
 
 
+def running_totals(records: DataFrame, value: str, keys: Sequence[str] = ("gmu", "section_method", "section_season")) -> DataFrame:
+    """(keys, year, total, years): sums of ``value`` and counts of years up to each year, per unit and over all units.
+
+    The first key is null in the rows over all units. Each key has a row for every year from the one before the first of
+    the data to the last, so what lies between any two years is the difference of two rows: a mean under any filter and
+    over any years is two lookups and no scan. The figures come from one pass with grouping sets; windows are over a key's
+    years alone.
+    """
+    unit, *rest = keys
+    records = records.where(F.col(unit).isNotNull())
+    per_year = records.groupingSets([[unit, *rest, "year"], [*rest, "year"]], *keys, "year").agg(F.sum(value).alias("__v"))
+    summed = written(per_year)
+    span = summed.agg(F.min("year").alias("a"), F.max("year").alias("b"))
+    spine = summed.select(*keys).distinct().join(F.broadcast(span)).select(*keys, F.explode(F.sequence(F.col("a") - 1, F.col("b"))).alias("year"))  # span is one row
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"v.{c}")) for c in (*keys, "year")]
+    filled = spine.alias("k").join(summed.alias("v"), same, "left").select(*[F.col(f"k.{c}").alias(c) for c in (*keys, "year")], "__v")
+    so_far = Window.partitionBy(*keys).orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
+    return filled.select(*keys, "year", F.coalesce(F.sum("__v").over(so_far), F.lit(0)).alias("total"), F.count("__v").over(so_far).alias("years"))
+
+
+def means_over(totals: DataFrame, years: int, keys: Sequence[str] = ("gmu", "section_method", "section_season")) -> DataFrame:
+    """(keys, year, mean): means over the ``years`` up to each year, over the years that are there, from
+    :func:`running_totals`; none where no year is there."""
+    first = totals.agg(F.min("year").alias("__first"))
+    before = totals.select(*[F.col(c).alias(f"__{c}") for c in keys], (F.col("year") + years).alias("__year"), F.col("total").alias("__total"), F.col("years").alias("__years"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, "year")]
+    both = totals.join(before, same, "left").join(F.broadcast(first)).where(F.col("year") > F.col("__first"))  # one row
+    n = F.col("years") - F.coalesce("__years", F.lit(0))
+    return both.where(n > 0).select(*keys, "year", ((F.col("total") - F.coalesce("__total", F.lit(0))) / n).alias("mean"))
+
+
 def trailing_mean(df: DataFrame, keys: Sequence[str], year: str, value: str, years: int) -> DataFrame:
     """``df`` with ``<value>_mean``: the mean over the ``years`` up to each row's, over the years that are there."""
     window = Window.partitionBy(*keys).orderBy(year).rangeBetween(-(years - 1), 0)
@@ -46,19 +77,24 @@ def trailing_mean(df: DataFrame, keys: Sequence[str], year: str, value: str, yea
 def quantile_breaks(df: DataFrame, value: str, classes: int = 7, keys: Sequence[str] = ()) -> DataFrame:
     """The inner breaks of ``classes`` equal-count classes, interpolated linearly: ``breaks`` per key, null without values.
 
-    Equal values are counted first. Without keys the counts are then ranked over range partitions, and only the values
-    at the wanted ranks come together, so no task holds all values.
+    Equal values are counted first. The counts are then ranked over range partitions of keys and values, and only the
+    values at the wanted ranks come together, so no task holds all values, of a key neither.
     """
     at = [k / classes for k in range(1, classes)]
     some = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    if keys:
-        return some.groupBy(*keys).agg(F.percentile("__v", F.array(*[F.lit(p) for p in at]), F.col("__n")).alias("breaks"))
-    in_order = ranked(some, ["__v"], "__n")
+    in_order = ranked(some, [*keys, "__v"], "__n")
+    if keys:  # ranks within a key: those of all less the key's first
+        names = [f"__k{k}" for k in range(len(keys))]
+        each = written(in_order).withColumns(dict(zip(names, map(F.col, keys))))
+        starts = each.groupBy(*names).agg(F.min("__rank").alias("__start"), F.sum("__n").alias("__all"))
+        same = [F.col(f"e.{n}").eqNullSafe(F.col(f"s.{n}")) for n in names]
+        in_order = each.drop("__all").alias("e").join(starts.alias("s"), same).withColumn("__rank", F.col("__rank") - F.col("__start"))
     place = lambda p: F.lit(p) * (F.col("__all") - 1)
     # a value stands at the ranks from __rank on; each break lies between the values at two neighbouring ranks
     holds = lambda r: (F.col("__rank") <= r) & (r < F.col("__rank") + F.col("__n"))
     ends = [(F.max(F.when(holds(F.floor(place(p))), F.col("__v"))), F.max(F.when(holds(F.ceil(place(p))), F.col("__v"))), F.max(place(p) - F.floor(place(p)))) for p in at]
-    return in_order.agg(F.when(F.count(F.lit(1)) > 0, F.array(*[low + (high - low) * share for low, high, share in ends])).alias("breaks"))
+    breaks = F.array(*[low + (high - low) * share for low, high, share in ends])
+    return in_order.groupBy(*keys).agg(F.when(F.count(F.lit(1)) > 0, breaks).alias("breaks"))
 
 
 def ranked(df: DataFrame, order: Sequence[str], weight: str | None = None) -> DataFrame:

@@ -78,19 +78,17 @@ COUNTED = {"harvest": 5, "dau_harvest_summary": 6, "population": 7, "dau_definit
 def write_documents(tables: serving.Combined, folder: str, generated: str, state: str, source: str, species: str = "elk") -> Summary:
     """The three serving documents and their indented twins; record counts are taken while the full one is written."""
     docs = documents(tables, generated, state, source)
-    names = {"full": f"{species}_combined", "slim": f"{species}_combined_slim", "dashboard": f"{species}_dashboard"}
-    made = {}
-    for kind, name in names.items():
-        pieces = written(getattr(docs, kind))
-        made[kind] = [sinks.document(pieces, f"{folder}/{name}{twin}.json", pretty=bool(twin)) for twin in ("", "_pretty")]
+    names = {"full": f"{species}_combined.json", "slim": f"{species}_combined_slim.json", "dashboard": f"{species}_dashboard.json"}
+    full, slim, dashboard = (getattr(docs, kind).withColumn("name", F.lit(name)) for kind, name in names.items())
+    made = sinks.documents(written(full.unionByName(slim).unionByName(dashboard)), folder, list(names.values()))
     kinds = tables.years.groupBy("kind").agg(F.array_sort(F.collect_set("year")).alias("years")).collect()  # years of three kinds
     years = {r["kind"]: r["years"] for r in kinds}
     shown = {k: years.get(k, []) for k in ("harvest", "population")}
     population_figures, harvest_figures = (df.first() for df in latest_figures(tables))
     hunters = serving.latest_year(tables.harvest_trend, "total_hunters").first()
     return Summary(
-        {d.path: d.size for twins in made.values() for d in twins},
-        {name: made["full"][0].items[part] for name, part in COUNTED.items()},
+        {d.path: d.size for d in made.values()},
+        {name: made[names["full"]].items[part] for name, part in COUNTED.items()},
         shown | {"all": sorted({*shown["harvest"], *shown["population"]})},
         None if population_figures["year"] is None else tuple(population_figures),
         None if harvest_figures["year"] is None else (*harvest_figures, hunters["total_hunters"]),

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowlark import report_queries
+from meadowlark import file_queries, report_queries
 from meadowlark.functions.patterns import HARVEST_ROW
 from meadowlark.functions.text import has_any, parsed_int, repaired_ordinals, tokens, unit_id
 from meadowlark.functions.titles import classified
@@ -366,11 +366,11 @@ def records_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | report_queries.queries()
+    return _QUERIES | report_queries.queries() | file_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES | report_queries.oracle_sql()
+    return _ORACLES | report_queries.oracle_sql() | file_queries.oracle_sql()
 
 
 __all__ = ["oracle_sql", "queries", "rendered_pages"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -10,13 +11,14 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from meadowlark.functions.text import basename, has_any
 from meadowlark.operators.relational import routed
-from meadowlark.sources.writers import write_routed
+from meadowlark.sources.writers import local_path, write_routed
 from meadowlark.tables import written
 
 MEMBERS = "zip_path string, member_ord int, member string, at long, packed long, size long, crc long, method int, data binary, error string"
@@ -171,6 +173,39 @@ def before_breaks(members: DataFrame) -> DataFrame:
     return members.join(first, "zip_path", "left").where(F.col("__broken").isNull() | (F.col("member_ord") <= F.col("__broken"))).drop("__broken")
 
 
+def write_archives(members: DataFrame, folder: str) -> DataFrame:
+    """Packs rows (archive, member_ord, member, data) into ``folder``/archive.zip each, members in order.
+
+    Written as the result is read: (archive, members, packed). An archive appears under its name once it is whole; its
+    members stream through one task.
+    """
+    target = local_path(folder).rstrip("/")
+    os.makedirs(target, exist_ok=True)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, n, done = None, None, 0, []
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                done.append((name, n, os.path.getsize(out.filename)))
+                os.replace(out.filename, f"{target}/{name}.zip")
+
+        for batch in batches:
+            for archive, member, data in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if archive != name:
+                    close()
+                    name, n, out = archive, 0, zipfile.ZipFile(f"{target}/.{archive}-{TaskContext.get().taskAttemptId()}", "w", zipfile.ZIP_DEFLATED)
+                out.writestr(zipfile.ZipInfo(member), data or b"", zipfile.ZIP_DEFLATED)
+                n += 1
+        close()
+        columns = list(zip(*done)) if done else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["archive", "members", "packed"])
+
+    rows = members.select("archive", "member_ord", "member", "data").repartition("archive").sortWithinPartitions("archive", "member_ord")
+    return rows.mapInArrow(packed, "archive string, members long, packed long")
+
+
 def is_harvest(name: Column) -> Column:
     low = F.lower(name)
     return low.contains("elk") & has_any(low, "harvest", "hunting") & low.endswith(".pdf")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowlark.operators.harvest import COUNTS, HARVEST_COLUMNS, UNIT_COLUMNS
@@ -68,3 +68,36 @@ def unit_records(files: DataFrame) -> DataFrame:
 
 def population_records(files: DataFrame) -> DataFrame:
     return _exploded(files, "records")
+
+
+# ---- files as variants: no fixed schema, absent and null kept apart --------------------------------------------------
+
+
+def read_variants(spark: SparkSession, glob: str) -> DataFrame:
+    """(file, file_ord, body): each JSON file as a VARIANT, whatever its fields; an empty table if there are no files."""
+    if not exists(spark, glob):
+        return spark.createDataFrame([], "file string, file_ord long, body variant")
+    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("body"))
+    return with_file_order(files).select("file", "file_ord", "body")
+
+
+def per_year(files: DataFrame) -> DataFrame:
+    """Variants that have a year, with it; others, such as combined documents, go."""
+    year = F.try_variant_get("body", "$.year", "bigint")
+    return files.withColumn("year", year).where(F.col("year").isNotNull())
+
+
+def exploded(files: DataFrame, path: str) -> DataFrame:
+    """``files`` with ``pos``, ``key`` and ``value`` of each item of the list or object at ``path``; files without it give none."""
+    spark, names = files.sparkSession, files.columns
+    at = F.try_variant_get("body", path, "variant")
+    items = files.withColumn("__at", at).lateralJoin(spark.tvf.variant_explode(F.col("__at").outer()))
+    return items.select(*names, "pos", "key", "value")
+
+
+def presence(value: Column, path: str) -> Column:
+    """``absent``, ``null``, ``empty`` (an object or list without items) or ``filled``: what stands at ``path`` of a variant."""
+    found = F.try_variant_get(value, path, "variant")
+    return (
+        F.when(found.isNull(), "absent").when(F.is_variant_null(found), "null").when(F.to_json(found).isin("{}", "[]"), "empty").otherwise("filled")
+    )

@@ -8,16 +8,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from meadowlark.operators.trends import ranked
 
 PAGES = "file string, file_ord long, page_no int, text string"
 
 
 def with_file_order(df: DataFrame, path: str = "file") -> DataFrame:
-    """``df`` with ``file_ord``, the rank of its path. The ranked table has one row per file, not per page."""
-    names = df.select(path).distinct()
-    in_order = names.withColumn("file_ord", (F.row_number().over(Window.orderBy(path)) - 1).cast("long"))
-    return df.drop("file_ord").join(in_order, path)
+    """``df`` with ``file_ord``, the rank of its path among all, from range partitions of the paths."""
+    names = ranked(df.select(path).distinct(), [path]).select(path, F.col("__rank").cast("long").alias("file_ord"))
+    return df.drop("file_ord").join(names, path)
 
 
 def _paged(files: DataFrame) -> DataFrame:

@@ -180,28 +180,45 @@ class Document(NamedTuple):
 
 def _ordered_text(pieces: DataFrame, pretty: bool) -> DataFrame:
     """Pieces with commas between items and line ends; ``pretty`` indents every opening, item and closing."""
-    first = pieces.where("step = 1").groupBy("part").agg(F.min("at").alias("first"))  # one row per part
+    first = pieces.where("step = 1").groupBy("name", "part").agg(F.min("at").alias("first"))  # one row per part
     comma = F.when((F.col("step") == 1) & (F.col("at") != F.col("first")), ",").otherwise("")
     indent = F.when(F.col("step") == 1, "    ").otherwise("  ") if pretty else F.lit("")
-    return pieces.join(first, "part", "left").withColumn("piece", F.concat(indent, comma, "piece", F.lit("\n"))).drop("first")
+    return pieces.join(first, ["name", "part"], "left").withColumn("piece", F.concat(indent, comma, "piece", F.lit("\n"))).drop("first")
 
 
-def document(pieces: DataFrame, path: str, pretty: bool = False) -> Document:
-    """Text pieces (part, step, at, piece) as one file, written in parallel; ``pretty`` is the same JSON, indented.
+#: The twin of a document that is indented is named so.
+PRETTY = "_pretty.json"
+
 
-    The path is on a file system that driver and executors share; see :func:`document_parts` for other stores.
+def documents(pieces: DataFrame, folder: str, names: list[str], twins: bool = True) -> dict[str, Document]:
+    """Text pieces (name, part, step, at, piece) as one file per name, all written together and in parallel, by name.
+
+    With ``twins``, each ``x.json`` has an indented ``x_pretty.json``: the same JSON. The folder is on a file system that
+    driver and executors share; see :func:`document_parts` for other stores.
     """
-    folder, _, name = path.rpartition("/")
-    parts = range(8)
+    text = _ordered_text(pieces, pretty=False)
+    if twins:
+        indented = _ordered_text(pieces, pretty=True).withColumn("name", F.regexp_replace("name", r"\.json$", PRETTY))
+        text, names = text.unionByName(indented), [*names, *(n.removesuffix(".json") + PRETTY for n in names)]
     seen = Observation()
-    counts = {f"part{k}": F.count(F.when((F.col("part") == k) & (F.col("step") == 1), 1)) for k in parts}
-    files = _write(_ordered_text(pieces, pretty).withColumn("name", F.lit(name)), ["part", "step", "at"], folder or ".", seen, counts)
-    return Document(path, sum(files.values()), {k: seen.get[f"part{k}"] for k in parts})
+    item = lambda name, part: F.count(F.when((F.col("name") == name) & (F.col("part") == part) & (F.col("step") == 1), 1))
+    counts = {f"{k}:{part}": item(name, part) for k, name in enumerate(names) for part in range(8)}
+    files = _write(text, ["part", "step", "at"], folder, seen, counts)
+    return {name: Document(f"{folder}/{name}", files[f"{folder}/{name}"], {part: seen.get[f"{k}:{part}"] for part in range(8)}) for k, name in enumerate(names)}
+
+
+def document(pieces: DataFrame, path: str, pretty: bool = False) -> Document:
+    """Text pieces (part, step, at, piece) as one file; ``pretty`` indents it."""
+    folder, _, name = path.rpartition("/")
+    if not pretty:
+        return documents(pieces.withColumn("name", F.lit(name)), folder or ".", [name], twins=False)[name]
+    files = _write(_ordered_text(pieces.withColumn("name", F.lit(name)), pretty), ["part", "step", "at"], folder or ".")
+    return Document(path, sum(files.values()), {})
 
 
 def document_parts(pieces: DataFrame, path: str, pretty: bool = False) -> str:
     """The document as a folder of text files that follow one another by name, for stores without random writes."""
-    text = _ordered_text(pieces, pretty).repartitionByRange("part", "step", "at").sortWithinPartitions("part", "step", "at")
+    text = _ordered_text(pieces.withColumn("name", F.lit("")), pretty).repartitionByRange("part", "step", "at").sortWithinPartitions("part", "step", "at")
     text.select(F.regexp_replace("piece", "\n$", "").alias("piece")).write.mode("overwrite").text(path, lineSep="\n")
     return path
 

@@ -199,3 +199,35 @@ def test_padded_union_and_pairs(spark):
     a, b = spark.createDataFrame([(1, 2)], "k int, x int"), spark.createDataFrame([(2, 3)], "k int, y int")
     both = relational.padded_union([a, b], zeros=["x"])
     assert sorted((r["k"], r["x"], r["y"]) for r in both.select("k", "x", "y").fillna(-1, ["y"]).collect()) == [(1, 2, -1), (2, 0, 3)]
+
+
+def test_definitions_fold_in_any_order(spark, units):
+    """States of single rows, merged in several orders and groupings, give the definitions of all rows at once."""
+    shown = ("dau", "dau_number", "herd_name", "gmus", "gmu_history", "history_state", "years_present")
+    rows = lambda df: sorted(map(str, df.select(*shown).collect()))
+    whole = rows(dimensions.unit_definitions(units))
+    first, second = units.where("file_ord = 0"), units.where("file_ord = 1")
+    states = [dimensions.definition_state(df) for df in (first, second.where("dau = 'E-2'"), second.where("dau <> 'E-2'"))]
+    a, b, c = states
+    for order in ((a, b, c), (c, a, b), (b, dimensions.merged_states(c, a))):
+        assert rows(dimensions.definitions_of(dimensions.merged_states(*order))) == whole
+
+
+def test_keyed_breaks(spark):
+    """Interpolated breaks per key, a null key and one with most rows among them, as percentile gives them."""
+    rows = [("a", float(k % 37)) for k in range(500)] + [("b", 5.0), ("c", 1.0), ("c", 2.0), (None, 7.0), (None, 9.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["breaks"] for r in trends.quantile_breaks(df, "v", 4, ["k"]).collect()}
+    want = df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("b")).where("b IS NOT NULL")
+    assert got == {r["k"]: pytest.approx(r["b"]) for r in want.collect()}
+    classes = trends.in_classes(df.where("k = 'c'"), "v", trends.quantile_breaks(df, "v", 4, ["k"]), ["k"]).collect()
+    assert sorted(r["class"] for r in classes) == [1, 4]
+
+
+def test_running_totals_equal_trailing_means(spark):
+    rows = [(1, "all", "all", 2000, 4), (1, "all", "all", 2001, 8), (1, "all", "all", 2004, 3), (2, "all", "all", 2001, 6), (2, "archery", "all", 2003, None)]
+    records = spark.createDataFrame(rows, "gmu long, section_method string, section_season string, year long, v long")
+    totals = trends.running_totals(records, "v")
+    got = {(r["gmu"], r["section_method"], r["year"]): r["mean"] for r in trends.means_over(totals, 3).collect()}
+    assert got[1, "all", 2002] == 6 and got[1, "all", 2003] == 8 and got[1, "all", 2004] == 3 and got[None, "all", 2002] == 9
+    assert (2, "archery", 2003) not in got and (2, "all", 2004) not in got

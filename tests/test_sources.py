@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meadowlark.operators import harvest, population, serving
 from meadowlark.sources import archives, json_files, pages, sinks, writers
-from meadowlark.streaming.reports import stream_harvest
+from meadowlark.streaming.reports import stream_harvest, stream_harvest_pages
 
 
 def _zip(path, members):
@@ -54,6 +54,18 @@ def test_json_files(spark, tmp_path):
         json_files.read_reports(spark, f"{tmp_path}/none_*.json", f"{tmp_path}/nil_*.json")
 
 
+def test_variants(spark, tmp_path):
+    """Absent, null, empty and filled fields are told apart, whatever else a file holds."""
+    for name, body in (("a", {"year": 2020, "h": {}, "d": {"E-1": {"g": {}}, "E-2": {"g": None}, "E-3": {}, "E-4": {"g": {"2020": [1]}}}}), ("b", {"years": [1], "d": {}}), ("c", {"year": 2021})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=2))
+    files = json_files.read_variants(spark, f"{tmp_path}/*.json")
+    assert sorted((r["file_ord"], r["year"]) for r in json_files.per_year(files).collect()) == [(0, 2020), (2, 2021)]
+    units = json_files.exploded(files, "$.d")
+    got = {r["key"]: r["state"] for r in units.select("key", json_files.presence(F.col("value"), "$.g").alias("state")).collect()}
+    assert got == {"E-1": "empty", "E-2": "null", "E-3": "absent", "E-4": "filled"}
+    assert json_files.read_variants(spark, f"{tmp_path}/none*.json").count() == 0
+
+
 def test_csv(spark, tmp_path):
     text = '2023 POST HUNT\nBull/Cow\n10 Far "off" 7, 6 1,000 20\n2 Near 3, 4 100 30'
     page = "file string, file_ord long, page_no int, text string"
@@ -110,6 +122,29 @@ def test_stream(spark, tmp_path):
     assert sorted(r["year"] for r in rows) == [2020, 2021]
 
 
+def test_pages_that_arrive_apart(spark, tmp_path):
+    """Pages of three reports in any order over several batches and runs, one twice: the rows of a batch over all at once."""
+    title = "{} Elk Recreation Days All Manners"
+    reports = {
+        "a": [title.format(2020) + "\n1 1 1 1 3 6 50 30", "2 1 1 1 3 6 50 30", "Contents\n2021 Elk", title.format(2021) + "\n3 1 1 1 3 6 50 30", "4 1 1 1 3 6 50 30"],
+        "b": [title.format(2019) + "\n5 1 1 1 3 6 50 30", "6 1 1 1 3 6 50 30"],
+        "c": [title.format(2018) + "\n7 1 1 1 3 6 50 30", "not the last"],
+    }
+    rows = {(f, k): {"file": f, "file_ord": o, "page_no": k, "text": t, "pages": len(v)} for o, (f, v) in enumerate(reports.items()) for k, t in enumerate(v)}
+    (tmp_path / "in").mkdir()
+    run = lambda: stream_harvest_pages(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), files_a_batch=1).awaitTermination(300)
+    parts = [[("a", 3), ("b", 1)], [("a", 4), ("a", 3), ("c", 0)], [("a", 0), ("a", 2)], [("b", 0), ("a", 1)]]
+    for n, part in enumerate(parts):
+        (tmp_path / f"in/{n}.json").write_text("".join(json.dumps(rows[k]) + "\n" for k in part))
+        if n in (1, 3):
+            run()
+    shown = ("file", "page_no", "line_no", "year", "gmu", "section_method")
+    got = spark.read.parquet(str(tmp_path / "out/records")).select(*shown).collect()
+    whole = spark.createDataFrame([(r["file"], r["file_ord"], r["page_no"], r["text"]) for r in rows.values() if r["file"] != "c"], "file string, file_ord long, page_no int, text string")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, harvest.parse_reports(whole).records.select(*shown).collect()))
+    assert {r["gmu"] for r in got} == {3, 4, 5, 6}  # the contents page makes it a report of 2021
+
+
 def test_broken_members_stand_alone(spark, tmp_path):
     """Each broken member is a row of its own; a reader that gives up there keeps what stands before it."""
     buffer = io.BytesIO()
