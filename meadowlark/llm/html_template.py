@@ -4,7 +4,8 @@ Tokens are a page's elements (told apart by their path and class) and its text b
 in every page of a host form an equivalence class; large and frequent classes whose texts lie in frequent elements
 are nested into the host's template. What the template doesn't fix are slots; the main text is what stands in
 the slots, inside articles and outside, without those in menus, notices and the like. Tags and class words are a check:
-text in an article goes only where it is the lesser part of the page's articles.
+text in an article goes only where it is the lesser part of the page's articles, and a class word on an element that holds
+the page's article, or nearly all of its text, counts for nothing.
 
 Occurrence vectors are never gathered: a token's vector is summed up as one number over pages, so a host with a third of
 all pages is just another key of a partial aggregate.
@@ -39,12 +40,16 @@ BLOCK = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-ASIDE = set("nav footer aside form menu head iframe object svg canvas button select option dialog audio video search map datalist".split())
+ASIDE = set("nav footer aside menu head iframe object svg canvas button select option dialog audio video search map datalist".split())
 MARKS = set(
-    "ad adbox ads advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies "
-    "disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices popup promo promotion related replies respond share sharing "
+    "ad adbox ads advert adverts advertisement advertising alert alerts banner billboard breadcrumb breadcrumbs comment commentlist comments consent cookie cookies "
+    "disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices popup promo promotion related remarks replies respond share sharing "
     "sidebar social sponsor sponsored subscribe widget complementary contentinfo search".split()
 )
+#: Marks outside articles alone; inside they may name a part of the text.
+OUTSIDE_MARKS = {"discussion"}
+#: A marked element that holds more than this share of a page's text is no aside, where no article says what the text is.
+WHOLE_SHARE = 0.75
 #: Words that may stand beside a mark in a class of an article's part; with any other word the class names content.
 BESIDE = set("area articles bar block body box buttons container form item items left links list main post posts right section stories thread top wrap wrapper".split())
 #: Elements that are closed by the start of one of the others.
@@ -57,7 +62,7 @@ def _is_marked(labels: list[str], whole: bool) -> bool:
     """Whether a class, id or role names a menu, notice or the like: by any of its words, or only by all (``whole``)."""
     for label in labels:
         found = set(_WORDS.findall(label))
-        if found & MARKS and (not whole or found <= MARKS | BESIDE):
+        if found & MARKS and (not whole or found <= MARKS | BESIDE) or (found & OUTSIDE_MARKS and not whole):
             return True
     return False
 
@@ -75,22 +80,59 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
+class _Place(NamedTuple):
+    """Where the parser stands: the element's name and path, whether in an article, under a tag that holds no main text
+    (``hard``), and under which marked elements or forms (``soft``)."""
+
+    name: str
+    path: int
+    in_article: bool
+    hard: bool
+    soft: tuple[int, ...]
+
+
+def _voided(articles: set[tuple[int, ...]], blocks: list[tuple[int, str, _Place]], sizes: list[int]) -> set[int]:
+    """Marked elements whose mark says nothing about their text, as they hold the page's article or nearly all of it.
+
+    ``articles``: the marked elements around (and at) each article. As long as every article stands in some, the largest of
+    those is void, if it holds more text than stands free of marks: a mark on a wrapper. Where an article is free, all
+    marks stand. Without articles, an element with more than WHOLE_SHARE of the text is void.
+    """
+    void: set[int] = set()
+    free = sum(len(text) for _, text, place in blocks if not place.hard and not place.soft)
+    while articles and all(set(chain) - void for chain in articles):
+        largest = max((k for chain in articles for k in chain if k not in void), key=lambda k: (sizes[k], -k))
+        if sizes[largest] <= free:
+            break
+        void.add(largest)
+    if not articles:
+        whole = sum(len(text) for _, text, place in blocks if not place.hard)
+        void = {k for k, size in enumerate(sizes) if size > WHOLE_SHARE * whole}
+    return void
+
+
 def parse(html: str) -> tuple[list[tuple[int, int]], list[Block]]:
     """A page's elements as (path, enclosing path) and its text blocks, in page order."""
     elements: list[tuple[int, int]] = []
-    blocks: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, path, in an article, aside
+    blocks: list[tuple[int, str, _Place]] = []
+    stack = [_Place("", 0, False, False, ())]
     parts: list[str] = []
+    sizes: list[int] = []  # of text under each marked element
+    articles: set[tuple[int, ...]] = set()
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            blocks.append(Block(stack[-1][1], text, stack[-1][2], stack[-1][3]))
+            place = stack[-1]
+            blocks.append((place.path, text, place))
+            for k in place.soft if not place.hard else ():
+                sizes[k] += len(text)
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            if stack[-1][0] in BLOCK or stack[-1][3] != stack[-2][3]:
+            inner, outer = stack[-1], stack[-2]
+            if inner.name in BLOCK or (inner.hard, inner.soft) != (outer.hard, outer.soft):
                 flush()
             stack.pop()
 
@@ -102,33 +144,39 @@ def parse(html: str) -> tuple[list[tuple[int, int]], list[Block]]:
         if not name:
             continue
         if m["end"]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
             if depth:
                 close(depth)
             elif name in BLOCK:
                 flush()
             continue
-        while len(stack) > 1 and name in CLOSES.get(stack[-1][0], ()):
+        while len(stack) > 1 and name in CLOSES.get(stack[-1].name, ()):
             close(len(stack) - 1)
         if name in BLOCK and name != "br":  # an unclosed paragraph ends with the next block, whatever stands between
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-            if depth and all(s[0] not in BLOCK for s in stack[depth + 1 :]):
+            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == "p"), 0)
+            if depth and all(s.name not in BLOCK for s in stack[depth + 1 :]):
                 close(depth)
         labels = [label for found in _MARK.findall(m["attrs"]) for label in "".join(found).lower().split()]
         marks = {w for label in labels for w in _WORDS.findall(label)}
-        _, path, in_article, aside = stack[-1]
-        own = _hash(f"{path} {name} {' '.join(sorted(marks))}")
-        in_article = in_article or name in ARTICLE
-        marked = name not in ("html", "body", "main") and _is_marked(labels, in_article)
-        mine = name in ASIDE or marked or (name == "header" and not in_article)
-        if name in BLOCK or mine != aside:
+        outer = stack[-1]
+        own = _hash(f"{outer.path} {name} {' '.join(sorted(marks))}")
+        in_article = outer.in_article or name in ARTICLE
+        hard = name in ASIDE or (name == "header" and not in_article)
+        soft = name == "form" or (name not in ("html", "body", "main") and _is_marked(labels, in_article))
+        if name in BLOCK or (hard and not outer.hard) or soft:
             flush()
-        elements.append((own, path))
+        elements.append((own, outer.path))
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-            stack.append((name, own, in_article, aside or mine))
+            if soft:
+                sizes.append(0)
+            place = _Place(name, own, in_article, outer.hard or hard, (*outer.soft, len(sizes) - 1) if soft else outer.soft)
+            stack.append(place)
+            if name in ARTICLE and not place.hard and not (soft and outer.in_article):
+                articles.add(place.soft)
     parts.append(html[at:])
     flush()
-    return elements, blocks
+    void = _voided(articles, blocks, sizes)
+    return elements, [Block(path, text, p.in_article, p.hard or any(k not in void for k in p.soft)) for path, text, p in blocks]
 
 
 def host_of(url: str | None) -> str:

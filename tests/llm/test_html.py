@@ -37,6 +37,34 @@ def test_marks_in_and_around_articles():
     assert _text('<article><p title="x>text</p></article>') == "text"
 
 
+def test_marks_on_wrappers_count_for_nothing():
+    """A class word on what holds the article, or nearly all text, is no reason to lose it; boilerplate inside still goes."""
+    article = "<article><h1>Title</h1><p>The story itself.</p></article>"
+    for opening, closing in (
+        ('<div class="wrapper has-sidebar">', "</div>"), ('<div class="ad-free page">', "</div>"), ('<div id="page" class="menu-open">', "</div>"), ('<form id="aspnetForm">', "</form>"),
+        ('<div class="popup-site"><div class="menu-left"><form>', "</form></div></div>"),
+    ):
+        inside = '<div class="related-posts"><article>teaser</article></div><div class="ad">Buy this now, it is cheap and it is very good for all of you</div>'
+        page = f"<body>{opening}<nav>menu</nav>{article}{inside}{closing}<footer>end</footer></body>"
+        assert _text(page) == "Title\nThe story itself.", opening
+    assert _text('<body><nav>a long menu of many words in a row</nav><article class="newsletter"><p>One story.</p></article></body>') == "One story."
+    assert _text('<body><h1>T</h1><div class="hero-banner"><p>One story that goes on.</p></div></body>') == "T\nOne story that goes on."
+    assert _text('<body><div class="content search-page"><p>One story.</p><form>find <button>go</button></form></div></body>') == "One story."
+
+
+def test_marks_stand_beside_a_free_article():
+    """An article that is shorter than the advert beside it, or empty, doesn't void the advert's mark."""
+    advert = '<div class="ad">Buy this now, it is cheap and it is very good</div>'
+    assert _text(f"<body>{advert}<article><p>Hi</p></article></body>") == "Hi"
+    assert _text(f"<body>{advert}<article></article></body>") == ""
+    assert _text(f"<body>{advert}<p>Some words that are as long as that advert is</p></body>") == "Some words that are as long as that advert is"
+    for comments in ('<div class="user-remarks"><p>so true</p></div>', '<section class="discussion"><p>so true</p></section>', '<div class="billboard">so true</div>'):
+        assert _text(f"<body><article><p>Hi</p></article>{comments}</body>") == "Hi"
+    comments = '<ol class="commentlist"><li><article class="comment">first of all</article><li><article class="comment">and second</article></ol>'
+    assert _text(f"<body><div class=content><p>A story that is longer than its comments.</p></div>{comments}</body>") == "A story that is longer than its comments."
+    assert _text('<article><p>Methods</p><section class="discussion"><p>We found it.</p></section></article>') == "Methods\nWe found it."
+
+
 def test_templates_equal_brute_force(spark):
     """Occurrence vectors in plain Python, as tuples of counts over a host's distinct pages."""
     r = random.Random(6)
