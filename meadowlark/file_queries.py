@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowlark.operators import dimensions, harvest, population, serving, trends
+from meadowlark.operators import dimensions, harvest, population, sections, serving, trends
 from meadowlark.plans import reports
-from meadowlark.report_queries import _FIGURES, _HERDS, _SUCCESS, harvest_pages, population_pages
+from meadowlark.report_queries import _FIGURES, _HERDS, _SUCCESS, _figures, harvest_pages, population_pages
 from meadowlark.sources import archives, json_files, sinks
 from meadowlark.sources.writers import local_path
 from meadowlark.tables import shared_folder, written
@@ -221,6 +221,52 @@ def written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.groupBy("document", *names, "note").agg(F.count(F.lit(1)).alias("twins")).where("twins = 2").drop("twins")
 
 
+@_query(f"""WITH herds AS (SELECT *, row_number() OVER (ORDER BY r, k || ' ' || name) - 1 AS pos FROM {_HERDS})
+  SELECT 'population' AS document, 'E-' || k AS item, CAST(pos AS BIGINT) AS pos, CAST(CASE r WHEN 0 THEN 0 ELSE n END AS BIGINT) AS figure FROM herds
+  UNION ALL SELECT 'totals', CAST(CASE r WHEN 2 THEN 2022 ELSE r + 2010 END AS VARCHAR), row_number() OVER (ORDER BY CASE r WHEN 2 THEN 2022 ELSE r + 2010 END) - 1, CAST(sum(n) * 1000 + r AS BIGINT) FROM herds GROUP BY r
+  UNION ALL SELECT 'years', CAST(y AS VARCHAR), row_number() OVER (ORDER BY y) - 1, y FROM (SELECT DISTINCT y FROM {_FIGURES})
+  UNION ALL SELECT 'harvest', 'records', 0, count(*) + 8 * count(DISTINCT y) FROM {_FIGURES} UNION ALL SELECT 'harvest', 'dau', 0, count(*) FROM {_FIGURES}""")
+def master_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both master documents written and read back: order of records, mappings by key, totals and years in their order."""
+    h, p = _reports(spark, sf_dir)
+    folder = _folder(spark, "masters")
+    paths = [sinks.document(pieces, f"{folder}/{name}.json").path for name, pieces in (("h", sinks.harvest_master(h)), ("p", sinks.population_master(p)))]
+    first, second = (json_files.read_variants(spark, path).select("body") for path in paths)
+    text = lambda path: F.try_variant_get("value", path, "string")
+    records = json_files.exploded(second, "$.population_records").select(text("$.dau").alias("item"), F.col("pos").cast("bigint").alias("pos"))
+    mapped = json_files.exploded(second, "$.dau_gmu_mappings").select(text("$.dau").alias("item"), F.size(F.try_variant_get("value", "$.gmus", "array<bigint>")).cast("bigint").alias("figure"))
+    whole = F.try_variant_get("value", "$", "bigint")
+    count = lambda name, path: first.select(F.lit("harvest").alias("document"), F.lit(name).alias("item"), F.lit(0).cast("bigint").alias("pos"), F.size(F.try_variant_get("body", path, "array<variant>")).cast("bigint").alias("figure"))
+    return (
+        records.join(mapped, "item", "left").select(F.lit("population").alias("document"), "item", "pos", F.coalesce("figure", F.lit(0)).alias("figure"))
+        .unionByName(json_files.exploded(second, "$.statewide_totals").select(F.lit("totals").alias("document"), F.col("key").alias("item"), F.col("pos").cast("bigint").alias("pos"), whole.alias("figure")))
+        .unionByName(json_files.exploded(first, "$.years").select(F.lit("years").alias("document"), whole.cast("string").alias("item"), F.col("pos").cast("bigint").alias("pos"), whole.alias("figure")))
+        .unionByName(count("records", "$.harvest_records")).unionByName(count("dau", "$.dau_records"))
+    )
+
+
+@_query(f"""SELECT y AS year, f.figure, CAST(f.stated AS BIGINT) AS stated, CAST(sum(CASE f.figure WHEN 'antlered_harvest' THEN n WHEN 'antlered_hunters' THEN q * 1000
+  WHEN 'antlerless_harvest' THEN q ELSE n + 1 END) AS BIGINT) AS summed
+  FROM {_FIGURES}, (VALUES ('antlered_harvest', 1), ('antlered_hunters', 2), ('antlerless_harvest', 4), ('antlerless_hunters', 5)) f(figure, stated) GROUP BY ALL""")
+def total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Total rows of success tables beside the sums of their rows."""
+    return harvest.section_totals(sections.in_sections(harvest_pages(spark, sf_dir))).select("year", "figure", "stated", "summed")
+
+
+@_query(f"""SELECT y AS year, 'bosque_rifle' AS method, '2nd' AS season, count(*) AS records, CAST(sum(q) AS BIGINT) AS hunters FROM {_FIGURES} GROUP BY y
+  UNION ALL SELECT y, 'rifle', '3rd', count(*), CAST(sum(n) AS BIGINT) FROM {_FIGURES} GROUP BY y""")
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles are read with repaired ordinals, rows as they stand: a season row with a spaced-out ordinal is none."""
+    u, n, q = (F.col(c).cast("string") for c in "unq")
+    title = lambda words: F.concat(F.col("y"), F.lit(f" Elk Harvest, Hunters and Recreation Days for {words}\n"))
+    row = lambda *cells: F.concat_ws(" ", *[c if isinstance(c, Column) else F.lit(c) for c in cells])
+    spaced = F.concat(title("Bosque del Oso"), row("2 n d Rifle", n, n, "0", n, "9", "7", n), F.lit("\n"), row("2nd Rifle", n, n, "0", n, q, "7", n))
+    text = F.concat(spaced, F.lit("\n"), title("3 r d Rifle Season"), row(u, n, "0", "0", n, n, "7", n))
+    pages = _figures(spark, sf_dir).select(F.concat(F.lit("f"), "y").alias("file"), F.col("y").alias("file_ord"), F.col("u").cast("int").alias("page_no"), text.alias("text"))
+    records = harvest.parse_reports(written(pages)).records
+    return records.groupBy("year", F.col("section_method").alias("method"), F.col("section_season").alias("season")).agg(F.count(F.lit(1)).alias("records"), F.sum("total_hunters").alias("hunters"))
+
+
 # ---- keyed quantiles and windows -------------------------------------------------------------------------------------
 
 

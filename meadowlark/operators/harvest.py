@@ -7,7 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meadowlark.functions.patterns import BY_SEASON, BY_SEASON_UNIT, HARVEST_ROW, SEASON_ROW, SUCCESS_ROW, UNIT_ROW
+from meadowlark.functions.patterns import (
+    BY_SEASON, BY_SEASON_UNIT, HARVEST_ROW, HARVEST_TOTAL, SEASON_ROW, SUCCESS_ROW, SUCCESS_TOTAL, UNIT_ROW,
+)
 from meadowlark.functions.text import WS, tried_int, unit_id
 from meadowlark.operators.sections import in_sections, page_outlines, years_of
 from meadowlark.tables import written
@@ -134,6 +136,25 @@ def parse_reports(pages: DataFrame, species: str = "elk") -> Report:
     return Report(files, harvest_rows(rows, species), unit_rows(rows, species), sections, no_year.unionByName(bad))
 
 
+def section_totals(sections: DataFrame) -> DataFrame:
+    """(file, year, section, figure, stated, summed): what a section's last Total row states beside the sum of its rows.
+
+    Percentages don't add up and are left out; a section without a Total row, or without rows, gives nothing. Reports are
+    taken as they are: a difference is for reading, no row is dropped for it.
+    """
+    line, table = F.col("line"), F.col("meta.table_type")
+    figures = {"percent_success": SPLIT_COUNTS, "harvest_rec_days": COUNTS, "bosque": COUNTS}
+    is_total = F.when(table == "percent_success", line.rlike(SUCCESS_TOTAL)).otherwise(table.isin("harvest_rec_days", "bosque") & line.rlike(HARVEST_TOTAL))
+    names = F.create_map(*[x for kind, cs in figures.items() for x in (F.lit(kind), F.array(*[F.lit(c) for c in cs]))])
+    fields = F.transform(F.slice(F.split(line, f"{WS}+"), F.lit(2), F.lit(len(COUNTS))), tried_int)
+    stated = sections.where(is_total).select("file", "section", F.struct("page_no", "line_no").alias("at"), F.posexplode(fields).alias("pos", "stated"), names[table].alias("names"))
+    last = stated.groupBy("file", "section", F.get("names", F.col("pos")).alias("figure")).agg(F.max_by("stated", "at").alias("stated"))
+    rows = with_rows(sections).where("is_record AND row <> 'unit'").select("file", "year", "section", F.posexplode("counts").alias("pos", "v"), names[table].alias("names"))
+    summed = rows.groupBy("file", "year", "section", F.get("names", F.col("pos")).alias("figure")).agg(F.sum("v").alias("summed"))
+    both = summed.join(last, ["file", "section", "figure"]).where(~F.col("figure").contains("pct"))
+    return both.select("file", "year", "section", "figure", "stated", "summed")
+
+
 def app_tables(records: DataFrame) -> DataFrame:
     """The flat table of the app: section columns by their short names, titles dropped."""
     short = {"section_method": "method", "section_season": "season", "section_license_type": "license_type"}

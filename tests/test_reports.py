@@ -231,3 +231,12 @@ def test_running_totals_equal_trailing_means(spark):
     got = {(r["gmu"], r["section_method"], r["year"]): r["mean"] for r in trends.means_over(totals, 3).collect()}
     assert got[1, "all", 2002] == 6 and got[1, "all", 2003] == 8 and got[1, "all", 2004] == 3 and got[None, "all", 2002] == 9
     assert (2, "archery", 2003) not in got and (2, "all", 2004) not in got
+
+
+def test_section_totals(pages):
+    """Stated totals beside sums: the first table adds up, the bosque's Total row doesn't, percentages are left out."""
+    rows = {(r["section"]["line_no"], r["figure"]): (r["stated"], r["summed"]) for r in harvest.section_totals(sections.in_sections(pages)).where("file = 'a.txt'").collect()}
+    assert rows[0, "bulls"] == (1152, 1152) and rows[0, "total_rec_days"] == (9800, 9800) and rows[0, "total_hunters"] == (2060, 2060)
+    bosque = [v for (_, figure), v in rows.items() if figure == "cows" and v[0] == 16]
+    assert bosque == [(16, 16)] and not any("pct" in figure for _, figure in rows)
+    assert rows[7, "antlered_harvest"] == (10, 10)
