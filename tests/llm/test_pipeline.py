@@ -53,6 +53,12 @@ def test_run_equals_its_stages(spark, folder):
     assert rows.count() > 100 and rows.columns[:3] == ["doc_id", "piece", "start"]
 
 
+def test_run_on_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_stage_names_and_queries():
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5 and corpus_pipeline.ORACLE_SQL is None
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11)) and rules.RULES
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14)) and rules.RULES
