@@ -142,6 +142,6 @@ def test_published_notices_and_harmless_sentences(spark):
 
 
 def test_long_runs_hold_distinct_pairs_only(spark):
-    """A notice repeated over 20,000 wrapped lines is one run of as many pairs as the notice has."""
-    text = "\n".join([textwrap.fill(BSD_TERMS, 30)] * 5000)
+    """A notice repeated over some 2,500 wrapped lines is one run of as many pairs as the notice has."""
+    text = "\n".join([textwrap.fill(BSD_TERMS, 30)] * 500)
     assert {f for _, f, confirmed in _families(spark, text) if confirmed} == {"bsd"}
