@@ -17,7 +17,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -111,6 +111,8 @@ UNKNOWN = "unknown"
 CONFIRM, RESEMBLES, ERRORS = 0.6, 0.4, 0.01
 #: Templates of fewer word pairs are names, which must stand whole.
 WHOLE = 5
+#: Weights and worths are summed as whole numbers of this fineness.
+WEIGHT, WORTH = 100_000, 1_000_000_000
 _SMALL = set("of and to in is it a an or at by for this that with on as be are any the".split())
 
 
@@ -242,16 +244,22 @@ def _constant(values, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
+def _rows(spark: SparkSession, values: list[dict], kind: str) -> DataFrame:
+    """A small table of the model's figures: its size hangs on the templates alone."""
+    return spark.range(1).select(F.inline(_constant(values, kind)))
+
+
 def find_licences(docs: DataFrame, model: Licences | None = None) -> DataFrame:
     """One row per paragraph (line or run of lines) that is or resembles a licence notice.
 
     doc_id, paragraph (its first line, from 0), family (unknown where it isn't confirmed), probability, template (number),
     containment, confirmed. Containment is the share of a template's word pairs that the paragraph holds, or their share
     with each pair weighed by the inverse of how many families use it, whichever is less (names of fewer than WHOLE pairs:
-    1 or 0); so what many licences say, and version numbers, confirm nothing. A paragraph is reported if it holds a pair that only one family uses, and some
-    template is contained by CONFIRM, or a family's probability passes the calibrated threshold and one of its templates is
-    contained by RESEMBLES. It is confirmed if the
-    probability passes, a template of that family is contained, and one of its pairs is that family's alone.
+    1 or 0); so what many licences say, and version numbers, confirm nothing. A paragraph is reported if it holds a pair
+    that only one family uses, and some template is contained by CONFIRM, or a family's probability passes the calibrated
+    threshold and one of its templates is contained by RESEMBLES. It is confirmed if the probability passes, a template of
+    that family is contained, and one of its pairs is that family's alone. Where the likeliest family has no template with
+    a pair in common, template is null and containment 0.
 
     Lines are a run where the word pair across their end is a template's; a confirmed run stands for its lines, save those
     that are confirmed alone for another family by a template that gains nothing from the run. Of a run that is not
@@ -261,13 +269,12 @@ def find_licences(docs: DataFrame, model: Licences | None = None) -> DataFrame:
     """
     model = model or trained()
     spark = docs.sparkSession
-    k, t = len(FAMILIES), len(TEMPLATES)
+    k = len(FAMILIES)
     entries = [{"pair": p, "id": i} for i, p in enumerate(model.vocabulary)]
     # pairs of small words tell nothing, but a notice may be wrapped between them
     small = sorted(set().union(*(pairs_of(text) for _, text in TEMPLATES)) - set(model.vocabulary))
     entries += [{"pair": p, "id": None} for p in small]
-    parsed = _constant(entries, "array<struct<pair:string,id:int>>")
-    table = spark.range(1).select(F.explode(parsed).alias("e")).select(F.xxhash64("e.pair").alias("pair"), "e.id")
+    table = _rows(spark, entries, "array<struct<pair:string,id:int>>").select(F.xxhash64("pair").alias("pair"), "id")
 
     text = F.split(F.regexp_replace(F.lower(F.col("text").cast("string")), "[0-9]+", "0"), "\n")
     following = F.zip_with(text, F.slice(text, 2, F.greatest(F.size(text), F.lit(1))), lambda a, b: F.struct(a.alias("own"), b.alias("next")))
@@ -303,55 +310,41 @@ def find_licences(docs: DataFrame, model: Licences | None = None) -> DataFrame:
     parts = grouped.select("doc_id", "row", "run", F.explode(F.when(F.col("n_lines") > 1, F.array(of_run, of_line)).otherwise(F.array(of_run))).alias("part"))
     parts = parts.select("doc_id", "row", "run", "part.alone", "part.paragraph", F.explode("part.ids").alias("id"))
     parts = parts.groupBy("row", "run", "alone", "paragraph").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_set("id")).alias("ids"))
-    owners = _constant([int(v) for v in model.owner], "array<int>")
-    parts = parts.where(F.exists("ids", lambda i: F.get(owners, i) >= 0))
-
-    # the entries of a paragraph's numbers: weights, the templates that hold the pair, and its worth
-    rows = [
-        {"id": i, "w": [round(float(v), 5) for v in w], "m": np.flatnonzero(m).tolist(), "s": 1 / max(int(s), 1)}
-        for i, (w, m, s) in enumerate(zip(model.weights, model.members, model.shared))
-    ]
-    parsed = _constant(rows, "array<struct<id:int,w:array<double>,m:array<int>,s:double>>")
-    entry = spark.range(1).select(F.explode(parsed).alias("e")).select("e.id", F.struct("e.id", "e.w", "e.m", "e.s").alias("e"))
-    each = parts.select("doc_id", "row", "run", "alone", "paragraph", F.explode("ids").alias("id")).join(F.broadcast(entry), "id")
-    parts = each.groupBy("row", "run", "alone", "paragraph").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_list("e")).alias("entries"))
-
-    def added(addend, start: Column) -> Column:
-        return F.aggregate("entries", start, lambda total, e: total + addend(e))
-
-    bias = _constant([float(b) for b in model.bias], "array<double>")
-    held = lambda addend: F.transform(F.sequence(F.lit(0), F.lit(t - 1)), lambda at: added(lambda e: F.when(F.array_contains(e["m"], at), addend(e)).otherwise(0.0), F.lit(0.0)))
-    scored = parts.select(
-        "doc_id", "row", "run", "alone", "paragraph", F.transform("entries", lambda e: e["id"]).alias("ids"),
-        F.aggregate("entries", bias, lambda total, e: F.zip_with(total, e["w"], lambda x, y: x + y)).alias("z"),
-        held(lambda e: F.lit(1.0)).alias("n"),
-        held(lambda e: e["s"]).alias("v"),
-    )
-    named = F.slice("z", 1, k - 1)
-    total = F.aggregate("z", F.lit(0.0), lambda x, z: x + F.exp(z - F.array_max("z")))
-    sizes = _constant([float(n) for n in model.members.sum(0)], "array<double>")
-    worths = _constant([float(n) for n in (model.members / np.maximum(model.shared, 1)[:, None]).sum(0)], "array<double>")
-    plain, weighed = F.zip_with("n", sizes, lambda n, size: n / size), F.zip_with("v", worths, lambda v, worth: v / worth)
-    template_family = _constant([f for f, _ in TEMPLATES], "array<string>")
-    of_templates = F.transform(
-        F.transform(plain, lambda share, i: F.when(F.get(sizes, i) < WHOLE, F.floor(share).cast("double")).otherwise(F.least(share, F.get(weighed, i)))),
-        lambda share, i: F.struct(share.alias("share"), i.alias("template"), F.get(template_family, i).alias("family")),
-    )
-    best = F.array_position(named, F.array_max(named)).cast("int")
-    found = scored.select(
-        "doc_id", "row", "run", "alone", "paragraph",
-        (F.exp(F.array_max(named) - F.array_max("z")) / total).alias("p"),
-        F.element_at(_constant(FAMILIES, "array<string>"), best).alias("likeliest"),
-        F.exists("ids", lambda i: F.get(owners, i) == best - 1).alias("named"),
-        of_templates.alias("all"),
-    )
-    found = found.withColumn("any", F.array_max("all")).withColumn("own", F.array_max(F.filter("all", lambda x: x["family"] == F.col("likeliest"))))
+    owned = [i for i, owner in enumerate(model.owner) if owner >= 0]
+    parts = parts.where(F.arrays_overlap("ids", _constant(owned, "array<int>")))
+
+    # what each number adds: to every family its weight, to each template that holds the pair its worth; whole numbers,
+    # so that the sums don't hang on their order
+    shared = np.maximum(model.shared, 1)
+    adds = []
+    for i, (w, held, n) in enumerate(zip(model.weights, model.members, shared)):
+        of_families = [{"slot": f, "adds": round(float(v) * WEIGHT), "own": int(model.owner[i] == f)} for f, v in enumerate(w)]
+        adds.append({"id": i, "slots": of_families + [{"slot": k + int(m), "adds": round(WORTH / int(n))} for m in np.flatnonzero(held)]})
+    worths = (model.members * np.rint(WORTH / shared).astype(int)[:, None]).sum(0)
+    slots = [{"slot": f, "family": f, "bias": float(v)} for f, v in enumerate(model.bias)]
+    slots += [{"slot": k + m, "template": m, "family": FAMILIES.index(f), "size": int(model.members[:, m].sum()), "worth": int(worths[m])} for m, (f, _) in enumerate(TEMPLATES)]
+    added = _rows(spark, adds, "array<struct<id:int,slots:array<struct<slot:int,adds:long,own:int>>>>")
+    known = _rows(spark, slots, "array<struct<slot:int,template:int,family:int,bias:double,size:int,worth:long>>")
+    # all within the partitions that the runs are in: sums by slot, of which there are as many as families and templates
+    part = ["row", "run", "alone", "paragraph"]
+    sums = parts.select(*part, "doc_id", F.explode("ids").alias("id")).join(F.broadcast(added), "id")
+    sums = sums.select(*part, "doc_id", F.explode("slots").alias("s")).groupBy(*part, F.col("s.slot").alias("slot"))
+    sums = sums.agg(F.min("doc_id").alias("doc_id"), F.sum("s.adds").alias("v"), F.sum("s.own").alias("own"), F.count(F.lit(1)).alias("n")).join(F.broadcast(known), "slot")
+    share = F.when(F.col("size") < WHOLE, (F.col("n") == F.col("size")).cast("double")).otherwise(F.least(F.col("n") / F.col("size"), F.col("v") / F.col("worth")))
+    of_family = F.when(F.col("template").isNull(), F.struct((F.col("v") / WEIGHT + F.col("bias")).alias("z"), (-F.col("family")).alias("family"), (F.col("own") > 0).alias("named")))
+    of_template = F.when(F.col("template").isNotNull(), F.struct(share.alias("share"), "template", "family"))
+    scored = sums.groupBy(*part).agg(F.min("doc_id").alias("doc_id"), F.collect_list(of_family).alias("z"), F.collect_list(of_template).alias("all"))
+    scored = scored.select("*", F.array_max(F.filter("z", lambda x: x["family"] > 1 - k)).alias("best"), F.array_max("z")["z"].alias("top"))
+    total = F.aggregate("z", F.lit(0.0), lambda x, z: x + F.exp(z["z"] - F.col("top")))
+    found = scored.select(*part, "doc_id", "all", (-F.col("best.family")).alias("likeliest"), "best.named", (F.exp(F.col("best.z") - F.col("top")) / total).alias("p"), F.array_max("all").alias("any"))
+    found = found.withColumn("own", F.array_max(F.filter("all", lambda x: x["family"] == F.col("likeliest"))))
     passes = F.col("p") >= model.threshold
-    found = found.where((passes & (F.col("own.share") >= RESEMBLES)) | (F.col("any.share") >= CONFIRM)).withColumn("confirmed", passes & (F.col("own.share") >= CONFIRM) & F.col("named"))
+    found = found.where((passes & (F.col("own.share") >= RESEMBLES)) | (F.col("any.share") >= CONFIRM))
+    found = found.withColumn("confirmed", passes & F.coalesce(F.col("own.share") >= CONFIRM, F.lit(False)) & F.col("named"))
     same_run = Window.partitionBy("row", "run")
     found = found.withColumn("whole", F.max(F.when(~F.col("alone") & F.col("confirmed"), F.struct(F.col("likeliest").alias("family"), "all"))).over(same_run))
     found = found.withColumn("of_lines", F.max("alone").over(same_run))
-    gains = F.get("whole.all", F.col("own.template"))["share"] > F.col("own.share")
+    gains = F.exists("whole.all", lambda x: (x["template"] == F.col("own.template")) & (x["share"] > F.col("own.share")))
     kept = (
         F.when(~F.col("alone"), F.col("confirmed") | ~F.col("of_lines"))
         .when(F.col("whole").isNull(), True)
@@ -360,9 +353,9 @@ def find_licences(docs: DataFrame, model: Licences | None = None) -> DataFrame:
     return found.where(kept).select(
         "doc_id",
         F.col("paragraph").cast("int").alias("paragraph"),
-        F.when(F.col("confirmed"), F.col("likeliest")).otherwise(UNKNOWN).alias("family"),
+        F.when(F.col("confirmed"), F.get(_constant(FAMILIES, "array<string>"), F.col("likeliest"))).otherwise(UNKNOWN).alias("family"),
         F.round("p", 6).alias("probability"),
         F.col("own.template").alias("template"),
-        F.round("own.share", 6).alias("containment"),
+        F.round(F.coalesce("own.share", F.lit(0.0)), 6).alias("containment"),
         "confirmed",
     )

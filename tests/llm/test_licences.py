@@ -142,6 +142,13 @@ def test_published_notices_and_harmless_sentences(spark):
 
 
 def test_long_runs_hold_distinct_pairs_only(spark):
-    """A notice repeated over some 2,500 wrapped lines is one run of as many pairs as the notice has."""
-    text = "\n".join([textwrap.fill(BSD_TERMS, 30)] * 500)
-    assert {f for _, f, confirmed in _families(spark, text) if confirmed} == {"bsd"}
+    """A notice repeated over some 25,000 wrapped lines: as many runs as repeats, each judged like the first."""
+    text = "\n".join([textwrap.fill(BSD_TERMS, 30)] * 5000)
+    found = _families(spark, text)
+    assert len(found) == 5000 and {(f, confirmed) for _, f, confirmed in found} == {("bsd", True)}
+
+
+def test_one_run_of_very_many_lines(spark):
+    """Each line's end and the next line's start are a pair of a template, so that all lines are one run."""
+    line = "software is provided as is, without warranty of any kind, express or implied. The"
+    assert _families(spark, "\n".join([line] * 25_000)) == _families(spark, "\n".join([line] * 3)) == [(0, "mit", True)]
