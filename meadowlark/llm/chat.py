@@ -181,7 +181,8 @@ def conversation_records(rows: DataFrame, varied: bool = False) -> DataFrame:
     """One JSON record per conversation, from rows by turn (ties by role and text).
 
     In the messages layout, or with ``varied`` in one of several by conv_id, as records from several sources come; the
-    turns that are read back are the same. A conversation's turns meet in one task, as its record does in the output; rows are never dropped.
+    turns that are read back are the same. A conversation's turns meet in one task, as its record does in the output; rows
+    are never dropped, and texts are taken whole, however long. Further columns and their names don't matter.
     """
     turn = F.struct(
         F.col("turn"),

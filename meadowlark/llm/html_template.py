@@ -280,7 +280,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points).
 
     A null html gives an empty text; a null url belongs to the host without a name; repeated rows are extracted each.
-    Whole pages are read, nothing is capped. Hosts with fewer than LEAST_PAGES pages have no template of their own.
+    Whole pages are read, nothing is capped. Hosts with fewer than LEAST_PAGES pages have no template of their own. Only
+    page_id, url and html are taken, so further columns and their names don't matter.
     """
     pages = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     made = durable(templates(pages.select("url", "html")))

@@ -565,9 +565,9 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, class_id, component_id.
 
     class_id is the smallest doc_id among the rows with an equal set (null if empty), component_id the smallest among all
-    rows that links reach. Rows without words have no shingles and form
-    components of their own; repeated rows and equal texts are one class; a null doc_id never names a component unless
-    all its members have none.
+    rows that links reach. Rows without words have no shingles and form components of their own; repeated rows and equal
+    texts are one class; a null doc_id never names a component unless all its members have none. Whole texts are taken,
+    however long; only doc_id and text are, so further columns and their names don't matter.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sized = durable(_sized(docs, k))

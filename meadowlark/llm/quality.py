@@ -108,7 +108,12 @@ def held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on a bounded sample of labelled rows outside the held-out part; one in four of them calibrates the scores."""
+    """Fits on a bounded sample of labelled rows outside the held-out part; one in four of them calibrates the scores.
+
+    A null label or key is no label, and of several labels of a key the greatest counts; repeated documents count each.
+    Without labels, or with one label only, the score is the same for all. Whole texts are measured, however long; only
+    the key, the text and the label are taken, so further columns and their names don't matter.
+    """
     ids = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     sample = (
         ids.groupBy(key).agg(F.max(label).cast("double").alias("__label"))
@@ -173,7 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """Per row: the key, held_out, score (0 to 1) and predicted; null and empty texts get a score like any other."""
+    """Per row: the key, held_out, score (0 to 1) and predicted; null and empty texts get a score like any other.
+
+    A null key is not held out; repeated rows are scored each. Whole texts are measured, however long; only the key and
+    the text are taken, so further columns and their names don't matter.
+    """
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -37,6 +37,47 @@ def test_fit_rows_bound(tables, monkeypatch):
     assert quality.fit(docs, labels, fit_rows=60).weights.shape == (quality.FEATURES + 1,)
 
 
+def _naive_isotonic(x, y):
+    """Levels by their min-max formula: the greatest over starts of the least over ends of the mean between."""
+    order = np.argsort(x, kind="stable")
+    x, y, n = x[order], y[order], len(x)
+    sums = np.concatenate([[0.0], np.cumsum(y)])
+    level = [max(min((sums[k + 1] - sums[j]) / (k + 1 - j) for k in range(i, n)) for j in range(i + 1)) for i in range(n)]
+    pools = np.flatnonzero(np.concatenate([[True], np.diff(level) > 1e-12]))
+    return np.array([p.mean() for p in np.split(x, pools[1:])]), np.array(level)[pools]
+
+
+def test_scores_equal_one_plain_fit(tables):
+    """The ridge as one least squares problem over all rows at once, and naive isotonic levels."""
+    docs, labels = tables
+    goal = {}
+    for r in labels.where("quality is not null").collect():
+        goal[r["doc_id"]] = max(r["quality"], goal.get(r["doc_id"], 0))
+    part = lambda i: zlib.crc32(str(i).encode()) // 4 % 4
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    learnt = [i for i in texts if i in goal and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert 100 < len(learnt) < quality.FIT_ROWS and all(i is not None for i in learnt)
+    stats = {i: quality.statistics(t) for i, t in texts.items()}
+    seen = np.array([stats[i] for i in learnt])
+    rng = np.random.default_rng(quality.SEED)
+    waves = rng.standard_normal((seen.shape[1], quality.FEATURES)) / np.sqrt(seen.shape[1])
+    phases = rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    scale = np.maximum(seen.std(0), 1e-6)
+
+    def features(ids):
+        x = np.clip((np.array([stats[i] for i in ids]) - seen.mean(0)) / scale, -6, 6)
+        return np.hstack([np.cos(x @ waves + phases) * np.sqrt(2 / quality.FEATURES), np.ones((len(x), 1))])
+
+    fitted, calibrated = [i for i in learnt if part(i) != 3], [i for i in learnt if part(i) == 3]
+    ridge = np.sqrt(quality.RIDGE * len(fitted) / quality.FEATURES) * np.eye(quality.FEATURES + 1)
+    target = np.concatenate([[goal[i] for i in fitted], np.zeros(quality.FEATURES + 1)])
+    weights = np.linalg.lstsq(np.vstack([features(fitted), ridge]), target, rcond=None)[0]
+    knots, levels = _naive_isotonic(features(calibrated) @ weights, np.array([float(goal[i]) for i in calibrated]))
+    expected = dict(zip(texts, np.clip(np.interp(features(texts) @ weights, knots, levels), 0, 1)))
+    for r in quality.scored(docs, quality.fit(docs, labels)).collect():
+        assert abs(r["score"] - expected[r["doc_id"]]) < 1e-5, r["doc_id"]
+
+
 def test_isotonic_never_falls():
     rng = np.random.default_rng(2)
     x = rng.uniform(0, 1, 400)
