@@ -4,8 +4,8 @@ Quality classifier, n-gram Jaccard join, benchmark decontamination, secret scans
 (spark, docs, sf_dir); all but the last return the columns of ``docs``, extra ones included.
 
 A null or empty text is judged by the classifier like any other, and is neither a copy, a leak nor a secret. Of equal and
-near texts the row with the smallest doc_id stays, so of repeated rows one; rows without a doc_id stay. Texts are taken whole, however long. Empty
-tables give an empty result.
+near texts the row with the smallest doc_id stays, so of repeated rows one; rows without a doc_id stay. Texts are taken
+whole, however long. Empty tables give an empty result.
 """
 
 from __future__ import annotations
