@@ -132,6 +132,17 @@ def test_split_middle(spark, middle, expected):
     assert tuple(spark.range(1).select(population.split_middle(F.lit(middle)).alias("m")).first()["m"]) == expected
 
 
+def test_split_middle_of_a_long_list(spark):
+    """Thousands of units in a row are one list, and one that a name ends is none."""
+    many = ", ".join(map(str, range(1, 20_001)))
+    texts = [f"Herd 7 {many}", f"{many} Herd", f"Herd5{many}", "A 1 2,3", "A 1,2 ,3", "1,  2,3 ", "12, x 3,"]
+    found = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").select("k", population.split_middle(F.col("x")).alias("m")).orderBy("k").collect()
+    numbers = list(range(1, 20_001))
+    assert [tuple(r["m"]) for r in found] == [
+        ("Herd 7", numbers), (f"{many} Herd", []), ("Herd", [51, *numbers[1:]]), ("A 1", [2, 3]), ("A 1,2 ,", [3]), (None, [1, 2, 3]), ("12, x 3,", []),
+    ]
+
+
 def test_population_totals_and_mismatches(spark):
     text = "2023 POST HUNT\n2 3, 4 100\nTotal Statewide Estimate 290\ntotal statewide estimate 150"
     named = spark.createDataFrame([("x/2019/p.txt", 0, 0, "2 3, 4 100"), ("q.txt", 1, 0, text), ("e.txt", 2, 0, None), ("n.txt", 3, 0, "2 3 4")], PAGE)
