@@ -50,22 +50,25 @@ def running_totals(records: DataFrame, value: str, keys: Sequence[str] = ("gmu",
     per_year = records.groupingSets([[unit, *rest, "year"], [*rest, "year"]], *keys, "year").agg(F.sum(value).alias("__v"))
     summed = written(per_year)
     span = summed.agg(F.min("year").alias("a"), F.max("year").alias("b"))
-    spine = summed.select(*keys).distinct().join(F.broadcast(span)).select(*keys, F.explode(F.sequence(F.col("a") - 1, F.col("b"))).alias("year"))  # span is one row
-    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"v.{c}")) for c in (*keys, "year")]
-    filled = spine.alias("k").join(summed.alias("v"), same, "left").select(*[F.col(f"k.{c}").alias(c) for c in (*keys, "year")], "__v")
+    # a key's years come together once, as one short map; nothing is joined by key, so no table of keys is ever broadcast
+    entry = F.when(F.col("year").isNotNull(), F.struct("year", "__v"))
+    by_key = summed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("__by_year"))
+    spine = by_key.join(F.broadcast(span)).select(*keys, "__by_year", F.explode(F.sequence(F.col("a") - 1, F.col("b"))).alias("year"))  # span is one row
+    filled = spine.select(*keys, "year", F.try_element_at("__by_year", F.col("year")).alias("__v"))
     so_far = Window.partitionBy(*keys).orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
     return filled.select(*keys, "year", F.coalesce(F.sum("__v").over(so_far), F.lit(0)).alias("total"), F.count("__v").over(so_far).alias("years"))
 
 
 def means_over(totals: DataFrame, years: int, keys: Sequence[str] = ("gmu", "section_method", "section_season")) -> DataFrame:
     """(keys, year, mean): means over the ``years`` up to each year, over the years that are there, from
-    :func:`running_totals`; none where no year is there."""
-    first = totals.agg(F.min("year").alias("__first"))
-    before = totals.select(*[F.col(c).alias(f"__{c}") for c in keys], (F.col("year") + years).alias("__year"), F.col("total").alias("__total"), F.col("years").alias("__years"))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, "year")]
-    both = totals.join(before, same, "left").join(F.broadcast(first)).where(F.col("year") > F.col("__first"))  # one row
-    n = F.col("years") - F.coalesce("__years", F.lit(0))
-    return both.where(n > 0).select(*keys, "year", ((F.col("total") - F.coalesce("__total", F.lit(0))) / n).alias("mean"))
+    :func:`running_totals`; none where no year is there.
+
+    A key has a row for every year, so the totals to take off stand ``years`` rows before, in a window over a key's years.
+    """
+    by_year = Window.partitionBy(*keys).orderBy("year")
+    before = lambda c: F.coalesce(F.lag(c, years).over(by_year), F.lit(0))
+    both = totals.select(*keys, "year", F.lag("year").over(by_year).isNull().alias("__first"), (F.col("total") - before("total")).alias("__v"), (F.col("years") - before("years")).alias("__n"))
+    return both.where(~F.col("__first") & (F.col("__n") > 0)).select(*keys, "year", (F.col("__v") / F.col("__n")).alias("mean"))
 
 
 def trailing_mean(df: DataFrame, keys: Sequence[str], year: str, value: str, years: int) -> DataFrame:

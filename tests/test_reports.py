@@ -251,3 +251,16 @@ def test_section_totals(pages):
     bosque = [v for (_, figure), v in rows.items() if figure == "cows" and v[0] == 16]
     assert bosque == [(16, 16)] and not any("pct" in figure for _, figure in rows)
     assert rows[7, "antlered_harvest"] == (10, 10)
+
+
+def test_running_totals_broadcast_no_table_of_keys(spark):
+    """Keys are as many as the units, so neither step joins by them, whatever size the files of the totals seem to have."""
+    rows = spark.createDataFrame([(1, "a", 2001, 4), (1, "a", 2004, 6), (2, "b", 2002, 5), (3, "b", None, 7)], "gmu long, m string, year long, v long")
+    totals = trends.running_totals(rows, "v", ["gmu", "m"])
+    means = trends.means_over(totals, 3, ["gmu", "m"])
+    for df in (totals, means):
+        assert "LeftOuter" not in df._jdf.queryExecution().toString()
+    assert {(r["gmu"], r["year"], r["mean"]) for r in means.where("gmu IS NOT NULL").collect()} == {
+        (1, 2001, 4.0), (1, 2002, 4.0), (1, 2003, 4.0), (1, 2004, 6.0), (2, 2002, 5.0), (2, 2003, 5.0), (2, 2004, 5.0),
+    }
+    assert totals.where("gmu = 3").count() == 5
