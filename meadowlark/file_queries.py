@@ -204,13 +204,15 @@ def written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, p = _reports(spark, sf_dir)
     folder = _folder(spark, "documents")
     done = reports.write_documents(serving.combine(h, p), folder, "2024-01-01", "Colorado", "tables")
-    files = json_files.read_variants(spark, f"{folder}/*.json").withColumn("document", F.regexp_extract("file", r"([^/]+)\.json$", 1))
-    meta = lambda name, kind="bigint": F.try_variant_get("body", f"$.metadata.{name}", kind)
+    found = json_files.read_items(spark, f"{folder}/*.json").withColumn("document", F.regexp_extract("file", r"([^/]+)\.json$", 1))
+    meta = lambda name, kind="bigint": F.try_variant_get("meta", f"$.{name}", kind)
     names = ("harvest", "dau_harvest_summary", "population", "dau_definitions")
-    size = lambda at: F.size(F.try_variant_get("body", at, "array<variant>")).cast("bigint")
-    read = files.select(
+    whole_item = F.try_parse_json("value").isNotNull()
+    size = lambda path: F.count(F.when((F.col("path") == path) & whole_item, 1)).alias(f"__{path}")
+    files = found.groupBy("document").agg(F.max(F.when(F.col("path") == "metadata", F.col("value"))).alias("meta"), size("harvest"), size("population"))
+    read = files.withColumn("meta", F.parse_json("meta")).select(
         F.regexp_replace("document", "_pretty$", "").alias("document"), *[meta(f"record_counts.{n}").alias(n) for n in names], meta("note", "string").alias("note"),
-        size("$.harvest").alias("__harvest"), size("$.population").alias("__population"),
+        "__harvest", "__population",
     )
     seen = F.create_map(*[F.lit(x) for pair in done.counts.items() for x in pair])
     right = (F.col("harvest") == F.col("__harvest")) & (F.col("population") == F.col("__population"))
@@ -231,17 +233,20 @@ def master_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, p = _reports(spark, sf_dir)
     folder = _folder(spark, "masters")
     paths = [sinks.document(pieces, f"{folder}/{name}.json").path for name, pieces in (("h", sinks.harvest_master(h)), ("p", sinks.population_master(p)))]
-    first, second = (json_files.read_variants(spark, path).select("body") for path in paths)
-    text = lambda path: F.try_variant_get("value", path, "string")
-    records = json_files.exploded(second, "$.population_records").select(text("$.dau").alias("item"), F.col("pos").cast("bigint").alias("pos"))
-    mapped = json_files.exploded(second, "$.dau_gmu_mappings").select(text("$.dau").alias("item"), F.size(F.try_variant_get("value", "$.gmus", "array<bigint>")).cast("bigint").alias("figure"))
-    whole = F.try_variant_get("value", "$", "bigint")
-    count = lambda name, path: first.select(F.lit("harvest").alias("document"), F.lit(name).alias("item"), F.lit(0).cast("bigint").alias("pos"), F.size(F.try_variant_get("body", path, "array<variant>")).cast("bigint").alias("figure"))
+    first, second = (json_files.read_items(spark, path) for path in paths)
+    body = F.parse_json("value")
+    text = lambda path: F.try_variant_get(body, path, "string")
+    ordered = json_files.numbered(second.where("path <> 'dau_gmu_mappings'"))
+    records = ordered.where("path = 'population_records'").select(text("$.dau").alias("item"), "pos")
+    mapped = second.where("path = 'dau_gmu_mappings'").select(text("$.dau").alias("item"), F.size(F.try_variant_get(body, "$.gmus", "array<bigint>")).cast("bigint").alias("figure"))
+    whole = F.col("value").cast("bigint")
+    years = json_files.numbered(first.where("path = 'years'"))
+    count = lambda name, path: first.agg(F.count(F.when((F.col("path") == path) & F.try_parse_json("value").isNotNull(), 1)).alias("figure")).select(F.lit("harvest").alias("document"), F.lit(name).alias("item"), F.lit(0).cast("bigint").alias("pos"), "figure")
     return (
         records.join(mapped, "item", "left").select(F.lit("population").alias("document"), "item", "pos", F.coalesce("figure", F.lit(0)).alias("figure"))
-        .unionByName(json_files.exploded(second, "$.statewide_totals").select(F.lit("totals").alias("document"), F.col("key").alias("item"), F.col("pos").cast("bigint").alias("pos"), whole.alias("figure")))
-        .unionByName(json_files.exploded(first, "$.years").select(F.lit("years").alias("document"), whole.cast("string").alias("item"), F.col("pos").cast("bigint").alias("pos"), whole.alias("figure")))
-        .unionByName(count("records", "$.harvest_records")).unionByName(count("dau", "$.dau_records"))
+        .unionByName(ordered.where("path = 'statewide_totals'").select(F.lit("totals").alias("document"), F.col("key").alias("item"), "pos", whole.alias("figure")))
+        .unionByName(years.select(F.lit("years").alias("document"), F.col("value").alias("item"), "pos", whole.alias("figure")))
+        .unionByName(count("records", "harvest_records")).unionByName(count("dau", "dau_records"))
     )
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowlark.operators.harvest import COUNTS, HARVEST_COLUMNS, UNIT_COLUMNS
+from meadowlark.operators.trends import ranked
 from meadowlark.sources.pages import with_file_order
+from meadowlark.tables import written
 
 _TEXT = {"species", "section_method", "section_season", "section_license_type", "table_type", "section_title", "dau"}
 _DOUBLE = {"pct_success", "sample_rate", "response_rate"}
@@ -81,6 +83,54 @@ def read_variants(spark: SparkSession, glob: str) -> DataFrame:
     return with_file_order(files).select("file", "file_ord", "body")
 
 
+#: Lines of the sinks that open or close lists and objects; every other line is one item.
+_STRUCTURE = r"^$|[{\[:,]$|^[\]}]+$"
+#: A closed list or object, with the commas that its items have left.
+_CLOSED = r'"[^"]*":(?:\[,*\]|\{,*\})'
+
+
+def read_items(spark: SparkSession, glob: str) -> DataFrame:
+    """(file, path, at, led, key, value): each item of the documents that :mod:`~meadowlark.sources.sinks` writes, as text.
+
+    The sinks put each item on a line of its own, so a document is read as lines, by many tasks, and none holds it whole.
+    path: the keys of the list or object that an item stands in, with dots between them; an item without a key that is a
+    value by itself has the path of its key. at: its order in the document. led: whether a comma stands before it. key: an
+    object's key, else null. Lines are written once, as their order is that of the read. A document that doesn't close
+    what it opens is an error, one without items gives no row.
+    """
+    if not exists(spark, glob):
+        return spark.createDataFrame([], "file string, path string, at struct<block:long,line:long>, led boolean, key string, value string")
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = written(spark.read.text(glob).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.trim("value").alias("text")))
+    is_item = ~F.col("text").rlike(_STRUCTURE)
+    opened = lambda text: F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _CLOSED, ""), _CLOSED, ""), _CLOSED, "")
+    # a document has a few such lines; what is open after each of them is the text so far without what is closed
+    structure = lines.where(~is_item).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("s"))
+    fold = lambda so_far, x: F.concat(so_far, F.array(F.struct(x["at"].alias("at"), opened(F.concat(F.coalesce(F.try_element_at(so_far, F.lit(-1))["open"], F.lit("")), x["text"])).alias("open"))))
+    none = F.array().cast("array<struct<at:struct<block:bigint,line:bigint>,open:string>>")
+    structure = structure.select("file", F.aggregate("s", none, fold).alias("s"))
+    closed = F.element_at("s", -1)["open"].rlike(r'^(?:\{[^{}\[\]]*\}|\[,*\])$')
+    structure = structure.select("file", F.when(closed, F.col("s")).otherwise(F.raise_error(F.concat(F.lit("not whole: "), F.col("file")))).alias("s"))
+    open_keys = lambda text: F.array_join(F.regexp_extract_all(text, F.lit(r'"([^"]*)":(?=[\[{]|$)'), 1), ".")
+    structure = structure.select("file", F.transform("s", lambda x: F.struct(x["at"].alias("at"), open_keys(x["open"]).alias("path"), x["open"].endswith("{").alias("keyed"))).alias("s"))
+    body = F.regexp_replace("text", "^,", "")
+    pair = r'^"((?:[^"\\\\]|\\\\.)*)":'
+    here = F.element_at(F.filter("s", lambda x: x["at"] < F.col("at")), -1)
+    placed = lines.where(is_item).join(F.broadcast(structure), "file").select("file", "at", F.col("text").startswith(",").alias("led"), body.alias("body"), here.alias("h"))  # a row per document
+    return placed.select(
+        "file", F.col("h.path").alias("path"), "at", "led",
+        F.when(F.col("h.keyed"), F.regexp_extract("body", pair, 1)).alias("key"),
+        F.when(F.col("h.keyed"), F.regexp_replace("body", pair, "")).otherwise(F.col("body")).alias("value"),
+    )
+
+
+def numbered(items: DataFrame) -> DataFrame:
+    """Items of one document with ``pos``, their place in their list or object from 0, ranked over range partitions."""
+    order = ranked(items, ["path", "at"])
+    first = order.groupBy("path").agg(F.min("__rank").alias("__first"))
+    return order.join(F.broadcast(first), "path").withColumn("pos", F.col("__rank") - F.col("__first")).drop("__rank", "__first", "__all")  # a row per list
+
+
 def per_year(files: DataFrame) -> DataFrame:
     """Variants that have a year, with it; others, such as combined documents, go."""
     year = F.try_variant_get("body", "$.year", "bigint")

@@ -38,3 +38,28 @@ def test_json_files_masters_and_the_way_back(spark, tmp_path):
     tables = reports.combined_files(spark, f"{tmp_path}/h/*.json", f"{tmp_path}/p/*.json")
     assert tables.harvest.count() == h.records.count() and tables.population.count() == p.records.count() and tables.unit_summary.count() == h.unit_records.count()
     assert sorted(map(tuple, tables.population_trend.collect())) == sorted((r["year"], r["statewide_total"]) for r in p.totals.collect())
+
+
+def test_documents_are_read_by_lines(spark, tmp_path):
+    """Items of a document that several tasks read, whatever its size, with their places; half a document is an error."""
+    import pytest
+
+    from meadowlark.sources import json_files
+
+    h = harvest.parse_reports(report_queries.harvest_pages(spark, DATA).where("page_no = 3 OR page_no = 4"))
+    path = sinks.document(sinks.harvest_master(h), f"{tmp_path}/h.json").path
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 1
+        found = json_files.numbered(json_files.read_items(spark, path)).collect()
+        Path(tmp_path, "half.json").write_text(Path(path).read_text()[:5000])
+        with pytest.raises(Exception, match="not whole"):
+            json_files.read_items(spark, f"{tmp_path}/half.json").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = json.loads(Path(path).read_text())
+    for name in ("years", "harvest_records", "dau_records"):
+        rows = sorted((r for r in found if r["path"] == name), key=lambda r: r["pos"])
+        assert [r["pos"] for r in rows] == list(range(len(rows))) and [r["led"] for r in rows] == [k > 0 for k in range(len(rows))]
+        assert [json.loads(r["value"]) for r in rows] == whole[name]
