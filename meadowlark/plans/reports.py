@@ -28,11 +28,14 @@ def combined_tables(harvest_pages: DataFrame, population_pages: DataFrame) -> se
 
 def combined_files(spark: SparkSession, harvest_glob: str, population_glob: str) -> serving.Combined:
     """The combined tables from per-year JSON files instead of page text; files without a year are left out."""
-    h, p = json_files.read_reports(spark, harvest_glob, population_glob)
-    totals = p.select("file", "file_ord", "year", "species", F.coalesce("statewide_total", F.lit(0).cast("bigint")).alias("statewide_total"))
-    none = spark.createDataFrame([], "file string")
-    harvest_report = harvest.Report(h.select("file", "file_ord", "year"), json_files.harvest_records(h).withColumn("section", F.lit(None)), json_files.unit_records(h).withColumn("section", F.lit(None)), none, none)
-    return serving.combine(harvest_report, population.Report(json_files.population_records(p), totals, none))
+    if not json_files.exists(spark, harvest_glob) and not json_files.exists(spark, population_glob):
+        raise FileNotFoundError(f"no reports at {harvest_glob} or {population_glob}")
+    h, p = json_files.read_items_of(spark, harvest_glob, json_files.HARVEST_FILE), json_files.read_items_of(spark, population_glob, json_files.POPULATION_FILE)
+    totals = p.files.select("file", "file_ord", "year", "species", F.coalesce("statewide_total", F.lit(0).cast("bigint")).alias("statewide_total"))
+    none, no_section = spark.createDataFrame([], "file string"), F.lit(None)
+    records, units = json_files.with_counts(json_files.records_of(h, "harvest_records")), json_files.records_of(h, "dau_records")
+    harvest_report = harvest.Report(h.files.select("file", "file_ord", "year"), records.withColumn("section", no_section), units.withColumn("section", no_section), none, none)
+    return serving.combine(harvest_report, population.Report(json_files.records_of(p, "records"), totals, none))
 
 
 def documents(tables: serving.Combined, generated: str, state: str, source: str) -> Documents:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +61,13 @@ def _exploded(files: DataFrame, column: str) -> DataFrame:
     return keys.select("file", "file_ord", F.lit(0).alias("page_no"), "line_no", "r.*")
 
 
+def with_counts(records: DataFrame) -> DataFrame:
+    return records.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in COUNTS})
+
+
 def harvest_records(files: DataFrame) -> DataFrame:
     """All files' harvest records in order; counts that a file leaves out are 0."""
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in COUNTS}
-    return _exploded(files, "harvest_records").withColumns(zero)
+    return with_counts(_exploded(files, "harvest_records"))
 
 
 def unit_records(files: DataFrame) -> DataFrame:
@@ -72,6 +78,95 @@ def population_records(files: DataFrame) -> DataFrame:
     return _exploded(files, "records")
 
 
+# ---- indented files of any length -----------------------------------------------------------------------------------
+
+#: What stands before each item of a list in a file that is indented by two, and what closes an item.
+_OPENS, _CLOSES = "\n    {\n", "\n    }"
+
+
+class Reports(NamedTuple):
+    """Per-year files, read: ``files`` (file, file_ord and their fields, no lists), ``items`` (file, page_no, line_no, list,
+    value as text) of indented files and, in ``whole``, other files as rows with lists."""
+
+    files: DataFrame
+    items: DataFrame
+    whole: DataFrame
+
+
+def _paths(spark: SparkSession, glob: str) -> tuple[list[str], list[str]]:
+    """The paths that ``glob`` names, in patterns' own spelling: those whose first bytes are indented by two, and the others."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: tuple[list[str], list[str]] = [], []
+    for status in store.globStatus(hadoop) or ():
+        stream = store.open(status.getPath()) if status.isFile() else None
+        head = [stream.read() for _ in range(5)] if stream else []
+        if stream:
+            stream.close()
+        found[bytes(max(b, 0) for b in head) != b'{\n  "'].append(re.sub(r"([\[\]{}*?\\])", r"\\\1", status.getPath().toString()))
+    return found
+
+
+def _whole(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Files with a year, each read by one task; those without one are told by it alone."""
+    name = F.col("_metadata.file_path")
+    if paths:
+        dated = spark.read.schema("year bigint").json(paths, multiLine=True).where("year IS NOT NULL").select(name.alias("file"))
+        paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["file"]) for r in dated.collect()]  # a row per file
+    if not paths:
+        return spark.createDataFrame([], f"{schema}, file string")
+    return spark.read.schema(schema).json(paths, multiLine=True).withColumn("file", name)
+
+
+def read_items_of(spark: SparkSession, glob: str, schema: str) -> Reports:
+    """Files of the given schema by items, so no row holds a file's list, and many tasks read each file.
+
+    Indented files (as :func:`~meadowlark.sources.sinks.year_json` writes them) are split before the items of their lists;
+    in JSON such a line end stands in no string. What is left without the items is each file's own fields, its lists
+    empty. A file that isn't laid out so all through is read whole; files without a year are left out. An item's place is
+    the block of its file (page_no) and its number within it.
+    """
+    indented, others = _paths(spark, glob)
+    fields = "file string, page_no long, line_no long, list string, value string"
+    lists = [f.name for f in spark.createDataFrame([], schema).schema if f.dataType.typeName() == "array"]
+    own = [c for c in spark.createDataFrame([], schema).columns if c not in lists]
+    if not indented:
+        whole = with_file_order(_whole(spark, others, schema))
+        return Reports(whole.select("file", "file_ord", *own), spark.createDataFrame([], fields), whole)
+    first = (F.col("_metadata.file_block_start") == 0) & F.col("value").startswith("{\n  \"")
+    chunks = spark.read.text(indented, lineSep=_OPENS).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("page_no"), F.monotonically_increasing_id().alias("line_no"),
+        first.alias("is_head"), F.substring_index("value", _CLOSES, 1).alias("body"), "value",
+    )
+    rest = F.when(F.col("is_head"), F.col("value")).otherwise(F.substring("value", F.length("body") + F.lit(len(_CLOSES) + 1), F.length("value")))
+    item = F.when(~F.col("is_head"), F.concat(F.lit("{"), "body", F.lit("}")))
+    chunks = written(chunks.select("file", "page_no", "line_no", "is_head", rest.alias("rest"), item.alias("value")))
+    at = F.struct("page_no", "line_no")
+    is_right = F.col("is_head") | (F.try_parse_json("value").isNotNull() & ((F.col("rest") == ",") | F.col("rest").startswith("\n  ]")))
+    # a row per report: all of its text but items and the commas between them, with the places where lists open
+    frame = chunks.groupBy("file").agg(F.bool_and(is_right).alias("right"), F.array_sort(F.collect_list(F.when(F.col("rest") != ",", F.struct(at.alias("at"), "rest")))).alias("s"))
+    text = F.array_join(F.transform("s", lambda x: x["rest"]), "")
+    frame = written(frame.select("file", (F.col("right") & F.try_parse_json(text).isNotNull()).alias("right"), text.alias("text"), "s"))
+    wrong = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["file"]) for r in frame.where("NOT coalesce(right, false)").select("file").collect()]
+    whole = _whole(spark, others + wrong, schema)
+    heads = frame.where("right").select("file", F.from_json("text", schema).alias("r")).select("file", *[f"r.{c}" for c in own]).where("year IS NOT NULL")
+    files = with_file_order(heads.unionByName(whole.select("file", *own)))
+    opened = F.transform("s", lambda x: F.struct(x["at"].alias("at"), F.regexp_extract(x["rest"], r'"([^"]*)": \[$', 1).alias("list")))
+    places = frame.join(heads.select("file"), "file").select("file", opened.alias("s"))
+    name = F.element_at(F.filter("s", lambda x: x["at"] < F.struct("page_no", "line_no")), -1)["list"]
+    items = chunks.where("NOT is_head").join(F.broadcast(places), "file").select("file", "page_no", "line_no", name.alias("list"), "value")
+    return Reports(files, items, whole.join(files.select("file", "file_ord"), "file"))
+
+
+def records_of(found: Reports, name: str) -> DataFrame:
+    """The records of all files' lists of that name, with file, file_ord, page_no and line_no."""
+    kind = found.whole.schema[name].dataType.elementType
+    parsed = found.items.where(F.col("list") == name).join(found.files.select("file", "file_ord"), "file")
+    parsed = parsed.select("file", "file_ord", "page_no", "line_no", F.from_json("value", kind).alias("r")).select("file", "file_ord", "page_no", "line_no", "r.*")
+    rows = _exploded(found.whole, name)
+    return parsed.unionByName(rows.withColumns({c: F.col(c).cast("bigint") for c in ("page_no", "line_no")}))
+
+
 # ---- files as variants: no fixed schema, absent and null kept apart --------------------------------------------------
 
 

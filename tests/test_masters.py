@@ -63,3 +63,30 @@ def test_documents_are_read_by_lines(spark, tmp_path):
         rows = sorted((r for r in found if r["path"] == name), key=lambda r: r["pos"])
         assert [r["pos"] for r in rows] == list(range(len(rows))) and [r["led"] for r in rows] == [k > 0 for k in range(len(rows))]
         assert [json.loads(r["value"]) for r in rows] == whole[name]
+
+
+def test_year_files_are_written_and_read_by_items(spark, tmp_path):
+    """No row holds a report's list: each item is a piece, several tasks read a file, and its bytes are those of one dump."""
+    from meadowlark.sources import json_files
+
+    h = harvest.parse_reports(report_queries.harvest_pages(spark, DATA))
+    pieces = sinks.harvest_files(h).collect()
+    assert len(pieces) > h.records.count() and max(len(r["piece"]) for r in pieces) < 1000
+    sinks.year_json(sinks.harvest_files(h), f"{tmp_path}/h", "harvest")
+    for path in Path(tmp_path, "h").iterdir():
+        assert path.read_text() == json.dumps(json.loads(path.read_text()), indent=2)
+    expected = [(f, k, r["gmu"]) for f, path in enumerate(sorted(Path(tmp_path, "h").iterdir())) for k, r in enumerate(json.loads(path.read_text())["harvest_records"])]
+    first = sorted(Path(tmp_path, "h").iterdir())[0]
+    first.write_text(json.dumps(json.loads(first.read_text())))  # not indented: read whole
+    Path(tmp_path, "h", "x.json").write_text('{\n  "harvest_records": [\n    {\n      "year": 2000\n    }\n  ]\n}')  # no year
+    Path(tmp_path, "h", "y.json").write_text('{\n  "year": 2031,\n  "a": {"b": [\n    {\n      "c": 1\n    }\n  ]}, "harvest_records": [{"gmu": 7},\n    {\n      "gmu": 8\n    }\n  ]\n}')  # indented in parts
+    expected += [(7, 0, 7), (7, 1, 8)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found = json_files.read_items_of(spark, f"{tmp_path}/h/*.json", json_files.HARVEST_FILE)
+        rows = json_files.records_of(found, "harvest_records").orderBy("file_ord", "page_no", "line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["file_ord"], r["gmu"]) for r in rows] == [(f, gmu) for f, _, gmu in expected]
+    assert len({r["page_no"] for r in rows}) > 1 and {r["sections_parsed"] for r in found.files.collect()} == {4, None}
