@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meadowlark.functions.patterns import (
     BY_SEASON, BY_SEASON_UNIT, HARVEST_ROW, HARVEST_TOTAL, SEASON_ROW, SUCCESS_ROW, SUCCESS_TOTAL, UNIT_ROW,
 )
-from meadowlark.functions.text import WS, tried_int, unit_id
+from meadowlark.functions.text import _SPACES, WS, tried_int, unit_id
 from meadowlark.operators.sections import in_sections, page_outlines, years_of
 from meadowlark.tables import written
 
@@ -40,7 +40,8 @@ class Report(NamedTuple):
 
 
 #: Only lines with such a part can hold a figure that has a row's shape and is no number: too long, or with odd points.
-SUSPECT = r"[\d,]{16}|\.[\d%]*\.|(?:^|\s)\.%?(?:\s|$)"
+LONG = r"[\d,]{16}"
+SUSPECT = rf"{LONG}|\.[\d%]*\.|(?:^|\s)\.%?(?:\s|$)"
 
 
 def with_rows(sections: DataFrame) -> DataFrame:
@@ -55,23 +56,31 @@ def with_rows(sections: DataFrame) -> DataFrame:
         .when((table == "bosque") & line.rlike(SEASON_ROW), "season")
         .when((table == "bosque") & line.rlike(HARVEST_ROW), "bosque")
     )
-    season = F.regexp_extract(line, f"^({'|'.join(BY_SEASON)}){WS}", 1)
-    words = F.split(line, f"{WS}+")
-    label = F.when(F.col("row") == "season", season).otherwise(F.get(words, F.lit(0)))
-    label_words = F.size(F.split("label", " "))
-    plain = lambda x: F.translate(x, ",%", "")  # noqa: E731  the shapes let no other sign through
+    season = F.col("row") == "season"
+    # one pass brings all white space to plain spaces and drops the signs that the shapes let through in figures
+    even = F.translate(line, _SPACES + ",%", " " * len(_SPACES))
+    label = F.when(season, F.regexp_extract(line, f"^({'|'.join(BY_SEASON)}){WS}", 1)).otherwise(F.substring_index("even", " ", 1))
+    label_words = F.when(season, F.size(F.split("label", " "))).otherwise(1)
+    after = lambda words: F.slice(words, label_words + 1, F.greatest(F.size(words) - label_words, F.lit(0)))
+    fields = after(F.split(line, f"{WS}+"))
+    plain = lambda x: F.translate(x, ",%", "")
     count = lambda x: F.when(plain(x) == "", F.lit(0).cast("bigint")).otherwise(plain(x).try_cast("bigint"))
     no_number = lambda x: (plain(x) != "") & plain(x).try_cast("double").isNull() | (~x.rlike(r"[.%]") & count(x).isNull())
-    rates = F.array(*[plain(F.get("fields", F.lit(k))).try_cast("double") for k, c in enumerate(UNIT_COLUMNS[3:]) if c in _DOUBLES])
+    # figures of signs alone leave gaps, as do runs of white space: only such lines are taken field by field
+    gaps = F.col("even").contains("  ") | F.col("even").endswith(" ")
+    rates = F.array(*[F.get("fields", F.lit(k)).try_cast("double") for k, c in enumerate(UNIT_COLUMNS[3:]) if c in _DOUBLES])
+    suspect = (line.contains(".") & line.rlike(SUSPECT)) | line.rlike(LONG)
     return (
         sections.withColumn("row", row.cast("string"))
         .withColumn("is_record", F.col("row").isNotNull())
+        .withColumn("even", F.when(F.col("is_record"), even))
         .withColumn("label", F.when(F.col("is_record"), label))
-        .withColumn("fields", F.when(F.col("is_record"), F.slice(words, label_words + 1, F.greatest(F.size(words) - label_words, F.lit(0)))))
-        .withColumn("counts", F.transform("fields", count))
+        .withColumn("words", F.when(~gaps, F.split("even", " ")))
+        .withColumn("fields", F.when(gaps, F.transform(fields, plain)).otherwise(after(F.col("words"))))
+        .withColumn("counts", F.when(gaps, F.transform(fields, count)).otherwise(F.col("fields").try_cast("array<bigint>")))
         .withColumn("rates", F.when(F.col("row") == "unit", rates))
-        .withColumn("is_bad", F.when(F.col("is_record") & line.rlike(SUSPECT), F.exists("fields", no_number)).otherwise(False))
-        .drop("fields")
+        .withColumn("is_bad", F.when(F.col("is_record") & suspect, F.exists(fields, no_number)).otherwise(False))
+        .drop("even", "words", "fields")
     )
 
 
@@ -118,7 +127,8 @@ def parse_reports(pages: DataFrame, species: str = "elk") -> Report:
     """
     outlines = written(page_outlines(pages))
     parsed = with_rows(in_sections(pages, outlines))
-    all_rows = written(parsed.where("is_record OR is_title").drop("line"))
+    # all lines are written, as a filter before would work out titles and shapes of each line again and again
+    all_rows = written(parsed.drop("line")).where("is_record OR is_title")
     years = years_of(outlines)
     bad = all_rows.where("is_bad").select("file").distinct().withColumn("reason", F.lit("bad number"))
     rows = all_rows.join(bad.select("file"), "file", "left_anti")

@@ -18,8 +18,9 @@ _YEAR = r"(20\d{2})\s+(?:Colorado\s+)?Elk"
 def is_skipped(text: Column) -> Column:
     """Contents and methodology pages, which hold no rows."""
     lines = F.split(text, "\n")
-    dotted = F.size(F.filter(lines, lambda x: x.contains("...."))) > DOTTED_LINES
-    headed = F.array_join(F.slice(lines, 1, HEAD_LINES), " ").contains("Contents")
+    # the first test of each is cheap, and enough for most pages
+    dotted = text.contains("....") & (F.size(F.filter(lines, lambda x: x.contains("...."))) > DOTTED_LINES)
+    headed = text.contains("Contents") & F.array_join(F.slice(lines, 1, HEAD_LINES), " ").contains("Contents")
     return dotted | headed | (text.contains("Methodology") & text.contains("stratified random"))
 
 
@@ -39,7 +40,7 @@ def page_outlines(pages: DataFrame) -> DataFrame:
         marked.select(
             "file", "file_ord", "page_no",
             F.when(F.col("skipped"), F.nullif(F.regexp_extract("text", _YEAR, 1), F.lit(""))).alias("named"),
-            F.when(F.col("skipped"), none).otherwise(dated).alias("dated"),
+            F.when(F.col("skipped") | ~text.contains("Elk"), none).otherwise(dated).alias("dated"),
         )
         .groupBy("file", "file_ord", "page_no")
         .agg(F.min("named").alias("named"), F.array_sort(F.flatten(F.collect_list("dated"))).alias("dated"))

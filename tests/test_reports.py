@@ -264,3 +264,26 @@ def test_running_totals_broadcast_no_table_of_keys(spark):
         (1, 2001, 4.0), (1, 2002, 4.0), (1, 2003, 4.0), (1, 2004, 6.0), (2, 2002, 5.0), (2, 2003, 5.0), (2, 2004, 5.0),
     }
     assert totals.where("gmu = 3").count() == 5
+
+
+def test_rows_are_shaped_once(spark, monkeypatch):
+    """Titles and shapes of a line are worked out once, and odd figures come out as they did field by field."""
+    written, seen = harvest.written, []
+    monkeypatch.setattr(harvest, "written", lambda df: seen.append(df) or written(df))
+    lines = ["1 2 3 4 5 6 50 7", "2 , 3,000 ,, 5 6 50 7", "3  2 \t3 4 5 6 50 ,", "4 1,2 3 4 5 6 50 1,234,567"]
+    units = ["E-01 1 , 3 4 5 6 7 8 12.5% 1 2 3 4 0.125 .5", "E-2  1 2 3 4 5 6 7 8 9 1 2 3 4 5 1."]
+    season = ["1st Rifle 1 2 , 4 5 6 7", "Archery 1  2 3 4 5 6 7,000"]
+    text = ["2020 Elk Harvest, Hunters and Recreation Days for Archery", *lines, "2020 Elk Harvest by DAU with Confidence Intervals", *units, "2020 Elk Recreation Days for Bosque del Oso", *season]
+    bad = "2021 Elk Recreation Days for Archery\n1 2 3 4 5 6 50 " + "9" * 20
+    page = "file string, file_ord long, page_no int, text string"
+    report = harvest.parse_reports(spark.createDataFrame([("a", 0, 0, "\n".join(text)), ("b", 1, 0, bad), ("c", 2, 0, None)], page))
+    rows = report.records.orderBy("line_no").select("gmu", "section_method", *harvest.COUNTS).collect()
+    assert [tuple(r) for r in rows] == [
+        (1, "archery", 2, 3, 4, 5, 6, 50, 7), (2, "archery", 0, 3000, 0, 5, 6, 50, 7), (3, "archery", 2, 3, 4, 5, 6, 50, 0), (4, "archery", 12, 3, 4, 5, 6, 50, 1234567),
+        (851, "bosque_rifle", 1, 2, 0, 4, 5, 6, 7), (851, "bosque_archery", 1, 2, 3, 4, 5, 6, 7000),
+    ]
+    found = report.unit_records.orderBy("line_no").select("dau", *harvest.UNIT_COLUMNS[3:]).collect()
+    assert [tuple(r) for r in found] == [("E-1", 1, 0, 3, 4, 5, 6, 7, 8, 12.5, 1, 2, 3, 4, 0.125, 0.5), ("E-2", 1, 2, 3, 4, 5, 6, 7, 8, 9.0, 1, 2, 3, 4, 5.0, 1.0)]
+    assert [tuple(r) for r in report.quarantine.collect()] == [("c", "no year"), ("b", "bad number")]
+    plan = seen[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 10 and plan.count("titles#") <= 8
